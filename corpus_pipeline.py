@@ -41,7 +41,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as its source's target asks for."""
-    return mixing.emit_copies(mixing.mix_sources(docs))
+    return mixing.emit_copies(mixing.mix_sources(mixing.measured(docs)))
 
 
 STAGES = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -25,9 +26,23 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def without(text: Column, chars: str) -> Column:
+    """The text without some characters, each removed by a search for its bytes."""
+    for c in chars:
+        text = F.replace(text, F.lit(c))
+    return text
+
+
 def words_of(text: Column) -> Column:
-    """Array of the words of a text, in order; empty for a text without words."""
-    return F.filter(F.split(text, BLANK_CLASS + "+"), lambda w: w != "")
+    """Array of the words of a text, in order; empty for a text without words. Splits at one character, not a pattern."""
+    for c in BLANKS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where the optimizer copies the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def work_root(spark: SparkSession) -> str:

@@ -23,21 +23,33 @@ from skein.llm.common import WordHashes, lower_words, shingle_hashes
 HASHES = 32
 #: Test items a block: what is broadcast at once is bounded, however many items there are.
 BLOCK = 10_000
+#: Words that are searched at once, more only in one document.
+CHUNK = 60_000
 
 _MULTIPLIERS = (np.random.default_rng(11).integers(1, 1 << 62, HASHES, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def _minima(shingles: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(size, signatures of the windows of two halves of that size) for the sizes least, 2 * least, ... most."""
-    halves = [np.minimum.reduceat(shingles * m, np.arange(0, len(shingles), least)) for m in _MULTIPLIERS]
-    block = np.array(halves)
+def _minima(shingles: np.ndarray, docs: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, signatures, documents) of windows of two halves of that size, for the sizes least, 2 * least, ... most.
+
+    shingles: of several documents, one after the other; docs: the document of each. A window begins at every half;
+    the last of a document is a half only.
+    """
+    begin = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    place = np.arange(len(docs)) - np.repeat(begin, np.diff(np.r_[begin, len(docs)]))
+    starts = np.flatnonzero(place % least == 0)
+    half = np.array([np.minimum.reduceat(shingles * m, starts) for m in _MULTIPLIERS])
+    of, nth = docs[starts], place[starts] // least
     while True:
-        yield least, np.minimum(block[:, :-1], block[:, 1:]) if block.shape[1] > 1 else block
+        window = half.copy()
+        pair = of[1:] == of[:-1]
+        window[:, :-1] = np.where(pair, np.minimum(half[:, :-1], half[:, 1:]), half[:, :-1])
+        yield least, window, of
         if least >= most:
             return
         least *= 2
-        even = block[:, : block.shape[1] // 2 * 2]
-        block = np.hstack([np.minimum(even[:, ::2], even[:, 1::2]), block[:, even.shape[1] :]])
+        even = np.flatnonzero(nth % 2 == 0)
+        half, of, nth = np.minimum.reduceat(half, even, axis=1), of[even], nth[even] // 2
 
 
 class ItemIndex:
@@ -71,31 +83,41 @@ class ItemIndex:
                     order = np.argsort(least, kind="stable")
                     self.tables[size].append((least[order], np.array(members)[order]))
 
-    def candidates(self, word_hashes: np.ndarray, shingles: np.ndarray) -> set[int]:
-        found: set[int] = set()
+    def candidates(self, hashed: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(document, item) pairs to verify, from the word hashes of several documents."""
+        found: set[tuple[int, int]] = set()
+        words, docs = np.concatenate(hashed), np.repeat(np.arange(len(hashed)), [len(h) for h in hashed])
         for k, known in self.short.items():
-            if len(word_hashes) >= k:
-                for h in np.intersect1d(shingle_hashes(word_hashes, k), np.fromiter(known, np.uint64, len(known))):
-                    found.update(known[int(h)])
-        if self.tables and len(word_hashes) >= self.width:
-            with np.errstate(over="ignore"):
-                for size, signatures in _minima(shingles, min(self.tables), max(self.tables)):
-                    for (values, members), own in zip(self.tables.get(size, ()), signatures, strict=False):
-                        own = np.unique(own)
-                        left, right = np.searchsorted(values, own), np.searchsorted(values, own, "right")
-                        for a, b in zip(left[hit := right > left], right[hit], strict=True):
-                            found.update(members[a:b].tolist())
+            runs, whole = shingle_hashes(words, k), docs[: len(docs) - k + 1] == docs[k - 1 :]
+            for at in np.flatnonzero(whole & np.isin(runs, np.fromiter(known, np.uint64, len(known)))) if len(words) >= k else ():
+                found.update((int(docs[at]), item) for item in known[int(runs[at])])
+        if self.tables and len(words) >= self.width:
+            whole = docs[: len(docs) - self.width + 1] == docs[self.width - 1 :]
+            shingles, docs = shingle_hashes(words, self.width)[whole], docs[: len(whole)][whole]
+            if len(shingles):
+                with np.errstate(over="ignore"):
+                    for size, signatures, of in _minima(shingles, docs, min(self.tables), max(self.tables)):
+                        for (values, members), own in zip(self.tables.get(size, ()), signatures, strict=False):
+                            left = np.searchsorted(values, own)
+                            for w in np.flatnonzero(values[np.minimum(left, len(values) - 1)] == own):
+                                same = members[left[w] : np.searchsorted(values, own[w], "right")]
+                                found.update((int(of[w]), item) for item in same.tolist())
         return found
 
-    def search(self, text: bytes | None, hashes: WordHashes, percent: int) -> Iterator[tuple[str | None, int, int]]:
-        """(item, shingles of the item, how many of them the text holds) for the items that it contains."""
-        word_hashes = hashes.of(lower_words(text))
-        shingles = shingle_hashes(word_hashes, self.width)
-        for at in sorted(self.candidates(word_hashes, shingles)):
-            item_id, s, n_words = self.items[at]
-            held = len(s) if n_words < self.width else int(np.isin(s, shingles).sum())
-            if 100 * held >= percent * len(s):
-                yield item_id, len(s), held
+    def search(self, texts: list[bytes | None], percent: int, hashes: WordHashes) -> Iterator[tuple[int, str | None, int, int]]:
+        """(place of the text, item, shingles of the item, how many of them the text holds) for the items that texts contain."""
+        at = 0
+        while at < len(texts):
+            hashed, n = [], 0
+            while at + len(hashed) < len(texts) and n < CHUNK:
+                hashed.append(hashes.of(lower_words(texts[at + len(hashed)])))
+                n += len(hashed[-1])
+            for doc, item in sorted(self.candidates(hashed)):
+                item_id, s, n_words = self.items[item]
+                held = len(s) if n_words < self.width else int(np.isin(s, shingle_hashes(hashed[doc], self.width)).sum())
+                if 100 * held >= percent * len(s):
+                    yield at + doc, item_id, len(s), held
+            at += len(hashed)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -115,7 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             hashes = WordHashes()
             for b in batches:
-                rows = [(d, *r) for d, t in zip(b["doc_id"].tolist(), b["text"], strict=True) for r in sent.value.search(t, hashes, percent)]
+                ids = b["doc_id"].tolist()
+                rows = [(ids[at], *r) for at, *r in sent.value.search(b["text"].tolist(), percent, hashes)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared"])
 
         found = docs.mapInPandas(search, "doc_id string, item_id string, n_item long, n_shared long")
@@ -147,7 +170,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percen
             hashes = WordHashes()
             for b in batches:
                 texts = b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-                yield b.filter(pa.array([next(sent.value.search(t, hashes, percent), None) is None for t in texts], pa.bool_()))
+                bad = {at for at, *_ in sent.value.search(texts, percent, hashes)}
+                yield b.filter(pa.array([at not in bad for at in range(len(texts))], pa.bool_()))
 
         docs = docs.mapInArrow(clean, schema)
     return docs

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import BLANK_CLASS, saved, text_of
+from skein.llm.common import saved, text_of, words_of
 
 #: Sources up to which their targets are broadcast: at most a few MB. Beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -13,13 +13,6 @@ BROADCAST_SOURCES = 20_000
 WEIGHTS = (5, 2, 1)
 
 
-def word_count(text: Column) -> Column:
-    """Words of a text without null: pieces between runs of blanks, less the empty ones at the ends."""
-    blank = f"^{BLANK_CLASS}"
-    pieces = F.size(F.split(text, BLANK_CLASS + "+", -1))
-    return (pieces - F.regexp_like(text, F.lit(blank)).cast("int") - (F.regexp_like(F.right(text, F.lit(1)), F.lit(blank)).cast("int")) - (text == "").cast("int")).cast("long")
-
-
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source of sizes (source, source_size): source_size and target.
 
@@ -41,27 +34,30 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
     return leveled.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The rows of docs with _size, _source_size, _target and _copies.
+def measured(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows of docs with _size, the words of the text (null: 0), and _chance, in [0, 1), hashed from seed, id and text."""
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text_of()), F.lit(1 << 40)) / float(1 << 40)
+    return docs.withColumn("_size", F.size(words_of(text_of())).cast("long")).withColumn("_chance", chance)
+
+
+def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs, made by measured(), with _source_size, _target and _copies.
 
-    A document is repeated floor(rate) times, and once more if a number in [0, 1) hashed from seed, id and text is
-    below the fraction; rate is its source's target / size. A null text has size 0; a null source is a source, the
-    last; a source without words has the rate 0. Repeated rows of one id and text take the same number. Columns of docs whose names begin
-    with _ are kept unless they are these four.
+    A document is repeated floor(rate) times, and once more if its chance is below the fraction; rate is its
+    source's target / size. A null source is a source, the last; a source without words has the rate 0. Repeated
+    rows of one id and text take the same chance. Other columns of docs are kept, but for ones of these names.
     """
-    sized = docs.withColumn("_size", word_count(text_of()))
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
+    sizes = docs.groupBy("source").agg(F.sum("_size").alias("source_size"))
     found = saved(targets(sizes, share, most))
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text_of()), F.lit(1 << 40)) / float(1 << 40)
     named = found.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if named.count() <= BROADCAST_SOURCES:
         named = F.broadcast(named)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    joined = sized.join(named, sized["source"].eqNullSafe(named["_source"]), "left").drop("_source")
-    return joined.withColumn("_copies", (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long"))
+    joined = docs.join(named, docs["source"].eqNullSafe(F.col("_source")), "left").drop("_source")
+    return joined.withColumn("_copies", (F.floor(rate) + (F.col("_chance") < rate - F.floor(rate)).cast("long")).cast("long"))
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
-    """Each row as often as _copies says, without the columns that mix_sources added."""
-    names = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_copies")]
+    """Each row as often as _copies says, without the columns that measured and mix_sources added."""
+    names = [c for c in mixed.columns if c not in ("_size", "_chance", "_source_size", "_target", "_copies")]
     return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)

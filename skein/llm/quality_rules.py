@@ -6,29 +6,38 @@ that lose too much of their text that way, or fail the base measures, are reject
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import BLANK_CLASS, BLANKS, text_of, words_of
+from skein.llm.common import BLANKS, let, text_of, without, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Lines that fail: too many symbols or separators for prose, menus, and standing phrases.
-MARKED = r"[#*$%&|<>~^]"
-NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(home|menu|login|log in|sign in|sign up|search|next|previous|back to top|skip to content|contact us|about us|share this|read more)[\x20\x09-\x0D]*$"
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|we use cookies|enable javascript|subscribe to our newsletter|click here to|licensed under the|lorem ipsum)"
+#: Lines that fail: too many of these marks for prose; menus; standing phrases (fixed values, in lower case).
+MARKS = SYMBOLS + "~^"
+NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "search", "next", "previous", "back to top", "skip to content", "contact us", "about us", "share this", "read more")
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "we use cookies", "enable javascript", "subscribe to our newsletter", "click here to", "licensed under the", "lorem ipsum")
+LOUD = 40
+
 
+def standing(text: Column) -> Column:
+    """Whether a text has a standing phrase."""
+    return let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in BOILERPLATE]))
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
 
+def line_fails(line: Column, marked: Column, phrased: Column) -> Column:
+    """Whether a line that has a word is navigation, boilerplate or not punctuated as prose.
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word is navigation, boilerplate or not punctuated as prose."""
-    n = F.length(_without(line, BLANKS))
-    marked = n - F.length(_without(_without(line, BLANKS), SYMBOLS + "~^"))
-    shouts = F.length(_without(line, "!")) * 25 < F.length(line) * 24
-    return (marked * 12 > n) | (shouts & (F.length(line) > 40)) | F.regexp_like(line, F.lit(NAVIGATION)) | F.regexp_like(line, F.lit(BOILERPLATE))
+    marked, phrased: whether the whole text has a mark or "!", or a standing phrase, at all.
+    """
+    n = F.length(line)
+    symbols = (n - F.length(without(line, MARKS))) * 14 > n
+    loud = (n > LOUD) & (F.length(without(line, "!")) * 25 < n * 24)
+    menu = (n <= LOUD) & F.lower(F.trim(line, F.lit(BLANKS))).isin(*NAVIGATION)
+    return menu | (marked & (symbols | loud)) | (phrased & standing(line))
 
 
 def _repeated_words(at: Column) -> Column:
@@ -49,36 +58,50 @@ def _repeated_words(at: Column) -> Column:
     return F.aggregate(places, start, lambda s, i: F.struct((i + WINDOW).alias("to"), (s["n"] + (i + WINDOW - F.greatest(s["to"], i))).alias("n")))["n"]
 
 
+def _paired(hashes: str, step: int) -> Column:
+    """Hash of each entry with the one step places on, in order."""
+    n = F.greatest(F.size(hashes) - step, F.lit(0))
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, step + 1, n), lambda a, b: F.xxhash64(a, b))
+
+
+def _repeats(runs: Column) -> Column:
+    """As _repeated_words, from the hashes of the runs of WINDOW / 2 words."""
+    n = F.greatest(F.size(runs) - WINDOW // 2, F.lit(0))
+    windows = F.zip_with(F.slice(runs, 1, n), F.slice(runs, WINDOW // 2 + 1, n), lambda a, b: F.xxhash64(a, b))
+    return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), _repeated_words)
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """The rows of docs with _text, _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _cleaned and _kept.
+    """The rows of docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _base_failed, _kept,
+    _cleaned and _row, a number of the row.
 
     Null texts count as empty: no words, no lines, base failed. _cleaned is the text without its failing lines, as
     it was if none fails; _kept is false if the base failed or over half of the characters of words went. Repeated
-    rows are measured as often as they occur. Columns of docs keep their values unless they have one of these names.
+    rows are measured as often as they occur. The columns of docs keep their names and values, but for these names.
     """
-    t = docs.withColumn("_text", text_of()).withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.split("_text", "\n", -1))
-    n = F.size("_words")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    t = t.withColumn("_windows", windows).withColumn("_full", F.filter("_lines", lambda x: _without(x, BLANKS) != ""))
-    # Texts whose windows all differ are done without any sorting.
-    t = t.withColumn("_at", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    text, lines, blanks = F.col("_text"), F.col("_lines"), F.lit(BLANKS)
+    t = docs.withColumn("_text", text_of())
+    t = t.withColumns({"_words": words_of(text), "_lines": F.split(text, "\n", -1), "_marked": F.regexp_like(text, F.lit(f"[!{MARKS}]")), "_phrased": standing(text)})
+    t = t.withColumns({"_pairs": _paired("_words", 1), "_full": F.filter(lines, lambda x: F.trim(x, blanks) != ""), "_good": F.filter(lines, lambda x: ~line_fails(x, F.col("_marked"), F.col("_phrased")))})
+    t = t.withColumn("_runs", _paired("_pairs", 2))
+    # Texts in which no run of four words is repeated are done without any sorting.
+    again = F.size(F.array_distinct("_runs")) < F.size("_runs")
     t = t.select(
-        *[c for c in t.columns if c not in ("_words", "_windows", "_lines", "_full", "_at")],
-        n.cast("long").alias("_n_words"),
-        F.length(_without(F.col("_text"), BLANKS)).cast("long").alias("_word_chars"),
-        (F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS))).cast("long").alias("_n_symbols"),
+        *docs.columns,
+        F.size("_words").cast("long").alias("_n_words"),
+        F.length(without(text, BLANKS)).cast("long").alias("_word_chars"),
+        F.when(F.col("_marked"), F.length(text) - F.length(without(text, SYMBOLS))).otherwise(0).cast("long").alias("_n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("_n_dup_lines"),
-        F.when(F.col("_at").isNotNull(), _repeated_words(F.col("_at"))).otherwise(F.lit(0).cast("long")).alias("_n_repeat_words"),
-        F.filter("_lines", lambda x: (_without(x, BLANKS) == "") | ~line_fails(x)).alias("_good"),
-        F.size("_lines").alias("_n_lines"),
+        F.when(again, _repeats(F.col("_runs"))).otherwise(0).cast("long").alias("_n_repeat_words"),
+        F.when(F.size("_good") < F.size(lines), F.array_join("_good", "\n")).otherwise(text).alias("_cleaned"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     t = t.withColumn("_base_failed", (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words")))
-    t = t.withColumn("_cleaned", F.when(F.size("_good") < F.col("_n_lines"), F.array_join("_good", "\n")).otherwise(F.col("_text")))
-    left = F.length(_without(F.col("_cleaned"), BLANKS))
-    return t.withColumn("_kept", ~F.col("_base_failed") & (2 * left >= F.col("_word_chars"))).drop("_good", "_n_lines")
+    return t.withColumn("_kept", ~F.col("_base_failed") & (2 * F.length(without(F.col("_cleaned"), BLANKS)) >= F.col("_word_chars")))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept rows of docs, their columns only, with failing lines removed from text and n_chars, if there, to match."""
-    names, m = docs.columns, measure(docs).filter("_kept").withColumn("text", F.col("_cleaned"))
+    # That the condition names _row keeps the optimizer from copying the measures below into it, each many times.
+    names, m = docs.columns, measure(docs).filter(F.col("_kept") & (F.col("_row") >= 0)).withColumn("text", F.col("_cleaned"))
     return (m.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else m).select(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import chat_format, decontaminate, html_text, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, toxicity
-from skein.llm.common import table
+from skein.llm.common import saved, table
 
 ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 
@@ -75,7 +75,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    sized = saved(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_chance"))
+    mixed = mixing.mix_sources(sized)
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
