@@ -73,8 +73,8 @@ routes AS (
 _G = f"WITH RECURSIVE {NODES}, {EVIDENCE}"
 _CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 _PLAIN = "trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'))"
-_KEY = "list_filter(string_split({0}, ' '), w -> w <> '' AND w NOT IN ('the','of','and','in','a','an','with','type','disease','syndrome','disorder'))"
-_WORDS = "list_filter(string_split({0}, ' '), w -> w <> '')"
+_KEY = "list_filter(string_split({0}, ' '), lambda w: w <> '' AND w NOT IN ('the','of','and','in','a','an','with','type','disease','syndrome','disorder'))"
+_WORDS = "list_filter(string_split({0}, ' '), lambda w: w <> '')"
 
 SQL = {
     "graph_nodes": f"{_G} SELECT id, type, label FROM nodes",
@@ -86,13 +86,13 @@ SQL = {
               LEFT JOIN disputed d ON e.source_id = d.source_id AND e.relation = d.relation AND e.target_id = d.target_id)
         SELECT id, source_id, relation, target_id, evidence_type, confidence, n_sources, disputed,
           floor(greatest(0.05e0, least(confidence + least(0.05e0 * (n_sources - 1), 0.15e0) - 0.15e0 * CAST(disputed AS INT), CASE WHEN evidence_type = 'inferred' THEN 0.49e0 ELSE 0.99e0 END)) * 10000 + 0.5) / 10000 AS score,
-          array_to_string(list_filter([CASE WHEN n_sources > 1 THEN 'backed by ' || n_sources || ' sources' END, CASE WHEN disputed THEN 'disputed' END, CASE WHEN evidence_type = 'inferred' THEN 'inferred' END], x -> x IS NOT NULL), '; ') AS reasons
+          array_to_string(list_filter([CASE WHEN n_sources > 1 THEN 'backed by ' || n_sources || ' sources' END, CASE WHEN disputed THEN 'disputed' END, CASE WHEN evidence_type = 'inferred' THEN 'inferred' END], lambda x: x IS NOT NULL), '; ') AS reasons
         FROM j""",
     "contradictions": f"{_G} SELECT source_id, relation, target_id FROM disputed",
     "integrity_violations": f"""{_G}, known AS (SELECT * FROM nodes WHERE label NOT LIKE '%7%')
         SELECT 'dangling_end' AS rule, id AS subject FROM (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges) x WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id = x.id)""",
     "node_merge": f"""{_G}, r AS (SELECT id, type, label, 0 AS rank FROM nodes UNION ALL SELECT 'P:' || p_partkey, 'asset', p_brand || ' ' || p_type, 1 FROM part)
-        SELECT id, arg_min(type, rank) AS type, arg_min(label, rank) AS label, array_to_string(list_filter(list_sort(list_distinct(list(label))), x -> x <> arg_min(label, rank)), '|') AS synonyms FROM r GROUP BY id""",
+        SELECT id, arg_min(type, rank) AS type, arg_min(label, rank) AS label, array_to_string(list_filter(list_sort(list_distinct(list(label))), lambda x: x <> arg_min(label, rank)), '|') AS synonyms FROM r GROUP BY id""",
     "neighbors_filtered": f"""{_G}, {ENDS} SELECT node_id, other_id, direction, e.id, relation, confidence, evidence_type, n.type AS other_type, n.label AS other_label FROM ends e JOIN nodes n ON other_id = n.id
         WHERE confidence >= 0.95 AND relation IN ('has_phenotype', 'investigates', 'funds') AND n.type IN ('phenotype', 'investigator', 'disease')""",
     "counts_by_relation": f"{_G} SELECT relation, evidence_type, count(*) AS n_edges FROM evidence GROUP BY GROUPING SETS ((relation, evidence_type), (relation), (evidence_type), ())",
@@ -115,8 +115,8 @@ SQL = {
         r(id, comp) AS (SELECT a, a FROM e UNION SELECT e.b, r.comp FROM r JOIN e ON r.id = e.a) SELECT id, min(comp) AS comp FROM r GROUP BY id""",
     "routing_graph": f"{_G}, {ROUTES} SELECT lo, hi, w FROM routes",
     "k_paths": f"""{_G}, {ROUTES}, s AS (SELECT lo AS a, hi AS b, w FROM routes UNION ALL SELECT hi, lo, w FROM routes),
-        p(path, at, w) AS (SELECT ['N:0'], 'N:0', CAST(0 AS BIGINT) UNION ALL SELECT list_append(path, s.b), s.b, p.w + s.w FROM p JOIN s ON p.at = s.a WHERE p.at <> 'N:7' AND len(path) <= 4 AND NOT list_contains(path, s.b))
-        SELECT array_to_string(path, '>') AS path, w, CAST(len(path) - 1 AS INT) AS n_edges FROM p WHERE at = 'N:7' ORDER BY w, 1 LIMIT 3""",
+        p(path, here, w) AS (SELECT ['N:0'], 'N:0', CAST(0 AS BIGINT) UNION ALL SELECT list_append(path, s.b), s.b, p.w + s.w FROM p JOIN s ON p.here = s.a WHERE p.here <> 'N:7' AND len(path) <= 4 AND NOT list_contains(path, s.b))
+        SELECT array_to_string(path, '>') AS path, w, CAST(len(path) - 1 AS INT) AS n_edges FROM p WHERE here = 'N:7' ORDER BY w, 1 LIMIT 3""",
     "bfs_depth2": f"""{_G}, s AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
         one AS (SELECT DISTINCT b AS id FROM s WHERE a = 'N:3' AND b <> 'N:3'),
         two AS (SELECT DISTINCT s.b AS id FROM one JOIN s ON one.id = s.a WHERE s.b <> 'N:3' AND s.b NOT IN (SELECT id FROM one))
@@ -132,7 +132,7 @@ SQL = {
     "coverage_report": f"""{_G}, {ENDS}, c AS (SELECT node_id AS id, count(*) FILTER (relation = 'has_phenotype') AS phenotypes, count(*) FILTER (relation = 'caused_by') AS causes, count(*) FILTER (relation = 'investigates') AS studies,
             count(*) FILTER (evidence_type <> 'inferred' AND confidence >= 0.4) AS n_strong FROM ends GROUP BY 1),
         d AS (SELECT n.id, label, coalesce(phenotypes, 0) AS phenotypes, coalesce(causes, 0) AS causes, coalesce(studies, 0) AS studies, coalesce(n_strong, 0) AS n_strong FROM nodes n LEFT JOIN c ON n.id = c.id WHERE type = 'disease')
-        SELECT id, label, phenotypes, causes, studies, n_strong, array_to_string(list_filter([CASE WHEN phenotypes = 0 THEN 'phenotypes' END, CASE WHEN causes = 0 THEN 'causes' END, CASE WHEN studies = 0 THEN 'studies' END], x -> x IS NOT NULL), ',') AS missing,
+        SELECT id, label, phenotypes, causes, studies, n_strong, array_to_string(list_filter([CASE WHEN phenotypes = 0 THEN 'phenotypes' END, CASE WHEN causes = 0 THEN 'causes' END, CASE WHEN studies = 0 THEN 'studies' END], lambda x: x IS NOT NULL), ',') AS missing,
           CASE WHEN phenotypes = 0 AND causes = 0 AND studies = 0 THEN 'gap' WHEN phenotypes > 0 AND causes > 0 AND studies > 0 AND n_strong > 0 THEN 'supported' ELSE 'weak' END AS status FROM d""",
     "source_counts": f"{_G}, k AS (SELECT unnest(['ranking', 'catalogue', 'registry', 'urgent', 'journal']) AS source) SELECT coalesce(k.source, c.source) AS source, coalesce(n, 0) AS n FROM k FULL JOIN (SELECT source, count(*) AS n FROM evidence GROUP BY 1) c ON k.source = c.source",
     "partners": f"""{_G} SELECT i.target_id AS disease, f.source_id AS partner, max(least(i.confidence, f.confidence)) AS confidence, count(DISTINCT i.source_id) AS n_via
