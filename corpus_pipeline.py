@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, mixing, ngram_join, quality_rules, secret_scan
-from skein.llm.common import saved, table
+from skein.llm.common import table
+from skein.operators.work import saved
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

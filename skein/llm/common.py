@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -45,35 +43,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="skein-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that later stages depend on files and not on its lineage."""
-    spark = df.sparkSession
-    path = f"{work_root(spark)}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by saved() that nothing reads any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/skein-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound so that a task's memory doesn't grow with the vocabulary."""
 
@@ -111,32 +80,3 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
         out *= _MIX
         out ^= out >> np.uint64(29)
     return out
-
-
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of links (a, b: long): a row (id, comp) per linked id, comp the smallest id it reaches.
-
-    Each round every remaining component joins its smallest neighbour, pointers are halved until each one
-    names a root, and links are carried over to the roots; so the number of rounds is logarithmic. Rows whose
-    ends are null or equal link nothing. Every round is written to the shared folder.
-    """
-    links = saved(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    labels = saved(links.select(F.col("a").alias("id")).union(links.select("b")).distinct().withColumn("comp", F.col("id")))
-    while not links.isEmpty():
-        parent = saved(links.groupBy("a").agg(F.min("b").alias("p")))
-        while True:
-            up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
-            jumped = saved(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
-            discard(parent)
-            parent = jumped.select("a", "p")
-            if jumped.filter("moved").isEmpty():
-                break
-        root = parent.select(F.col("a").alias("comp"), "p")
-        newer = saved(labels.join(root, "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
-        over = links.join(parent.select("a", F.col("p").alias("x")), "a", "left").join(parent.select(F.col("a").alias("b"), F.col("p").alias("y")), "b", "left")
-        over = over.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
-        carried = saved(over.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-        for old in (links, labels, parent):
-            discard(old)
-        links, labels = carried, newer
-    return labels

@@ -19,37 +19,57 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import WordHashes, lower_words, shingle_hashes
 
-#: Hash functions; an item that is a third of a window is missed with probability (2/3) ** HASHES, 2e-6.
-HASHES = 32
+#: Hash functions. An item is at least a fifth of some window (0.8 of it, just over half of its partition's
+#: size, in a window of twice that), so it is missed with probability 0.8 ** HASHES at most, 6e-7.
+HASHES = 64
+#: Shingles in the halves of the smallest partition.
+LEAST = 8
 #: Test items a block: what is broadcast at once is bounded, however many items there are.
 BLOCK = 10_000
 #: Words that are searched at once, more only in one document.
 CHUNK = 60_000
 
-_MULTIPLIERS = (np.random.default_rng(11).integers(1, 1 << 62, HASHES, np.uint64) << np.uint64(1)) | np.uint64(1)
+_MULTIPLIERS = (np.random.default_rng(11).integers(1, 1 << 62, HASHES // 2, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def _minima(shingles: np.ndarray, docs: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, signatures, documents) of windows of two halves of that size, for the sizes least, 2 * least, ... most.
+def _hashed(shingles: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+    """Two 32-bit hashes of each shingle, the halves of one product: a row each."""
+    product = shingles * multiplier
+    return np.stack([(product >> np.uint64(32)).astype(np.uint32), product.astype(np.uint32)])
 
-    shingles: of several documents, one after the other; docs: the document of each. A window begins at every half;
-    the last of a document is a half only.
+
+def _halved(minima: np.ndarray) -> np.ndarray:
+    return np.minimum(minima[:, ::2], minima[:, 1::2])
+
+
+def _minima(shingles: np.ndarray, docs: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, signatures, documents) of windows of two halves of that size, for the sizes LEAST, 2 * LEAST, ... most.
+
+    shingles: of several documents, one after the other; docs: the document of each. Each document is padded to
+    whole halves of the largest size, so that minima of all sizes come from halving; a window begins at every half, and the last
+    of a document is a half only.
     """
     begin = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    place = np.arange(len(docs)) - np.repeat(begin, np.diff(np.r_[begin, len(docs)]))
-    starts = np.flatnonzero(place % least == 0)
-    half = np.array([np.minimum.reduceat(shingles * m, starts) for m in _MULTIPLIERS])
-    of, nth = docs[starts], place[starts] // least
+    lengths = np.diff(np.r_[begin, len(docs)])
+    padded = -(-lengths // LEAST) * LEAST
+    at = np.arange(len(docs)) + np.repeat(np.r_[0, np.cumsum(padded - lengths)[:-1]], lengths)
+    half = np.empty((HASHES, int(padded.sum()) // LEAST), np.uint32)
+    full = np.full((2, int(padded.sum())), 0xFFFFFFFF, np.uint32)
+    for k, m in enumerate(_MULTIPLIERS):
+        full[:, at] = _hashed(shingles, m)
+        half[2 * k : 2 * k + 2] = _halved(_halved(_halved(full)))
+    of, size = np.repeat(docs[begin], padded // LEAST), LEAST
     while True:
         window = half.copy()
-        pair = of[1:] == of[:-1]
-        window[:, :-1] = np.where(pair, np.minimum(half[:, :-1], half[:, 1:]), half[:, :-1])
-        yield least, window, of
-        if least >= most:
+        np.minimum(half[:, :-1], half[:, 1:], out=window[:, :-1], where=of[1:] == of[:-1])
+        yield size, window, of
+        if size >= most:
             return
-        least *= 2
+        size *= 2
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        nth = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)]))
         even = np.flatnonzero(nth % 2 == 0)
-        half, of, nth = np.minimum.reduceat(half, even, axis=1), of[even], nth[even] // 2
+        half, of = np.minimum.reduceat(half, even, axis=1), of[even]
 
 
 class ItemIndex:
@@ -59,7 +79,8 @@ class ItemIndex:
         hashes = WordHashes()
         self.width = width
         self.items: list[tuple[str | None, np.ndarray, int]] = []
-        #: Of each partition: the values of each hash function, sorted, and the items that have them.
+        #: Of each partition: which upper halves of values occur, by hash function; the values, sorted, and the items that have them.
+        self.sieves: dict[int, np.ndarray] = {}
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         by_size: dict[int, list[int]] = {}
         #: Items of fewer words than a shingle by their number of words: looked up whole.
@@ -74,14 +95,16 @@ class ItemIndex:
             if len(words) < width:
                 self.short.setdefault(len(words), {}).setdefault(int(s[0]), []).append(at)
             else:
-                by_size.setdefault(max(8, 1 << int(len(s) - 1).bit_length()), []).append(at)
+                by_size.setdefault(max(LEAST, 1 << int(len(s) - 1).bit_length()), []).append(at)
         with np.errstate(over="ignore"):
             for size, members in by_size.items():
+                least = np.array([np.concatenate([_hashed(self.items[i][1], m).min(1) for m in _MULTIPLIERS]) for i in members])
+                self.sieves[size] = np.zeros((HASHES, 1 << 16), bool)
                 self.tables[size] = []
-                for m in _MULTIPLIERS:
-                    least = np.array([(self.items[i][1] * m).min() for i in members])
-                    order = np.argsort(least, kind="stable")
-                    self.tables[size].append((least[order], np.array(members)[order]))
+                for k in range(HASHES):
+                    order = np.argsort(least[:, k], kind="stable")
+                    self.tables[size].append((least[order, k], np.array(members)[order]))
+                    self.sieves[size][k, least[:, k] >> 16] = True
 
     def candidates(self, hashed: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) pairs to verify, from the word hashes of several documents."""
@@ -96,12 +119,13 @@ class ItemIndex:
             shingles, docs = shingle_hashes(words, self.width)[whole], docs[: len(whole)][whole]
             if len(shingles):
                 with np.errstate(over="ignore"):
-                    for size, signatures, of in _minima(shingles, docs, min(self.tables), max(self.tables)):
-                        for (values, members), own in zip(self.tables.get(size, ()), signatures, strict=False):
-                            left = np.searchsorted(values, own)
-                            for w in np.flatnonzero(values[np.minimum(left, len(values) - 1)] == own):
-                                same = members[left[w] : np.searchsorted(values, own[w], "right")]
-                                found.update((int(of[w]), item) for item in same.tolist())
+                    for size, signatures, of in _minima(shingles, docs, max(self.tables)):
+                        for k in range(HASHES if size in self.tables else 0):
+                            own, (values, members) = signatures[k], self.tables[size][k]
+                            near = np.flatnonzero(self.sieves[size][k][own >> 16])
+                            left, right = np.searchsorted(values, own[near]), np.searchsorted(values, own[near], "right")
+                            for w in np.flatnonzero(right > left):
+                                found.update((int(of[near[w]]), item) for item in members[left[w] : right[w]].tolist())
         return found
 
     def search(self, texts: list[bytes | None], percent: int, hashes: WordHashes) -> Iterator[tuple[int, str | None, int, int]]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved, text_of, words_of
+from skein.llm.common import text_of, words_of
+from skein.operators.work import saved
 
 #: Sources up to which their targets are broadcast: at most a few MB. Beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 20_000

@@ -24,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHashes, components, discard, lower_words, saved, shingle_hashes
+from skein.llm.common import WordHashes, lower_words, shingle_hashes
+from skein.operators.components import components
+from skein.operators.work import discard, saved
 
 #: Slots of the sketch of shingle frequencies, whose size doesn't depend on the corpus (256 KB as a broadcast).
 SLOTS = 1 << 16
-ROUNDS = 3
 
 
 def _need(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -87,8 +88,35 @@ def _room(percent: int):
     return size & apart & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= least)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def _sieve(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot of the hashed ids (a column, string), 2 MB whatever their number: what isn't in it is no such id."""
+    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << 24))
+    words = ids.select((slot / 32).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out = np.zeros(1 << 19, np.uint32)
+    out[words["w"]] = words["b"].astype(np.uint32)
+    return out
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the threshold. The sets are made again from one text each.
+
+    A sieve of fixed size keeps most other texts out of the shuffle.
+    """
+    wanted = classes.select("cid", "key", F.col("first_id").cast("string").alias("first_id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+    wanted = saved(wanted)
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted.select(F.coalesce("first_id", F.lit("null")))))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slot = batch["slot"].to_numpy()
+            yield batch[(sieve.value[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 == 1][["doc_id", "text"]]
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            items = [s.tobytes() for s in _sets(batch["text"].tolist(), width, hashes)]
+            right = [xxhash.xxh3_128_digest(s) == bytes(k) for s, k in zip(items, batch["key"], strict=True)]
+            yield pd.DataFrame({"cid": batch["cid"], "items": items})[right]
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,8 +127,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
+    slotted = docs.withColumn("slot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("null"))), F.lit(1 << 24)))
+    texts = slotted.mapInPandas(near, "doc_id string, text binary")
+    sets = saved(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "key", "text").mapInPandas(make, "cid long, items binary"))
     with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
-    return with_b.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y").mapInPandas(hold, "a long, b long")
+    both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+    out = saved(both.mapInPandas(hold, "a long, b long").distinct())
+    for used in (wanted, sets):
+        discard(used)
+    return out
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,33 +154,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
     lists = saved(entries.join(shared, "token"))
-    sets = _class_sets(docs, classes, lists, width)
-    links, tested = None, None
-    comp = None
-    for _ in range(ROUNDS):
-        placed = _placed(lists, comp)
-        heads = placed.groupBy("token").agg(F.min(F.struct("pos", "n", "cid", "comp")).alias("h"))
-        met = placed.join(heads, "token").filter("comp <> h.comp").select(F.col("cid").alias("a"), F.col("h.cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("h.n").alias("n"), F.col("h.pos").alias("j"))
-        votes = met.filter(_room(percent)).groupBy("a", "b").agg(F.count("*").alias("v"), F.min("j").alias("j"))
-        if tested is not None:
-            votes = votes.join(tested, ["a", "b"], "left_anti")
-        chosen = saved(votes.groupBy("a").agg(F.max(F.struct("v", -F.col("j"), "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-        found = saved(_verified(chosen, sets, percent))
-        tested = chosen if tested is None else tested.union(chosen)
-        links = found if links is None else links.union(found)
-        if found.isEmpty():
-            break
-        comp = components(links)
-    placed = _placed(lists, comp)
+    # Heads: the earliest place in each list. A class is compared with the head that it meets most often.
+    heads = lists.groupBy("token").agg(F.min(F.struct("pos", "n", "cid")).alias("h"))
+    met = lists.join(heads, "token").filter("cid <> h.cid").select(F.col("cid").alias("a"), F.col("h.cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("h.n").alias("n"), F.col("h.pos").alias("j"))
+    votes = met.filter(_room(percent)).groupBy("a", "b").agg(F.count("*").alias("v"), F.min("j").alias("j"))
+    tested = saved(votes.groupBy("a").agg(F.max(F.struct("v", -F.col("j"), "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    found = _verified(docs, classes, tested, width, percent)
+    comp = components(found)
+    # What is left: entries of one list that are in different components.
+    placed = lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    open_lists = placed.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token")
     one = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
     two = placed.select("token", F.col("cid").alias("b"), "n", F.col("pos").alias("j"), F.col("comp").alias("cb"))
-    open_lists = placed.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token")
-    rest = one.join(open_lists, "token").join(two, "token").filter("ca < cb").filter(_room(percent)).select("a", "b").distinct()
-    rest = rest.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    late = saved(_verified(rest, sets, percent))
-    if comp is None or not late.isEmpty():
-        comp = components(links.union(late))
-    for used in (lists, sets, tested, links, late):
+    rest = one.join(open_lists, "token").join(two, "token").filter("ca < cb").filter(_room(percent)).select("a", "b", "ca", "cb").dropDuplicates(["a", "b"])
+    rest = saved(rest.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        late = _verified(docs, classes, rest.select("a", "b"), width, percent)
+        over = components(rest.join(late, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        ids = comp.unionByName(late.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").withColumn("comp", F.col("id")))
+        comp = saved(ids.join(over.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+    for used in (lists, tested, rest):
         discard(used)
     by_class = classes.select("key", "first_id", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = by_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
@@ -164,25 +192,3 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found = jaccard_components(numbered, width, percent, id_col="_row")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")
-
-
-def _placed(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The lists' entries with the component that each class has reached so far."""
-    if comp is None:
-        return lists.withColumn("comp", F.col("cid"))
-    return lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-
-
-def _class_sets(docs: DataFrame, classes: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """The whole sets of the classes that share a list with another, made again from one text each."""
-    wanted = classes.select("cid", "key", "first_id").join(lists.select("cid").distinct(), "cid", "left_semi")
-
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            items = [s.tobytes() for s in _sets(batch["text"].tolist(), width, hashes)]
-            right = [xxhash.xxh3_128_digest(s) == bytes(k) for s, k in zip(items, batch["key"], strict=True)]
-            yield pd.DataFrame({"cid": batch["cid"], "items": items})[right]
-
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first_id"].cast("string"))).select("cid", "key", "text")
-    return saved(texts.mapInPandas(make, "cid long, items binary").dropDuplicates(["cid"]))

@@ -58,17 +58,15 @@ def _repeated_words(at: Column) -> Column:
     return F.aggregate(places, start, lambda s, i: F.struct((i + WINDOW).alias("to"), (s["n"] + (i + WINDOW - F.greatest(s["to"], i))).alias("n")))["n"]
 
 
-def _paired(hashes: str, step: int) -> Column:
-    """Hash of each entry with the one step places on, in order."""
-    n = F.greatest(F.size(hashes) - step, F.lit(0))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, step + 1, n), lambda a, b: F.xxhash64(a, b))
+def _runs(words: Column, length: int) -> Column:
+    """Hash of the run of length words that begins at each word; the last ones are shorter."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, length)]))
 
 
-def _repeats(runs: Column) -> Column:
-    """As _repeated_words, from the hashes of the runs of WINDOW / 2 words."""
-    n = F.greatest(F.size(runs) - WINDOW // 2, F.lit(0))
-    windows = F.zip_with(F.slice(runs, 1, n), F.slice(runs, WINDOW // 2 + 1, n), lambda a, b: F.xxhash64(a, b))
-    return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), _repeated_words)
+def _repeats(words: Column) -> Column:
+    """As _repeated_words, from the words."""
+    whole = F.slice(_runs(words, WINDOW), 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    return let(F.sort_array(F.transform(whole, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), _repeated_words)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -82,8 +80,7 @@ def measure(docs: DataFrame) -> DataFrame:
     text, lines, blanks = F.col("_text"), F.col("_lines"), F.lit(BLANKS)
     t = docs.withColumn("_text", text_of())
     t = t.withColumns({"_words": words_of(text), "_lines": F.split(text, "\n", -1), "_marked": F.regexp_like(text, F.lit(f"[!{MARKS}]")), "_phrased": standing(text)})
-    t = t.withColumns({"_pairs": _paired("_words", 1), "_full": F.filter(lines, lambda x: F.trim(x, blanks) != ""), "_good": F.filter(lines, lambda x: ~line_fails(x, F.col("_marked"), F.col("_phrased")))})
-    t = t.withColumn("_runs", _paired("_pairs", 2))
+    t = t.withColumns({"_runs": _runs(F.col("_words"), WINDOW // 2), "_full": F.filter(lines, lambda x: F.trim(x, blanks) != ""), "_good": F.filter(lines, lambda x: ~line_fails(x, F.col("_marked"), F.col("_phrased")))})
     # Texts in which no run of four words is repeated are done without any sorting.
     again = F.size(F.array_distinct("_runs")) < F.size("_runs")
     t = t.select(
@@ -92,12 +89,15 @@ def measure(docs: DataFrame) -> DataFrame:
         F.length(without(text, BLANKS)).cast("long").alias("_word_chars"),
         F.when(F.col("_marked"), F.length(text) - F.length(without(text, SYMBOLS))).otherwise(0).cast("long").alias("_n_symbols"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("_n_dup_lines"),
-        F.when(again, _repeats(F.col("_runs"))).otherwise(0).cast("long").alias("_n_repeat_words"),
-        F.when(F.size("_good") < F.size(lines), F.array_join("_good", "\n")).otherwise(text).alias("_cleaned"),
+        F.when(again & (F.size("_words") >= WINDOW), _repeats(F.col("_words"))).otherwise(0).cast("long").alias("_n_repeat_words"),
+        F.when(F.size("_good") < F.size(lines), F.array_join("_good", "\n")).alias("_rest"),
+        text.alias("_whole"),
         F.monotonically_increasing_id().alias("_row"),
     )
     t = t.withColumn("_base_failed", (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words")))
-    return t.withColumn("_kept", ~F.col("_base_failed") & (2 * F.length(without(F.col("_cleaned"), BLANKS)) >= F.col("_word_chars")))
+    left = F.when(F.col("_rest").isNotNull(), F.length(without(F.col("_rest"), BLANKS))).otherwise(F.col("_word_chars"))
+    t = t.withColumns({"_kept": ~F.col("_base_failed") & (2 * left >= F.col("_word_chars")), "_cleaned": F.coalesce("_rest", "_whole")})
+    return t.drop("_rest", "_whole")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

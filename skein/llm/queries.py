@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, decontaminate, html_text, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, toxicity
-from skein.llm.common import saved, table
+from skein.llm import chat_format, decontaminate, html_text, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, sql, toxicity
+from skein.llm.common import table
+from skein.operators.work import saved
 
 ORDER = {"email": 0, "ip": 1, "card": 2, "phone": 3}
 
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)

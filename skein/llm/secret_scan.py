@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import saved, text_of
+from skein.llm.common import text_of
+from skein.operators.work import saved
 
 #: The base patterns and their least lengths (of group 2 for assign, of the match otherwise).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
