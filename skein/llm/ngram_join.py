@@ -89,9 +89,9 @@ def _room(percent: int):
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot of the hashed ids (a column, string), 2 MB whatever their number: what isn't in it is no such id."""
-    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << 24))
-    words = ids.select((slot / 32).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    """A bit for each slot of the hashed ids (id: string), 2 MB whatever their number: what isn't in it is no such id."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
+    words = ids.select((slot / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << 19, np.uint32)
     out[words["w"]] = words["b"].astype(np.uint32)
     return out
@@ -104,7 +104,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     """
     wanted = classes.select("cid", "key", F.col("first_id").cast("string").alias("first_id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
     wanted = saved(wanted)
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted.select(F.coalesce("first_id", F.lit("null")))))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted.select(F.coalesce("first_id", F.lit("null")).alias("id"))))
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
