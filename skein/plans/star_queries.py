@@ -214,7 +214,7 @@ def partners(spark, d):
 
 @query
 def search_lexical(spark, d):
-    return search.lexical(star.nodes(spark, d), "almond blue")
+    return search.lexical(star.nodes(spark, d), "gear blue")
 
 
 @query

@@ -138,10 +138,10 @@ SQL = {
     "partners": f"""{_G} SELECT i.target_id AS disease, f.source_id AS partner, max(least(i.confidence, f.confidence)) AS confidence, count(DISTINCT i.source_id) AS n_via
         FROM edges i JOIN edges f ON i.source_id = f.target_id WHERE i.relation = 'investigates' AND f.relation = 'funds' GROUP BY 1, 2""",
     "search_lexical": f"""{_G}, k AS (SELECT id, label, {_PLAIN} AS key FROM nodes),
-        t AS (SELECT *, {_WORDS.format("key")} AS words, {_KEY.format("key")} AS content, ['almond', 'blue'] AS asked FROM k),
+        t AS (SELECT *, {_WORDS.format("key")} AS words, {_KEY.format("key")} AS content, ['gear', 'blue'] AS asked FROM k),
         s AS (SELECT id, label, len(list_intersect(list_distinct(words), asked)) / len(list_distinct(list_concat(words, asked))) AS j, key, content, words FROM t),
-        m AS (SELECT id, label, CASE WHEN key = 'almond blue' THEN 1.0e0 WHEN array_to_string(CASE WHEN len(content) > 0 THEN content ELSE words END, ' ') = 'almond blue' THEN 0.95e0 WHEN starts_with(key, 'almond blue') THEN 0.8e0
-             WHEN contains(' ' || key || ' ', ' almond blue ') THEN 0.75e0 WHEN j >= 0.5 THEN 0.4e0 + 0.3e0 * j END AS score FROM s)
+        m AS (SELECT id, label, CASE WHEN key = 'gear blue' THEN 1.0e0 WHEN array_to_string(CASE WHEN len(content) > 0 THEN content ELSE words END, ' ') = 'gear blue' THEN 0.95e0 WHEN starts_with(key, 'gear blue') THEN 0.8e0
+             WHEN contains(' ' || key || ' ', ' gear blue ') THEN 0.75e0 WHEN j >= 0.5 THEN 0.4e0 + 0.3e0 * j END AS score FROM s)
         SELECT id, label, floor(score * 10000 + 0.5) / 10000 AS score FROM m WHERE score IS NOT NULL ORDER BY score DESC, id LIMIT 50""",
     "resolve_names": f"""{_G}, k AS (SELECT id, {_KEY.format(_PLAIN)} AS content, {_WORDS.format(_PLAIN)} AS words FROM nodes), kk AS (SELECT id, array_to_string(CASE WHEN len(content) > 0 THEN content ELSE words END, ' ') AS key FROM k),
         g AS (SELECT key, count(DISTINCT id) AS n, min(id) AS node_id FROM kk GROUP BY key),
