@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.numeric import millionths, round4
 from skein.functions.text import clipped, numbers
-from skein.operators import coverage, extract, graph, search, similarity, trust
+from skein.operators import actions, coverage, explain, extract, graph, resolve, search, similarity, snapshot, trust
 from skein.operators.components import components
 from skein.sources import star
 from skein.sources.star import table
@@ -255,12 +255,59 @@ def number_faithfulness(spark, d):
 
 @query
 def template_sentences(spark, d):
-    #: The phrase of each relation.
-    phrases = {"caused_by": " is caused by ", "participates_in": " takes part in ", "investigates": " investigates ", "funds": " funds "}
-    said = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
-    n = star.nodes(spark, d)
-    joined = _edges(spark, d).filter("relation <> 'has_phenotype'").join(n.select(F.col("id").alias("source_id"), F.col("label").alias("a")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("label").alias("b")), "target_id")
-    return joined.select("id", F.concat("a", said[F.col("relation")], "b", F.format_string(" (confidence %.2f).", "confidence")).alias("sentence"))
+    return explain.sentences(_edges(spark, d).filter("relation <> 'has_phenotype'"), star.nodes(spark, d))
+
+
+@query
+def caveats(spark, d):
+    return explain.caveats(_edges(spark, d), star.disputed(spark, d))
+
+
+@query
+def explanation_checks(spark, d):
+    # Each sentence as an explanation of its edge, its label the context: sentences with numbers that labels don't have are found.
+    e, n = _edges(spark, d).filter("relation = 'funds'"), star.nodes(spark, d)
+    said = explain.sentences(e, n).join(e.select("id", "source_id", "target_id"), "id")
+    given = said.select("id", F.col("sentence").alias("text"), F.array("id").alias("cited"), F.array("id").alias("asked"), F.array().cast("array<string>").alias("disputed"), F.concat_ws(" ", "source_id", F.when(F.endswith("target_id", F.lit("1")), F.lit("0.95")).otherwise(F.lit(""))).alias("context"))
+    return explain.valid(given.withColumn("text", F.regexp_replace("text", "#[0-9]+", ""))).select("id", "problem")
+
+
+@query
+def related_tiers(spark, d):
+    return actions.related(_edges(spark, d))
+
+
+@query
+def next_experiment(spark, d):
+    studies = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    found = studies.select(F.concat(F.lit("N:"), "c_nationkey").alias("disease"), F.concat(F.lit("O:"), "o_orderkey").alias("study"), (F.col("o_orderstatus") == "O").alias("is_open"), F.col("o_totalprice").alias("size"))
+    return actions.next_study(found)
+
+
+@query
+def path_hydration(spark, d):
+    paths = graph.cheapest_paths(graph.routing(_edges(spark, d)), "N:0", "N:7", 3, 4)
+    return actions.hydrated(paths.select(F.array_join("path", ">").alias("path_id"), "path"), _edges(spark, d))
+
+
+@query
+def resolve_cascade(spark, d):
+    n = star.nodes(spark, d).filter("type in ('disease', 'funder', 'gene', 'mechanism')")
+    mentions = table(spark, d, "nation").select(F.lower("n_name").alias("mention")).union(table(spark, d, "part").select("p_brand")).union(table(spark, d, "part").select(F.concat(F.lit("the "), F.col("p_type"), F.lit(" thing"))))
+    return resolve.cascade(mentions, n)
+
+
+@query
+def snapshot_digest(spark, d):
+    return snapshot.content_hash(_edges(spark, d))
+
+
+@query
+def predicate_upgrade(spark, d):
+    # Orders as associations: urgent ones are causes, the rest upgraded where the customer has one of the same status.
+    o = table(spark, d, "orders")
+    causes = o.filter("o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderstatus").distinct().withColumn("cause", F.lit(True))
+    return o.join(causes, ["o_custkey", "o_orderstatus"], "left").select("o_orderkey", F.coalesce("cause", F.lit(False)).alias("upgraded"))
 
 
 @query

@@ -159,6 +159,24 @@ SQL = {
     "number_faithfulness": r"SELECT d.doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '([0-9]+\.[0-9]+|[0-9]{2,})', 1))), ',') AS numbers FROM documents d WHERE regexp_matches(text, '[0-9]+\.[0-9]+|[0-9]{2,}')",
     "template_sentences": f"""{_G} SELECT e.id, a.label || CASE relation WHEN 'caused_by' THEN ' is caused by ' WHEN 'participates_in' THEN ' takes part in ' WHEN 'investigates' THEN ' investigates ' ELSE ' funds ' END || b.label || ' (confidence ' || printf('%.2f', confidence) || ').' AS sentence
         FROM edges e JOIN nodes a ON source_id = a.id JOIN nodes b ON target_id = b.id WHERE relation <> 'has_phenotype'""",
+    "caveats": f"""{_G}, m AS (SELECT e.*, d.source_id IS NOT NULL AS disputed FROM edges e LEFT JOIN disputed d ON e.source_id = d.source_id AND e.relation = d.relation AND e.target_id = d.target_id),
+        c AS (SELECT relation, count(*) FILTER (evidence_type = 'inferred') AS n_inferred, count(*) FILTER (confidence < 0.7) AS n_low, count(*) FILTER (disputed) AS n_disputed FROM m GROUP BY relation)
+        SELECT *, array_to_string(list_filter([CASE WHEN n_inferred > 0 THEN n_inferred || ' inferred' END, CASE WHEN n_low > 0 THEN n_low || ' of low confidence' END, CASE WHEN n_disputed > 0 THEN n_disputed || ' disputed' END], lambda x: x IS NOT NULL), '; ') AS caveats FROM c""",
+    "explanation_checks": f"{_G} SELECT id, CASE WHEN target_id LIKE '%1' THEN NULL ELSE 'unseen number' END AS problem FROM edges WHERE relation = 'funds'",
+    "related_tiers": f"""{_G}, t AS (SELECT source_id AS disease, target_id AS item, 1 AS tier FROM edges WHERE relation = 'caused_by'
+          UNION SELECT c.source_id, p.target_id, 2 FROM edges c JOIN edges p ON c.target_id = p.source_id WHERE c.relation = 'caused_by' AND p.relation = 'participates_in'),
+        m AS (SELECT x.disease AS a, y.disease AS b, x.tier, x.item FROM t x JOIN t y ON x.item = y.item AND x.tier = y.tier AND x.disease < y.disease)
+        SELECT a, b, tier, count(DISTINCT item) AS n_shared FROM m GROUP BY a, b, tier QUALIFY tier = min(tier) OVER (PARTITION BY a, b)""",
+    "next_experiment": """SELECT 'N:' || c_nationkey AS disease, 'O:' || o_orderkey AS study, o_orderstatus = 'O' AS is_open, o_totalprice AS size FROM orders JOIN customer ON o_custkey = c_custkey
+        QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderstatus = 'O' DESC, o_totalprice DESC, 'O:' || o_orderkey) = 1""",
+    "path_hydration": f"""{_G}, {ROUTES}, s AS (SELECT lo AS a, hi AS b, w FROM routes UNION ALL SELECT hi, lo, w FROM routes),
+        p(path, here, w) AS (SELECT ['N:0'], 'N:0', CAST(0 AS BIGINT) UNION ALL SELECT list_append(path, s.b), s.b, p.w + s.w FROM p JOIN s ON p.here = s.a WHERE p.here <> 'N:7' AND len(path) <= 4 AND NOT list_contains(path, s.b)),
+        best AS (SELECT path, array_to_string(path, '>') AS path_id FROM p WHERE here = 'N:7' ORDER BY w, 2 LIMIT 3),
+        h AS (SELECT path_id, i, least(path[i], path[i + 1]) AS lo, greatest(path[i], path[i + 1]) AS hi FROM best, unnest(range(1, len(path))) AS t(i)),
+        e AS (SELECT least(source_id, target_id) AS lo, greatest(source_id, target_id) AS hi, id, confidence, evidence_type FROM edges),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lo, hi ORDER BY confidence DESC, id) AS r FROM e)
+        SELECT path_id, string_agg(id, ',' ORDER BY i) AS edge_ids, min(confidence) AS least_confidence, bool_or(evidence_type = 'inferred') AS has_inferred, count(*) AS n_hops FROM h JOIN b ON h.lo = b.lo AND h.hi = b.hi AND r = 1 GROUP BY path_id""",
+    "predicate_upgrade": "SELECT o_orderkey, EXISTS (SELECT 1 FROM orders c WHERE c.o_custkey = o.o_custkey AND c.o_orderstatus = o.o_orderstatus AND c.o_orderpriority = '1-URGENT') AS upgraded FROM orders o",
     "usage_rollup": "SELECT role, count(*) AS n_turns, count(DISTINCT conv_id) AS n_chats, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY role",
     "latest_per_key": "SELECT o_custkey, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY o_custkey",
     "distinct_codes": "SELECT l_partkey, array_to_string(list_sort(list(DISTINCT l_returnflag || l_linestatus)), ',') AS codes, count(*) AS n FROM lineitem GROUP BY l_partkey",
