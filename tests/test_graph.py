@@ -43,7 +43,8 @@ def test_cheapest_paths_are_those_of_enumeration(spark):
     names = list("ABCDEFGH")
     routes = {tuple(sorted(p)): r.randint(1, 9) * 100_000 for p in itertools.combinations(names, 2) if r.random() < 0.5}
     cost = lambda a, b: routes.get(tuple(sorted((a, b))))
-    every = [(sum(cost(*e) for e in itertools.pairwise(p)), list(p)) for n in range(0, 4) for mid in itertools.permutations([x for x in names if x not in "AH"], n) if all(cost(*e) for e in itertools.pairwise(p := ("A", *mid, "H")))]
+    middles = [("A", *m, "H") for n in range(4) for m in itertools.permutations([x for x in names if x not in "AH"], n)]
+    every = [(sum(cost(*e) for e in itertools.pairwise(p)), list(p)) for p in middles if all(cost(*e) for e in itertools.pairwise(p))]
     found = graph.cheapest_paths(spark.createDataFrame([(*k, v) for k, v in routes.items()], "lo string, hi string, w long"), "A", "H", 3, 4).collect()
     assert [(x["w"], x["path"]) for x in found] == sorted(every)[:3]
 
