@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_short_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most 1,000 rows: texts are long, and a task holds a batch several times over."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def text_of(column: str = "text") -> Column:
     """The column as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -46,7 +54,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound so that a task's memory doesn't grow with the vocabulary."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHashes, lower_words, shingle_hashes
+from skein.llm.common import WordHashes, in_short_batches, lower_words, shingle_hashes
 
 #: Hash functions. An item is at least a fifth of some window (0.8 of it, just over half of its partition's
 #: size, in a window of twice that), so it is missed with probability 0.8 ** HASHES at most, 6e-7.
@@ -152,7 +152,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     empty items are contained nowhere; null and empty documents contain nothing. Repeated documents and items
     give repeated rows, null ids rows with null ids; other columns are ignored. Items go out in blocks.
     """
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    docs = in_short_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
     out = None
     for block in _blocks(items):
@@ -186,7 +186,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all their columns, that contain no test item, by the rules of contaminated()."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    schema = docs.schema
+    schema = in_short_batches(docs).schema
     for block in _blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, width))
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import in_short_batches
+
 #: Elements by their role in the markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -151,5 +153,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             b = b.assign(text=[main_text(h) for h in b["html"]])
             yield b.assign(n_chars=[len(t) for t in b["text"]])[["page_id", "url", "text", "n_chars"]]
 
-    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = in_short_batches(pages).select(F.col("page_id").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInPandas(extract, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import in_short_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms a segment has at most.
 LONGEST = 16
@@ -277,6 +279,6 @@ def find_pii(docs: DataFrame, examples: int = 300, seed: int = 5) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "base": base, "extra": extra})
 
     span = "array<struct<start:bigint,kind:string,stop:bigint,value:string>>"
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = in_short_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(search, f"doc_id string, base {span}, extra {span}").withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import in_short_batches
+
 #: Words in a passage.
 PASSAGE_WORDS = 128
 HIDDEN, GATE = 16, 8
@@ -133,7 +135,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, bound:
     too. Without labelled rows of both kinds every score is the share of label 1, or 0.5. Repeated rows are
     scored as often as they occur; other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    docs = in_short_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
