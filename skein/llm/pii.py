@@ -94,7 +94,7 @@ def regions(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if "@" in text[a:b] or sum("0" <= c <= "9" for c in text[a:b]) >= 7]
 
 
-FEATURES = 20
+FEATURES = 23
 
 
 def span_features(region: str, a: int, b: int) -> list[float]:
@@ -103,6 +103,7 @@ def span_features(region: str, a: int, b: int) -> list[float]:
     d = _digits(s)
     groups = re.findall(r"[0-9]+", s)
     left, right = region[a - 1 : a], region[b : b + 1]
+    sizes = [len(g) for g in groups]
     others = set(s) - set("0123456789")
     parts = s.split(".")
     letters = sum(c.isalpha() for c in s)
@@ -117,7 +118,7 @@ def span_features(region: str, a: int, b: int) -> list[float]:
         float(quads and not all(len(p) < 4 and int(p) <= 255 for p in parts)),
         float(12 <= len(d) <= 19 and not others - set(" -.") and luhn(d)),
         float(12 <= len(d) <= 19 and not others - set(" -.") and not luhn(d)),
-        float(13 <= len(d) <= 16 and all(len(g) in (4, 5, 6) for g in groups) and len(groups) > 1),
+        float(12 <= len(d) <= 19 and len(groups) > 2 and set(sizes[:-1]) == {4}),
         float(s[:1] == "+" and 9 <= len(d) <= 15),
         float(s[:2] in ("00", "(0") and 9 <= len(d) <= 15),
         float(9 <= len(d) <= 15 and len(groups) >= 3 and not others - set(" ().-/+") and not quads),
@@ -127,6 +128,9 @@ def span_features(region: str, a: int, b: int) -> list[float]:
         float(len(d) > 15),
         float(left.isalnum() or right.isalnum()),
         float(left in "+.-/@_%" and left != "" or right in "-/@_%" and right != ""),
+        float(right == "." and region[b + 1 : b + 2].isalnum() or left == "." and region[a - 2 : a - 1].isalnum()),
+        float(right in (" ", "-") and region[b + 1 : b + 2].isdigit() or left in (" ", "-") and a > 1 and region[a - 2 : a - 1].isdigit()),
+        float(sizes[-3:] == [3, 3, 4] or sizes[-2:] == [3, 4]),
         letters / max(len(s), 1),
         float(bool(s) and not (s[0].isalnum() or s[0] in "+(") or not s[-1:].isalnum()),
     ]
