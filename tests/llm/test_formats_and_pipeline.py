@@ -52,7 +52,7 @@ def test_main_text():
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)]
     found = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
-    assert sorted(x["n_chars"] for x in found) == [0, 52, 52] and html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert sorted(x["n_chars"] for x in found) == [0, 51, 51] and html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @pytest.fixture(scope="module")
