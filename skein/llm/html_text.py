@@ -30,7 +30,7 @@ SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 CONTAINERS = {"article", "main"}
 #: Words in class, id or role that mark what is no part of an article.
 ASIDE = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|navbar|navigation|nav|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|respond|replies|footer|masthead|site-header|toolbar|pagination|pager|complementary|contentinfo|search)(?![a-z])", re.I)
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
 #: Weight of a block k places away, before the likeness of its path.
