@@ -11,7 +11,8 @@ list. Two relations between sets then save work:
   is compared only with entries that the head's component hasn't reached yet.
 
 What remains after the heads are settled, entries of one list in different components, is compared in full,
-so no link between different components is lost. Shingles and sets are held as 64- and 128-bit hashes.
+so no link between different components is lost. Before that, a bitmap of each set, a bit a shingle, bounds
+their overlap from above and drops the pairs that can't link. Shingles and sets are held as 64- and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -42,6 +43,23 @@ def _sets(texts: list[bytes | None], width: int, hashes: WordHashes) -> Iterator
         yield np.unique(shingle_hashes(hashes.of(lower_words(text)), width))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """A bit of parity for each slot of the set's shingles; as many slots as shingles, rounded up to a power of two."""
+    slots = max(64, 1 << int(len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(x: bytes, m: int, y: bytes, n: int, percent: int) -> bool:
+    """Whether sets of these bitmaps and sizes can reach the threshold: each slot that differs has an own shingle of one of them."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    apart = int(np.bitwise_count(a ^ b).sum())
+    both = min((m + n - apart) // 2, m, n)
+    return 100 * both >= percent * (m + n - both)
+
+
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How common each slot of shingles is, in eighths of a power of two above the median slot. Only costs depend on it."""
 
@@ -61,23 +79,24 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per document its set's size and key, and the prefix of its shingles in the global order."""
+    """Per document its set's size and key, the prefix of its shingles in the global order, and its set's bitmap."""
     spark = docs.sparkSession
     rank = spark.sparkContext.broadcast(_sketch(docs.select("text"), width))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ranks = WordHashes(), rank.value
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, bitmaps = [], [], [], []
             for s in _sets(batch["text"].tolist(), width, hashes):
                 k = len(s) - _need(len(s), percent) + 1 if len(s) else 0
                 r = ranks[s % np.uint64(SLOTS)]
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 prefixes.append(s[np.argsort(r, kind="stable")[:k]].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "key": keys, "prefix": prefixes})
+                bitmaps.append(_bitmap(s))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "key": keys, "prefix": prefixes, "bitmap": bitmaps})
 
-    return saved(docs.mapInPandas(sign, "doc_id string, n long, key binary, prefix array<long>").withColumn("doc_id", F.col("doc_id").cast("long")))
+    return saved(docs.mapInPandas(sign, "doc_id string, n long, key binary, prefix array<long>, bitmap binary").withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def _room(percent: int):
@@ -97,11 +116,26 @@ def _sieve(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _open_pairs(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps leave room for a link."""
+
+    def room(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = zip(batch["x"], batch["m"], batch["y"], batch["n"], strict=True)
+            keep = [_may_link(x, m, y, n, percent) for x, m, y, n in rows]
+            yield batch.loc[keep, ["a", "b"]]
+
+    one = classes.select(F.col("cid").alias("a"), F.col("n").alias("m"), F.col("bitmap").alias("x"))
+    two = classes.select(F.col("cid").alias("b"), "n", F.col("bitmap").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "m", "y", "n").mapInPandas(room, "a long, b long")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold. The sets are made again from one text each.
 
-    A sieve of fixed size keeps most other texts out of the shuffle.
+    Only pairs that their bitmaps leave open need sets. A sieve of fixed size keeps most other texts out of the shuffle.
     """
+    pairs = saved(_open_pairs(classes, pairs, percent))
     wanted = classes.select("cid", "key", F.col("first_id").cast("string").alias("first_id")).join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
     wanted = saved(wanted)
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted.select(F.coalesce("first_id", F.lit("null")).alias("id"))))
@@ -133,7 +167,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
     both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
     out = saved(both.mapInPandas(hold, "a long, b long").distinct())
-    for used in (wanted, sets):
+    for used in (pairs, wanted, sets):
         discard(used)
     return out
 
@@ -149,7 +183,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     docs = in_short_batches(docs).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     signed = _signatures(docs, width, percent)
     classes = saved(
-        signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("cid", F.monotonically_increasing_id())
+        signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")).withColumn("cid", F.monotonically_increasing_id())
     )
     entries = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
@@ -178,7 +212,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     by_class = classes.select("key", "first_id", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = by_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = by_class.join(smallest, "comp").select("key", "component_id")
-    out = signed.drop("prefix").join(named, "key", "left")
+    out = signed.drop("prefix", "bitmap").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -287,3 +287,15 @@ def test_quality_rules(spark):
     kept = quality_rules.cleaned(docs)
     assert kept.columns == docs.columns and kept.count() == sum(x["_kept"] for x in found)
     assert quality_rules.measure(docs.filter("false")).count() == 0
+
+
+def test_bitmaps_never_drop_a_link():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        whole = r.integers(0, 1 << 63, int(r.integers(1, 900)), np.uint64)
+        a, b = (np.unique(whole[r.random(len(whole)) < share]) for share in (0.95, r.uniform(0.5, 1)))
+        if len(a) and len(b):
+            both = len(np.intersect1d(a, b))
+            for percent in (50, 80, 90):
+                linked = 100 * both >= percent * (len(a) + len(b) - both)
+                assert not linked or ngram_join._may_link(ngram_join._bitmap(a), len(a), ngram_join._bitmap(b), len(b), percent)
