@@ -53,7 +53,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: Not SQL: the copies of the last stage follow a seeded hash of Spark's. Tested against a brute-force version.
+#: Not SQL: the copies of the last stage follow a seeded hash of Spark's. test_run_equals_brute_force has them by brute force.
 ORACLE_SQL = None
 
 

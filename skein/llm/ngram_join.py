@@ -219,10 +219,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all their columns, without those of a component whose first row is another.
 
-    Rows are named by their place in docs, which must come from files so that each read deals them alike; so of
-    repeated rows, and of rows with null ids, one stays too. Texts without words all stay.
+    Rows are named by numbers that are written once with them: numbering each read anew gives other names when the
+    files are dealt otherwise, as after the loss of an executor. So of repeated rows, and of rows with null ids, one
+    stays too. Texts without words all stay.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = jaccard_components(numbered, width, percent, id_col="_row")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")

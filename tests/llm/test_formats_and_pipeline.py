@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import chat_format, html_text, queries, quality_rules
-from tests.llm.test_text_operators import corpus
+from skein.llm import chat_format, html_text, mixing, ngram_join, queries, quality_rules
+from tests.llm.test_text_operators import brute_components, corpus, sentence
 
 DATA = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
@@ -94,3 +95,47 @@ def test_queries_equal_their_sql(spark, name):
     mine = queries.queries()[name](spark, DATA)
     assert sorted(mine.columns) == sorted(columns)
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(x[c] for c in columns)) for x in mine.collect())
+
+
+def test_one_of_each_when_files_are_dealt_otherwise(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, sentence(r, 40), "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, t, *rest) for i, t, *rest in rows[::2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(8).write.parquet(f"{tmp_path}/d")
+    join, conf = ngram_join.jaccard_components, "spark.sql.files.maxPartitionBytes"
+
+    def join_and_lose_an_executor(*args, **named):
+        found = join(*args, **named)
+        spark.conf.set(conf, "1m")
+        return found
+
+    monkeypatch.setattr(ngram_join, "jaccard_components", join_and_lose_an_executor)
+    try:
+        kept = [x["text"] for x in ngram_join.one_of_each(spark.read.parquet(f"{tmp_path}/d")).collect()]
+    finally:
+        spark.conf.unset(conf)
+    assert sorted(kept) == sorted({x[1] for x in rows})
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    secret, schema = "Token: abcdefgh12345678", "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t if t is None or len(t) > 1000 else "\n".join([t, secret]), "en", s, len(t or "")) for i, t, s, *_ in corpus(8)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    item = " ".join(rows[0][1].split()[:20])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cleaned = quality_rules.cleaned(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    groups = brute_components([(i, x["text"]) for i, x in enumerate(cleaned)], 5, 80)
+    firsts = [cleaned[i] for i, _, first in groups if i == first]
+    shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    passage = shingles(item)
+    left = [x for x in firsts if 100 * len(passage & shingles(x["text"])) < 80 * len(passage)]
+    assert len(cleaned) > len(firsts) > len(left)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = Counter(x["doc_id"] for x in found)
+    rate = {x["source"]: x["_target"] / x["_source_size"] for x in mixing.mix_sources(mixing.measured(spark.createDataFrame(left, schema))).collect()}
+    assert set(copies) <= {x["doc_id"] for x in left}
+    assert all(copies[x["doc_id"]] - int(rate[x["source"]]) in (0, 1) for x in left)
+    texts = {x["doc_id"]: x["text"] for x in left}
+    assert all(secret not in x["text"] and x["n_chars"] == len(x["text"]) for x in found)
+    assert all(x["text"].startswith(texts[x["doc_id"]].split("Token:")[0]) for x in found)
