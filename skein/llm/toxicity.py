@@ -116,31 +116,61 @@ class Lexicon:
 
 
 class _Finder(dict):
-    """Hit (term, edits) of each written word or None, remembered up to a bound."""
+    """Hits (place, term, edits) of each blank-separated run, remembered up to a bound; long runs aren't remembered.
+
+    The place is that of the TERM in the run. Only if no TERM hits, all of them together can, at place -1.
+    """
 
     LIMIT = 120_000
+    LONG = 200
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[str, int] | None:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        parts = re.findall(TERM, word.lower()) if len(word) < 200 else []
-        self[word] = out = next((hit for p in parts if (hit := self.lexicon.find(p))), None) or (self.lexicon.find("".join(parts)) if len(parts) > 1 else None)
+    def __missing__(self, word: str) -> tuple[tuple[int, str, int], ...]:
+        parts = re.findall(TERM, word.lower())
+        out = tuple((k, *hit) for k, p in enumerate(parts) if (hit := self.lexicon.find(p)))
+        if not out and len(parts) > 1 and (hit := self.lexicon.find("".join(parts))):
+            out = ((-1, *hit),)
+        if len(word) < self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = out
         return out
 
 
+def _pieces(run: str) -> list[str]:
+    """A run cut into a piece for each of its TERMs. Quotes that follow another mark open the next piece."""
+    low, out, at, end = run.lower(), [], 0, None
+    run = run if len(run) == len(low) else low
+    for m in re.finditer(TERM, low):
+        if end is not None:
+            between = run[end : m.start()]
+            cut = m.start() - (len(between) - len(between.rstrip(QUOTES))) if between.strip(QUOTES) else m.start()
+            out.append(run[at:cut])
+            at = cut
+        end = m.end()
+    return [*out, run[at:]]
+
+
 def hits(text: str | None, found: _Finder) -> Iterator[tuple[str, int, bool, bool]]:
-    """Each hit of a text: term, edits, whether its window quotes or reports it, whether its window addresses someone."""
+    """Each hit of a text: term, edits, whether its window quotes or reports it, whether its window addresses someone.
+
+    A run of several TERMs is as many words for the windows of its own hits.
+    """
     words = (text or "").split()
-    for i, hit in enumerate(map(found.__getitem__, words)):
-        if hit:
-            near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-            bare = {w.strip(QUOTES + ".,;:!?()").lower() for w in near}
-            before, after = " ".join(words[max(0, i - WINDOW) : i + 1]), " ".join(words[i : i + WINDOW + 1])
-            quoted = any(q in before[: len(before) - len(words[i]) + 1] and any(x in after for x in QUOTES) for q in QUOTES) or bool(bare & REPORTS)
-            yield *hit, quoted, bool(bare & ADDRESS)
+    for i, several in enumerate(map(found.__getitem__, words)):
+        if several:
+            own = _pieces(words[i]) if several[0][0] >= 0 else [words[i]]
+            left, right = words[max(0, i - WINDOW) : i], words[i + 1 : i + WINDOW + 1]
+            around = left + own + right
+            for place, term, edits in several:
+                k = len(left) + max(place, 0)
+                before, after = around[max(0, k - WINDOW) : k], around[k : k + WINDOW + 1]
+                bare = {w.strip(QUOTES + ".,;:!?()").lower() for w in before + after}
+                ahead, behind = " ".join([*before, around[k][:1]]), " ".join(after)
+                quoted = any(q in ahead and any(x in behind for x in QUOTES) for q in QUOTES) or bool(bare & REPORTS)
+                yield term, edits, quoted, bool(bare & ADDRESS)
 
 
 def features(text: str | None, found: _Finder, weights: dict[tuple[str, bool], float]) -> list[float]:

@@ -170,6 +170,17 @@ def test_context_tells_quotation_from_abuse():
     assert [x[2:] for x in toxicity.hits("you utter moron go away", found)] == [(False, True)]
 
 
+def test_every_term_of_a_run_is_found():
+    found = toxicity._Finder(toxicity.Lexicon({"moron": 2.0, "idiot": 1.0}))
+    terms = lambda text: [x[0] for x in toxicity.hits(text, found)]
+    for sep in (",", "/", "_", "─"):
+        assert terms(sep.join(["nice", "moron", "day", "iddiot", "moron"])) == ["moron", "idiot", "moron"]
+        assert terms(sep.join(["nice", *["moron", "day"] * 300, "idiot"])) == ["moron"] * 300 + ["idiot"]
+    assert terms("m.o.r.o.n") == ["moron"] and terms("İ,moron" + ",x" * 200) == ["moron"] and all(len(w) < 200 for w in found)
+    run = "you,moron," + "day," * 200 + 'he,said,"moron",then,left,the,very,old,big,red,house,a,moron'
+    assert [x[2:] for x in toxicity.hits(run, found)] == [(False, True), (True, False), (False, False)]
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
