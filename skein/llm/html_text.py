@@ -29,7 +29,9 @@ ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"article", "main"}
 #: Words in class, id or role that mark what is no part of an article.
-ASIDE = re.compile(r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|navbar|navigation|nav|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|respond|replies|footer|masthead|site-header|toolbar|pagination|pager|complementary|contentinfo|search)(?![a-z])", re.I)
+ASIDE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|navbar|navigation|nav|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|respond|replies|footer|masthead|toolbar|pagination|pager|complementary|contentinfo|search", re.I)
+#: Words that say where such a part is or what it is made of.
+PLACES = set("site header main top bottom left right primary secondary list links box bar buttons form section area container wrapper widget block posts".split())
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
@@ -44,6 +46,7 @@ class Element:
     tag: str
     path: str
     aside: bool
+    marked: tuple[int, ...]
     up: tuple[int, ...]
     containers: tuple[int, ...]
 
@@ -58,9 +61,19 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
+def _marks_aside(marks: str) -> bool:
+    """Whether a whole token says so: its words are ASIDE's, beside words of place. no-sidebar or search-result don't."""
+    for token in marks.split():
+        words = [w for w in re.findall(r"[^\W\d_]+", token.lower()) if len(w) > 1]
+        named = [w for w in words if ASIDE.fullmatch(w)]
+        if named and all(w in named or w in PLACES for w in words) or words == ["site", "header"]:
+            return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, those without text left out. Elements that aren't closed end with the page."""
-    stack = [Element("", "", False, (), ())]
+    stack = [Element("", "", False, (), (), ())]
     out: list[Block] = []
     at, n, here = 0, 0, None
 
@@ -96,8 +109,9 @@ def blocks(html: str) -> list[Block]:
             continue
         marks = " ".join(x.strip("\"'") for x in MARKS.findall(m[4] or ""))
         up, n = stack[-1], n + 1
-        aside = up.aside or tag in SKIPPED or (tag == "header" and not up.containers) or (tag not in ("html", "body", *CONTAINERS) and bool(ASIDE.search(marks)))
-        stack.append(Element(tag, f"{up.path}/{tag}" + (f".{marks.lower()}" if marks else ""), aside, (*up.up, n), (*up.containers, *[n] * (tag in CONTAINERS))))
+        aside = up.aside or tag in SKIPPED or (tag == "header" and not up.containers)
+        marked = (*up.marked, *[n] * (tag not in ("html", "body", *CONTAINERS) and _marks_aside(marks)))
+        stack.append(Element(tag, f"{up.path}/{tag}" + (f".{marks.lower()}" if marks else ""), aside, marked, (*up.up, n), (*up.containers, *[n] * (tag in CONTAINERS))))
     say(html[at:])
     return [b for b in out if b.text]
 
@@ -121,13 +135,40 @@ def path_ratios(found: list[Block]) -> np.ndarray:
     return smooth[:, 0] * (1 + smooth[:, 1])
 
 
+def _content(found: list[Block]) -> list[Block]:
+    """The blocks whose fused ratio is above the threshold."""
+    fused = path_ratios(found)
+    return [b for b, r in zip(found, fused, strict=True) if r >= THRESHOLD * fused.std() and r > 0]
+
+
+def _staying(found: list[Block]) -> list[Block]:
+    """found without the blocks under marks, but for marked elements that hold the page's content.
+
+    Such an element has over half of the content by path ratio or, with an article or main in it, as much as all
+    that isn't marked; and no article or main beside it has text that isn't marked.
+    """
+    if not any(b.element.marked for b in found):
+        return found
+    content = _content(found)
+    size = lambda some: sum(len(b.text) for b in some)
+    plain = [b for b in content if not b.element.marked]
+    stay = set()
+    for e in {e for b in content for e in b.element.marked}:
+        inside = [b for b in content if e in b.element.marked]
+        above = inside[0].element.up[: inside[0].element.up.index(e)]
+        beside = any(c not in above for b in found if not b.element.marked for c in b.element.containers)
+        holds = any(c > e for b in inside for c in b.element.containers)
+        if not beside and (2 * size(inside) > size(content) or (holds and size(inside) >= size(plain))):
+            stay.add(e)
+    return [b for b in found if stay.issuperset(b.element.marked)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks joined by an empty line; empty if there is none."""
-    found = [b for b in blocks(html or "") if not b.element.aside]
+    found = _staying([b for b in blocks(html or "") if not b.element.aside])
     if not found:
         return ""
-    fused = path_ratios(found)
-    chosen = [b for b, r in zip(found, fused, strict=True) if r >= THRESHOLD * fused.std() and r > 0] or found
+    chosen = _content(found) or found
     inside = [e for b in chosen for e in b.element.containers]
     if inside:
         home = max(set(inside), key=lambda e: (sum(len(b.text) for b in chosen if e in b.element.up), e))

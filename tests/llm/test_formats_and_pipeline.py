@@ -50,6 +50,17 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<nav>only</nav>", "<p> </p>", "</div></p>")] == [""] * 5
 
 
+def test_marks_that_wrap_the_article():
+    text = "A long first sentence, with commas, that tells it all.\n\nAnd a second one, as long as that, to read on."
+    body = "".join(f"<p>{x}</p>" for x in text.split("\n\n"))
+    rest = "<div class='related-posts'><p>Read more, here.</p></div><div class='ad'>Buy now!</div>"
+    for marks in ("content no-sidebar", "has-sidebar", "with-comments", "search-result", "related-work", "content sidebar", "search"):
+        for inner in (body, f"<article>{body}</article>", f"<main>{body}</main>"):
+            assert html_text.main_text(f"<body><div class='{marks}'>{inner}</div>{rest}</body>") == text, marks
+    comments = "<div class='comments'><article><p>" + "A comment, much longer than all of it. " * 9 + "</p></article></div>"
+    assert html_text.main_text(f"<body><main><article>{body}</article>{comments}</main></body>") == text
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)]
     found = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
