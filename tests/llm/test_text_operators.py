@@ -198,6 +198,10 @@ def test_pii_base_spans_are_those_of_the_patterns():
         assert pii.base_spans(text) == sorted(expected), text
 
 
+def test_pii_zeros_before_an_address_part():
+    assert (0, 1, 5007) in pii.base_spans("0" * 5000 + "1.2.3.4")
+
+
 def test_pii_field_on_held_out_regions():
     field = pii.SegmentField().fit(pii.generated(300, 5))
     right = wrong = missed = 0
