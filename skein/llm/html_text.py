@@ -1,16 +1,18 @@
 """HTML extraction by tag-path ratios.
 
-The text of a page is cut into blocks, each under its root-to-leaf path of block elements. Text length and
-punctuation are aggregated per path and divided by the path's blocks; both ratios are smoothed over
-neighbouring blocks by the likeness of their paths and fused; paths above a threshold are content. The content's
-common container then gives the main text, with all its blocks but those that are no part of an article.
+The text of a page is cut into blocks, each under its root-to-leaf path of block elements. Text length outside
+links and punctuation are aggregated per path and divided by the path's blocks; both ratios are smoothed over
+neighbouring blocks by the likeness of their paths and fused; the paths whose ratio is above a threshold are content.
+The content nodes, the blocks of these paths, choose the part of the page that is its main text: from the root on
+the way goes down to where the content is, and ends where it parts. What stands between content there (headings,
+lists, tables) belongs to it. Tags are used for what markup itself says (nav, footer, script, form, article).
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -25,9 +27,11 @@ from skein.llm.common import in_short_batches
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 SKIPPED = set("head title nav footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog".split())
-ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+IN_HEAD = set("head title meta link base style script noscript template".split())
+ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr li dt dd main nav ol p pre section table ul".split())
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark what is no part of an article.
 ASIDE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|navbar|navigation|nav|breadcrumbs?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|comments?|disqus|respond|replies|footer|masthead|toolbar|pagination|pager|complementary|contentinfo|search", re.I)
 #: Words that say where such a part is or what it is made of.
@@ -35,10 +39,13 @@ PLACES = set("site header main top bottom left right primary secondary list link
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.S | re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؟]")
+RIGHTS = re.compile(r"©|\(c\)|copyright\b", re.I)
 #: Weight of a block k places away, before the likeness of its path.
 NEAR = np.exp(-np.arange(3) ** 2 / 2.0)
 #: Share of the deviation of the fused ratios that content must reach.
-THRESHOLD = 0.5
+THRESHOLD = 0.25
+#: Share of the content from which a part holds it all but for strays; share of links from which a list is a menu.
+MOST, MENU = 0.8, 0.6
 
 
 @dataclass
@@ -47,6 +54,7 @@ class Element:
     path: str
     aside: bool
     marked: tuple[int, ...]
+    #: Numbers of the elements from the root to this one.
     up: tuple[int, ...]
     containers: tuple[int, ...]
 
@@ -55,6 +63,7 @@ class Element:
 class Block:
     element: Element
     parts: list[str] = field(default_factory=list)
+    linked: int = 0
 
     @property
     def text(self) -> str:
@@ -71,57 +80,76 @@ def _marks_aside(marks: str) -> bool:
     return False
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, those without text left out. Elements that aren't closed end with the page."""
-    stack = [Element("", "", False, (), (), ())]
+def _marks(attributes: str | None) -> str:
+    return " ".join(x.strip("\"'") for x in MARKS.findall(attributes or ""))
+
+
+def blocks(html: str) -> tuple[list[Block], dict[int, Element]]:
+    """The blocks of a page in order, those without text left out, and all elements by number.
+
+    Elements that aren't closed end with the page or where their like begins; head ends where the body's elements begin.
+    """
+    stack = [Element("", "", False, (), (0,), ())]
     out: list[Block] = []
-    at, n, here = 0, 0, None
+    elements = {0: stack[0]}
+    at, here, links, mute = 0, None, False, []
 
     def say(raw: str) -> None:
         nonlocal here
-        if raw:
+        if raw and not mute:
             if here is None:
                 here = Block(stack[-1])
                 out.append(here)
             here.parts.append(unescape(raw))
+            here.linked += len(raw) * links
 
     for m in MARKUP.finditer(html):
         say(html[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag, closing = (m[3] or "").lower(), bool(m[2])
         if not tag:
             continue
-        if tag == "br" or tag in INLINE:
+        if tag in INLINE:
             if tag in ("br", "img") and here is not None:
                 here.parts.append(" ")
+            elif tag == "a":
+                links = not closing
+            if mute and mute[0] == tag:
+                mute.pop() if closing else mute.append(tag)
+            elif not mute and not closing and tag not in VOID and _marks_aside(_marks(m[4])):
+                mute.append(tag)
             continue
-        here = None
-        if m[2]:
+        here, links, mute = None, False, []
+        if closing:
             if any(e.tag == tag for e in stack):
                 while stack.pop().tag != tag:
                     pass
             continue
+        if tag not in IN_HEAD and any(e.tag == "head" for e in stack):
+            while stack.pop().tag != "head":
+                pass
         if tag in ENDS_P and stack[-1].tag == "p":
             stack.pop()
         while stack[-1].tag in SAME_ENDS.get(tag, ()):
             stack.pop()
         if tag in VOID or (m[4] or "").endswith("/"):
             continue
-        marks = " ".join(x.strip("\"'") for x in MARKS.findall(m[4] or ""))
-        up, n = stack[-1], n + 1
-        aside = up.aside or tag in SKIPPED or (tag == "header" and not up.containers)
+        marks = _marks(m[4])
+        up, n = stack[-1], len(elements)
         marked = (*up.marked, *[n] * (tag not in ("html", "body", *CONTAINERS) and _marks_aside(marks)))
-        stack.append(Element(tag, f"{up.path}/{tag}" + (f".{marks.lower()}" if marks else ""), aside, marked, (*up.up, n), (*up.containers, *[n] * (tag in CONTAINERS))))
+        elements[n] = Element(tag, f"{up.path}/{tag}" + (f".{marks.lower()}" if marks else ""), up.aside or tag in SKIPPED, marked, (*up.up, n), (*up.containers, *[n] * (tag in CONTAINERS)))
+        stack.append(elements[n])
     say(html[at:])
-    return [b for b in out if b.text]
+    return [b for b in out if b.text], elements
 
 
 def path_ratios(found: list[Block]) -> np.ndarray:
-    """Fused, smoothed ratio of each block's path."""
-    totals: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
+    """Fused, smoothed ratio of each block's path, less the share of its text that is links."""
+    totals: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     for b in found:
-        t = totals[b.element.path]
-        t[0], t[1], t[2] = t[0] + len(b.text), t[1] + len(PUNCTUATION.findall(b.text)), t[2] + 1
+        t, own = totals[b.element.path], max(len(b.text) - b.linked, 0)
+        t[0], t[1], t[2], t[3] = t[0] + own, t[1] + len(PUNCTUATION.findall(b.text)), t[2] + 1, t[3] + len(b.text)
+    plain = np.array([totals[b.element.path][0] / totals[b.element.path][3] for b in found])
     ratios = np.array([[totals[b.element.path][0] / totals[b.element.path][2], totals[b.element.path][1] / totals[b.element.path][2]] for b in found])
     steps = [b.element.path.split("/") for b in found]
     smooth, weight = np.zeros_like(ratios), np.zeros(len(found))
@@ -132,53 +160,105 @@ def path_ratios(found: list[Block]) -> np.ndarray:
             w = NEAR[abs(k)] * alike
             smooth[i], weight[i] = smooth[i] + w * ratios[i + k], weight[i] + w
     smooth /= weight[:, None]
-    return smooth[:, 0] * (1 + smooth[:, 1])
+    return plain * np.sqrt(smooth[:, 0] * (1 + smooth[:, 1]))
 
 
-def _content(found: list[Block]) -> list[Block]:
-    """The blocks whose fused ratio is above the threshold."""
-    fused = path_ratios(found)
-    return [b for b, r in zip(found, fused, strict=True) if r >= THRESHOLD * fused.std() and r > 0]
+def content_paths(found: list[Block], fused: np.ndarray) -> set[str]:
+    """The paths whose ratio, the mean of their blocks', reaches the threshold."""
+    of: dict[str, list[float]] = defaultdict(list)
+    for b, r in zip(found, fused, strict=True):
+        of[b.element.path].append(r)
+    least = THRESHOLD * fused.std() if len(found) else 0
+    return {path for path, rs in of.items() if (mean := sum(rs) / len(rs)) >= least and mean > 0}
 
 
-def _staying(found: list[Block]) -> list[Block]:
-    """found without the blocks under marks, but for marked elements that hold the page's content.
+def _size(some: list[Block]) -> int:
+    return sum(len(b.text) for b in some)
 
-    Such an element has over half of the content by path ratio or, with an article or main in it, as much as all
-    that isn't marked; and no article or main beside it has text that isn't marked.
+
+def _staying(content: list[Block]) -> set[int]:
+    """The marked elements that hold the page's content, whose marks therefore don't count.
+
+    Such an element has over half of the content or, with an article or main in it, as much as all that isn't
+    marked; and no article or main beside it has content that isn't marked.
     """
-    if not any(b.element.marked for b in found):
-        return found
-    content = _content(found)
-    size = lambda some: sum(len(b.text) for b in some)
     plain = [b for b in content if not b.element.marked]
     stay = set()
     for e in {e for b in content for e in b.element.marked}:
         inside = [b for b in content if e in b.element.marked]
         above = inside[0].element.up[: inside[0].element.up.index(e)]
-        beside = any(c not in above for b in found if not b.element.marked for c in b.element.containers)
+        beside = any(c not in above for b in plain for c in b.element.containers)
         holds = any(c > e for b in inside for c in b.element.containers)
-        if not beside and (2 * size(inside) > size(content) or (holds and size(inside) >= size(plain))):
+        if not beside and (2 * _size(inside) > _size(content) or (holds and _size(inside) >= _size(plain))):
             stay.add(e)
-    return [b for b in found if stay.issuperset(b.element.marked)]
+    return stay
 
 
-def main_text(html: str | None) -> str:
+def _home(content: list[Block], elements: dict[int, Element]) -> int:
+    """Where the content is: down from the root as long as one part has it, to an article or to where it parts.
+
+    A part that has all but strays of it counts as the one, unless its like stands beside it. A title before the
+    one part keeps the way from going further.
+    """
+    at, depth = 0, 0
+    while elements[at].tag != "article":
+        parts: dict[int, int] = defaultdict(int)
+        for b in content:
+            if len(b.element.up) > depth + 1 and b.element.up[depth] == at:
+                parts[b.element.up[depth + 1]] += len(b.text)
+        own = sum(len(b.text) for b in content if b.element.up[-1] == at)
+        if not parts:
+            break
+        best = max(parts, key=lambda e: (parts[e], -e))
+        alike = any(e != best and elements[e].path == elements[best].path for e in parts)
+        inner = any(len(b.element.up) > depth + 2 and b.element.up[depth + 1] == best for b in content) or elements[best].tag in ("div", "section", "td", *CONTAINERS)
+        if own or alike or not inner or parts[best] < MOST * sum(parts.values()) or elements[best].tag in HEADINGS:
+            break
+        at, depth = best, depth + 1
+    return at
+
+
+def _with_title(home: int, elements: dict[int, Element], found: list[Block]) -> int:
+    """The home, or what is around it, within the body, if all that comes before it there is a title or a header with one."""
+    while len(up := elements[home].up) > 2 and elements[home].tag not in CONTAINERS and elements[up[-2]].tag not in ("html", "body"):
+        around = up[-2]
+        before = [b for b in found if around in b.element.up and home not in b.element.up and b.element.up < up]
+        if not before or not all(b.element.tag in HEADINGS or any(elements[e].tag == "header" for e in b.element.up) for b in before):
+            if elements[around].tag not in CONTAINERS:
+                break
+        home = around
+    return home
+
+
+def main_text(html: str | None, ratios: Callable[[list[Block]], np.ndarray] = path_ratios) -> str:
     """The main text of a page, its blocks joined by an empty line; empty if there is none."""
-    found = _staying([b for b in blocks(html or "") if not b.element.aside])
+    found, elements = blocks(html or "")
+    found = [b for b in found if not b.element.aside]
     if not found:
         return ""
-    chosen = _content(found) or found
-    inside = [e for b in chosen for e in b.element.containers]
-    if inside:
-        home = max(set(inside), key=lambda e: (sum(len(b.text) for b in chosen if e in b.element.up), e))
-        return "\n\n".join(b.text for b in found if home in b.element.up)
-    common = chosen[0].element.up
-    for b in chosen:
-        common = tuple(x for x, y in zip(common, b.element.up, strict=False) if x == y)
-    if len(chosen) == 1:
-        common = common[:-1]
-    return "\n\n".join(b.text for b in found if b.element.up[: len(common)] == common)
+    paths = content_paths(found, ratios(found))
+    content = [b for b in found if b.element.path in paths] or found
+    if any(b.element.marked for b in found):
+        stay = _staying(content)
+        found, content = ([b for b in some if stay.issuperset(b.element.marked)] for some in (found, content))
+        content = content or found
+    if not found:
+        return ""
+    home = _with_title(_home(content, elements), elements, found)
+    depth, sure = len(elements[home].up), bool(elements[home].containers)
+    parts: dict[int, list[Block]] = defaultdict(list)
+    for b in found:
+        if home in b.element.up:
+            parts[b.element.up[depth] if len(b.element.up) > depth else -len(parts) - 1].append(b)
+    out = []
+    for e, part in parts.items():
+        tag = elements[e].tag if e >= 0 else ""
+        if not sure and not any(b.element.path in paths and not RIGHTS.match(b.text) for b in part) and tag not in HEADINGS:
+            menu = sum(b.linked for b in part) > MENU * _size(part)
+            if menu or RIGHTS.match(part[0].text) or (tag == "header" and elements[home].tag in ("", "html", "body")):
+                continue
+        out += part
+    return "\n\n".join(b.text for b in out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
