@@ -51,6 +51,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """What op makes of zero and the values up to each one, an array of longs as long as values.
+
+    An array that grows in a fold is copied at each step; here it grows in blocks of the root of the length only.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def grown(block: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), empty.alias("out"))
+
+        def step(state: Column, x: Column) -> Column:
+            return let(op(state["at"], x), lambda y: F.struct(y.alias("at"), F.concat(state["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(block, begin, step)["out"]
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, width))
+        firsts = lambda b: grown(F.transform(b, lambda x: F.aggregate(x, zero, lambda a, y: op(a, y))), zero)
+        return let(let(blocks, lambda b: F.struct(b.alias("blocks"), firsts(b).alias("firsts"))), lambda t: F.flatten(F.transform(t["blocks"], lambda b, k: grown(b, F.coalesce(F.get(t["firsts"], k - 1), zero)))))
+
+    return F.when(F.size(values) > 0, let(values, whole)).otherwise(empty)
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a bound so that a task's memory doesn't grow with the vocabulary."""
 

@@ -68,7 +68,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[_count(k) for k in secret_scan.BASE], _digest(F.col("base")).alias("base_sha256"), secret_scan.spans_text(F.sort_array(F.concat("base", "extra"))).alias("spans"))
+    every = F.sort_array(F.concat("base", "extra"))
+    told = F.array_join(F.transform(every, lambda s: F.concat_ws(":", s["verdict"], s["owners"].cast("string"), s["repositories"].cast("string"))), ",")
+    return found.select("doc_id", *[_count(k) for k in secret_scan.BASE], _digest(F.col("base")).alias("base_sha256"), secret_scan.spans_text(every).alias("spans"), told.alias("verdicts"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +78,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = saved(mixing.measured(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size", "_chance"))
-    mixed = mixing.mix_sources(sized)
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    sized = saved(mixing.measured(table(spark, sf_dir, "documents")).drop("doc"))
+    return mixing.mix_sources(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

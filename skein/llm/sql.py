@@ -61,4 +61,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * kept_chars >= word_chars AS kept FROM m
 """
 
-SQL = {"op1_ngram_jaccard_join": NGRAM_JOIN, "op4_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT_FORMAT, "op10_quality_rules": QUALITY_RULES}
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _matches(kind: str, order: int, pattern: str, group: int, least: int, also: str = "true") -> str:
+    """Spans of a pattern: the texts between the matches and the matches, in order, give the places."""
+    return f"""SELECT doc_id, '{kind}' AS kind, {order} AS o, start, start + length(hit) AS stop, value FROM (
+      SELECT doc_id, hit, value, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS start FROM (
+        SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(vals) AS value, unnest(gaps[:len(hits)]) AS gap FROM (
+          SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals, regexp_split_to_array(t, '{pattern}') AS gaps FROM d)))
+      WHERE length(value) >= {least} AND {also}"""
+
+
+SECRET_SCAN = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner FROM documents),
+b AS MATERIALIZED ({_matches("assign", 0, _ASSIGN, 2, 6)} UNION ALL {_matches("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_matches("hex", 2, "[0-9a-f]{24,}", 0, 24)}),
+k AS ({_matches("token", 3, "[A-Za-z0-9+/_=-]{20,}", 0, 20, "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')")}),
+c AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = k.doc_id AND b.start < k.stop AND k.start < b.stop)),
+v AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, sha256(t))) AS repositories FROM c JOIN d USING (doc_id) GROUP BY value),
+j AS (SELECT c.*, owners, repositories, CASE WHEN owners <= 2 AND repositories <= 5 THEN 'live' ELSE 'copied' END AS verdict FROM c JOIN v USING (value)),
+s AS (SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (o < 3), '') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans,
+  string_agg(verdict || ':' || owners || ':' || repositories, ',' ORDER BY start, o) AS verdicts FROM j WHERE o < 3 OR verdict = 'live' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(verdicts, '') AS verdicts
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+MIXING = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS.format("text")}) AS size, CAST('0x' || substr(md5('17:' || doc_id || ':' || coalesce(text, '')), 1, 10) AS BIGINT) / 1099511627776e0 AS chance FROM documents),
+z AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM z),
+c AS (SELECT *, 2e0 * size AS cap, coalesce(sum(2e0 * size) OVER o, 0e0) AS capped, coalesce(sum(weight) OVER o, 0e0) AS weighed FROM w WINDOW o AS (ORDER BY 2e0 * size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((1.5e0 * (SELECT sum(size) FROM z) - capped) / ((SELECT sum(weight) FROM w) - weighed)) AS level FROM c),
+t AS (SELECT source, size, least(cap, level * weight) AS target, CASE WHEN size > 0 THEN least(cap, level * weight) / size ELSE 0e0 END AS rate FROM c, l)
+SELECT doc_id, d.size, CAST(t.size AS BIGINT) AS source_size, target, d.size * CAST(floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
+SQL = {"op9_mixing": MIXING, "op7_secret_scan": SECRET_SCAN, "op1_ngram_jaccard_join": NGRAM_JOIN, "op4_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT_FORMAT, "op10_quality_rules": QUALITY_RULES}

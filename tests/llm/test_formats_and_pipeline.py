@@ -144,7 +144,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert len(cleaned) > len(firsts) > len(left)
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     copies = Counter(x["doc_id"] for x in found)
-    rate = {x["source"]: x["_target"] / x["_source_size"] for x in mixing.mix_sources(mixing.measured(spark.createDataFrame(left, schema))).collect()}
+    rate = {x["source"]: x["target"] / x["source_size"] for x in mixing.mix_sources(mixing.measured(spark.createDataFrame(left, schema))).collect()}
     assert set(copies) <= {x["doc_id"] for x in left}
     assert all(copies[x["doc_id"]] - int(rate[x["source"]]) in (0, 1) for x in left)
     texts = {x["doc_id"]: x["text"] for x in left}
