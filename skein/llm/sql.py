@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm.quality_rules import BOILERPLATE, LOUD, MARKS, NAVIGATION, SYMBOLS
+from skein.llm.quality_rules import BOILERPLATE, CLOSING, ENTRIES, ENTRY_CHARS, ENTRY_WORDS, LOUD, MARKS, NAVIGATION, SEPARATORS, SYMBOLS
 
 _BLANK = r"[\x20\x09-\x0D]"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,18 +45,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-_FAILS = f"""(length(x) <= {LOUD} AND lower(trim(regexp_replace(regexp_replace(x, '^{_BLANK}+', ''), '{_BLANK}+$', ''))) IN ({", ".join(f"'{n}'" for n in NAVIGATION)}))
+_quoted = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+_TRIMMED = f"regexp_replace(regexp_replace({{0}}, '^{_BLANK}+', ''), '{_BLANK}+$', '')"
+_FAILS = f"""(length(x) <= {LOUD} AND lower({_TRIMMED.format("x")}) IN ({_quoted(NAVIGATION)}))
   OR (length(x) - length({_strip("x", MARKS)})) * 14 > length(x) OR (length(x) > {LOUD} AND length(replace(x, '!', '')) * 25 < length(x) * 24)
-  OR {" OR ".join(f"contains(lower(x), '{b}')" for b in BOILERPLATE)}"""
+  OR (len(list_filter(lw, lambda w: w IN ({_quoted(SEPARATORS)}) OR regexp_matches(w, '^(https?://|www[.])'))) >= 2
+      AND 3 * len(list_filter(lw, lambda w: w IN ({_quoted(SEPARATORS)}) OR regexp_matches(w, '^(https?://|www[.])'))) >= len(lw))
+  OR regexp_matches(lower(x), {_quoted(["|".join(BOILERPLATE)])})"""
+_ENTRY = f"""length(x) <= {2 * ENTRY_CHARS} AND length({_TRIMMED.format("x")}) BETWEEN 1 AND {ENTRY_CHARS} AND len(lw) <= {ENTRY_WORDS} AND right({_TRIMMED.format("x")}, 1) NOT IN ({_quoted(CLOSING)})"""
 QUALITY_RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM d WHERE len(w) >= 8),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS n FROM p),
 r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM h WHERE n > 1),
 rep AS (SELECT doc_id, CAST(sum(least(8, i - coalesce(b, -8))) AS BIGINT) AS n FROM r GROUP BY doc_id),
-l AS (SELECT doc_id, t, len(w) AS n_words, string_split(t, chr(10)) AS lines, list_filter(string_split(t, chr(10)), lambda x: {_SOLID.format("x")} <> '') AS filled FROM d),
+l0 AS (SELECT doc_id, t, len(w) AS n_words, string_split(t, chr(10)) AS lines, list_filter(string_split(t, chr(10)), lambda x: {_SOLID.format("x")} <> '') AS filled FROM d),
+x0 AS (SELECT doc_id, generate_subscripts(lines, 1) AS i, unnest(lines) AS x FROM l0),
+x1 AS MATERIALIZED (SELECT *, {_WORDS.format("x")} AS lw FROM x0),
+x2 AS (SELECT doc_id, i, x, {_ENTRY} AS entry, {_FAILS} AS fails FROM x1),
+x3 AS (SELECT *, sum(CASE WHEN entry THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x2),
+x4 AS (SELECT doc_id, i, x, fails OR (entry AND count(*) FILTER (entry) OVER (PARTITION BY doc_id, run) >= {ENTRIES}) AS fails FROM x3),
+g AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT fails), '') AS good FROM x4 GROUP BY doc_id),
+l AS (SELECT * FROM l0 JOIN g USING (doc_id)),
 m AS (SELECT l.doc_id, n_words, length({_SOLID.format("t")}) AS word_chars, length(t) - length({_strip("t", SYMBOLS)}) AS n_symbols, len(filled) - len(list_distinct(filled)) AS n_dup_lines,
-  coalesce(rep.n, 0) AS n_repeat_words, length({_SOLID.format("array_to_string(list_filter(lines, lambda x: NOT (" + _FAILS + ")), '')")}) AS kept_chars FROM l LEFT JOIN rep USING (doc_id))
+  coalesce(rep.n, 0) AS n_repeat_words, length({_SOLID.format("good")}) AS kept_chars FROM l LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 2 * kept_chars >= word_chars AS kept FROM m
 """

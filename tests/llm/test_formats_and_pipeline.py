@@ -86,7 +86,7 @@ def test_pipeline_stages(spark, files):
         seen[name] = docs.collect()
         assert docs.columns == names
     source = spark.read.parquet(f"{files}/documents.parquet")
-    assert len(seen["quality_rules"]) == quality_rules.measure(source).filter("_kept").count()
+    assert len(seen["quality_rules"]) == quality_rules.measure(source).filter("kept").count()
     words = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
     kept = [words(x["text"]) for x in seen["ngram_jaccard_join"]]
     assert all(100 * len(a & b) < 80 * len(a | b) for i, a in enumerate(kept) for b in kept[:i])

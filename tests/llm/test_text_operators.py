@@ -231,26 +231,64 @@ def brute_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed
 
 
+def brute_good_lines(text):
+    """The lines that no rule fails, said another way: entries are found by walking runs."""
+    lines, blanks = (text or "").split("\n"), " \t\n\x0b\x0c\r"
+    entry = [0 < len(x.strip(blanks)) <= 40 and len(x) <= 80 and len(x.split()) <= 3 and x.strip(blanks)[-1] not in quality_rules.CLOSING for x in lines]
+    listed, i = set(), 0
+    while i < len(lines):
+        k = i
+        while k < len(lines) and entry[k]:
+            k += 1
+        listed |= set(range(i, k)) if k - i >= 4 else set()
+        i = max(k, i + 1)
+    good = []
+    for i, x in enumerate(lines):
+        odd = sum(w in quality_rules.SEPARATORS or w.startswith(("http://", "https://", "www.")) for w in x.split())
+        bad = [
+            i in listed,
+            len(x) <= 40 and x.strip(blanks).lower() in quality_rules.NAVIGATION,
+            sum(c in quality_rules.MARKS for c in x) * 14 > len(x),
+            len(x) > 40 and x.count("!") * 25 > len(x),
+            odd >= 2 and 3 * odd >= len(x.split()),
+            any(b in x.lower() for b in quality_rules.BOILERPLATE),
+        ]
+        if not any(bad):
+            good.append(x)
+    return good
+
+
 def test_quality_rules(spark):
     r, rows = random.Random(5), odd_rows()
+    odd_lines = ["Startseite", "Lire la suite", "a › b › c › d", "see https://x.y www.z.w", "one two", "three", "Four", "five six", "Alle Rechte vorbehalten.", "wow!!!! " * 8, "x | y | z", "Über uns", "- - -", "", " \t"]
     for i in range(60):
         lines = [sentence(r, r.randint(1, 30)) for _ in range(r.randint(1, 6))]
+        lines += [r.choice(odd_lines) for _ in range(r.randint(0, 8))]
         rows.append((i, "\n".join(lines + [r.choice(lines) for _ in range(r.randint(0, 3))]) + r.choice(["", "\n", "\t ", "###"]), "s", "x", 1))
     menu = "\n".join(["Home", "a | b | c | d | e", *[sentence(r, 40)] * 1, "All rights reserved."])
     rows.append((500, menu, "s", "x", 1))
     rows.append((501, " ".join(w + "***" for w in sentence(r, 60).split()), "s", "x", 1))
     docs = spark.createDataFrame(rows, DOCS)
     found = quality_rules.measure(docs).collect()
-    names = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     for x, row in zip(found, rows, strict=True):
         assert tuple(x[c] for c in names) == brute_rules(row[1]), row
+        good = "\n".join(brute_good_lines(row[1]))
+        assert x["cleaned"] == good or good == (row[1] or ""), row
+        assert x["kept"] == (not x["base_failed"] and 2 * len("".join(good.split())) >= x["word_chars"]), row
     by_id = {x["doc_id"]: x for x in found}
-    assert by_id[500]["_kept"] and by_id[500]["_cleaned"] == menu.split("\n")[2] and not by_id[501]["_kept"]
+    assert by_id[500]["kept"] and by_id[500]["cleaned"] == menu.split("\n")[2] and not by_id[501]["kept"]
     kept = quality_rules.cleaned(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(x["_kept"] for x in found)
+    assert kept.columns == docs.columns and kept.count() == sum(x["kept"] for x in found)
     assert quality_rules.measure(docs.filter("false")).count() == 0
 
 
+def test_quality_rules_keep_columns_of_their_own_names(spark):
+    names = ["doc_id", "text", "words", "lines", "row", "kept", "cleaned", "doc", "good"]
+    docs = spark.createDataFrame([(1, sentence(random.Random(1), 30), *"abcdefg")], ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    assert [tuple(x) for x in quality_rules.cleaned(docs).collect()] == [tuple(x) for x in docs.collect()]
+
+
 def test_bitmaps_never_drop_a_link():
     r = np.random.default_rng(3)
     for _ in range(300):
