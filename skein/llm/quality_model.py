@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import in_short_batches
+from skein.operators.work import discard, saved
 
 #: Words in a passage.
 PASSAGE_WORDS = 128
@@ -33,12 +34,17 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
-FEATURES = KINDS * KINDS + 2
+#: Slots of hashed words, and the hash: each byte times a number for its place in the word.
+SLOTS = 64
+_PLACES = np.random.default_rng(3).integers(1, 1 << 31, 32, np.int64) | 1
+FEATURES = KINDS * KINDS + SLOTS + 2
 
 
 def passages(text: bytes | None) -> np.ndarray:
-    """A row of features per passage of PASSAGE_WORDS words; a text without words is one passage."""
-    kinds = _KIND[np.frombuffer(text or b" ", np.uint8)]
+    """A row of features per passage of PASSAGE_WORDS words: pairs of kinds of characters, hashed words, their number
+    and length. A text without words is one passage."""
+    bytes_ = np.frombuffer(text or b" ", np.uint8)
+    kinds = _KIND[bytes_]
     inside = (kinds != 3) & (kinds != 4)
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
@@ -49,7 +55,15 @@ def passages(text: bytes | None) -> np.ndarray:
     chars = np.maximum(counts.sum(1), 1.0)
     found = np.bincount(at, weights=starts, minlength=n)
     out = np.empty((n, FEATURES), np.float32)
-    out[:, :-2] = np.sqrt(counts / chars[:, None])
+    out[:, : KINDS * KINDS] = np.sqrt(counts / chars[:, None])
+    first = np.flatnonzero(starts)
+    if len(first):
+        place = np.arange(len(bytes_)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(bytes_)]))
+        hashed = np.add.reduceat(np.where(inside, bytes_ * _PLACES[place % len(_PLACES)], 0), first)
+        slots = (at[first] * SLOTS + (hashed >> 13) % SLOTS).astype(np.int64)
+        out[:, KINDS * KINDS : -2] = np.sqrt(np.bincount(slots, minlength=n * SLOTS).reshape(n, -1) / np.maximum(found, 1)[:, None])
+    else:
+        out[:, KINDS * KINDS : -2] = 0
     out[:, -2] = np.log1p(found) / 5
     out[:, -1] = chars / np.maximum(found, 1) / 20
     return out
@@ -112,14 +126,14 @@ class AttentionModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, bound: int) -> DataFrame:
-    """At most bound rows (doc_id, text, label), taken in the order of a hash of the id, that may be learned from.
+    """At most bound rows (doc_id, text, label) that may be learned from, those whose ids have the smallest hashes.
 
     A document labelled more than once has its largest label; labels other than 0 and 1 and null ids don't count;
-    of documents with one id each is a row.
+    of documents with one id the one with the smallest text counts. Which rows are taken doesn't depend on their order.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn_from)
     chosen = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * bound)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fold_of(folds: int) -> Column:
@@ -127,11 +141,12 @@ def fold_of(folds: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = 3000, epochs: int = 12, seed: int = 7) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = 3000, most_passages: int = 60_000, epochs: int = 12, seed: int = 7) -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5), n_passages.
 
     labels: doc_id, quality. Learns from at most bound labelled documents for which learn_from, a condition on
-    doc_id, holds; scores every whole text. Null and empty texts are one passage without words and get a score
+    doc_id, holds, in the order of a hash of the id as long as they have at most most_passages passages (a first one
+    in any case); scores every whole text. Null and empty texts are one passage without words and get a score
     too. Without labelled rows of both kinds every score is the share of label 1, or 0.5. Repeated rows are
     scored as often as they occur; other columns are ignored.
     """
@@ -141,7 +156,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, bound:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [passages(t).tobytes() for t in b["text"]]})
 
-    found = labelled_sample(docs, labels, "quality", learn_from, bound).mapInPandas(encode, "doc_id string, label int, x binary").toPandas().sort_values(["doc_id", "x"])
+    encoded = saved(labelled_sample(docs, labels, "quality", learn_from, bound).mapInPandas(encode, "doc_id string, label int, x binary"))
+    sizes = encoded.select("doc_id", (F.octet_length("x") / (4 * FEATURES)).alias("n"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).toPandas().sort_values(["h", "doc_id"])
+    taken = sizes["doc_id"][(sizes["n"].cumsum() <= most_passages) | (np.arange(len(sizes)) == 0)].tolist()
+    found = encoded.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id string")), "doc_id").toPandas().sort_values("doc_id")
+    discard(encoded)
     truth = found["label"].to_numpy(np.float64)
     bags = [np.frombuffer(x, np.float32).reshape(-1, FEATURES).astype(np.float64) for x in found["x"]]
     model = AttentionModel.new(seed)

@@ -20,20 +20,25 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import in_short_batches
 from skein.llm.quality_model import labelled_sample
+from skein.operators.work import discard, saved
 
 #: Words on each side of a hit that make its context.
 WINDOW = 6
-#: Marks and words of quotation, and words of address.
+#: Marks of quotation, each opening one with those that can close it; words of report and of address.
+CLOSES = {'"': '"', "'": "'", "`": "`'", "«": "»", "»": "«", "„": "“”", "“": "”", "‚": "‘’", "‘": "’", "‹": "›", "›": "‹"}
 QUOTES = "\"'`«»„“”‚‘’‹›"
 REPORTS = {"said", "says", "quote", "quoted", "word", "term", "called", "wrote", "sagte", "zitat", "wort", "schrieb", "dit", "citation", "mot", "dijo", "cita", "palabra"}
 ADDRESS = {"you", "your", "youre", "u", "du", "dich", "dein", "ihr", "tu", "toi", "vous", "te", "tú", "usted", "ustedes"}
 TERM = r"[^\W\d_]+"
-FEATURES = 6
+FEATURES = 8
 
 
 class Lexicon:
     """Terms and their weights, found in words within an edit (5 to 7 letters) or two (8 and more)."""
 
+    #: States that are remembered; beyond, all are forgotten and worked out again.
+    LIMIT = 200_000
+
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = dict(weights)
         self.children: list[dict[str, int]] = [{}]
@@ -48,10 +53,14 @@ class Lexicon:
                     self.letters.add(c)
                     at = self.children[at].get(c) or self._child(at, c)
                 self.terms[at] = term
+        self.starts = starts
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.start = self._state({(node, left): 0 for node, left in starts})
+        self.start = self._state({(node, left): 0 for node, left in self.starts})
 
     @staticmethod
     def edits(term: str) -> int:
@@ -102,6 +111,8 @@ class Lexicon:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest term and the edits between, the first in order of edits, weight and name; None if none is near enough."""
+        if len(self.members) > self.LIMIT:
+            self._forget()
         at = self.start
         for c in word:
             c = c if c in self.letters else "\0"
@@ -153,8 +164,28 @@ def _pieces(run: str) -> list[str]:
     return [*out, run[at:]]
 
 
-def hits(text: str | None, found: _Finder) -> Iterator[tuple[str, int, bool, bool]]:
-    """Each hit of a text: term, edits, whether its window quotes or reports it, whether its window addresses someone.
+def _edges(word: str) -> tuple[str, str]:
+    """The quotation marks before a word's first letter or digit and after its last; those inside are apostrophes."""
+    inner = [i for i, c in enumerate(word) if c.isalnum()]
+    head, tail = (word[: inner[0]], word[inner[-1] + 1 :]) if inner else (word, word)
+    return "".join(c for c in head if c in QUOTES), "".join(c for c in tail if c in QUOTES)
+
+
+def _quoted(before: list[str], word: str, after: list[str]) -> bool:
+    """Whether a mark that opens at the word or before it, and isn't closed there, is closed at the word or after it."""
+    around = [_edges(w) for w in before]
+    own = _edges(word)
+    behind = own[1] + "".join(_edges(w)[1] for w in after)
+    for i in range(len(around), -1, -1):
+        for mark in own[0] if i == len(around) else around[i][0]:
+            closing = CLOSES.get(mark, "")
+            if not any(c in tail for _, tail in around[i:] for c in closing) and any(c in behind for c in closing):
+                return True
+    return False
+
+
+def hits(text: str | None, found: _Finder) -> Iterator[tuple[str, int, bool, bool, bool]]:
+    """Each hit of a text: term, edits, and whether its window quotes it, addresses someone, reports speech.
 
     A run of several TERMs is as many words for the windows of its own hits.
     """
@@ -166,26 +197,28 @@ def hits(text: str | None, found: _Finder) -> Iterator[tuple[str, int, bool, boo
             around = left + own + right
             for place, term, edits in several:
                 k = len(left) + max(place, 0)
-                before, after = around[max(0, k - WINDOW) : k], around[k : k + WINDOW + 1]
-                bare = {w.strip(QUOTES + ".,;:!?()").lower() for w in before + after}
-                ahead, behind = " ".join([*before, around[k][:1]]), " ".join(after)
-                quoted = any(q in ahead and any(x in behind for x in QUOTES) for q in QUOTES) or bool(bare & REPORTS)
-                yield term, edits, quoted, bool(bare & ADDRESS)
+                before, after = around[max(0, k - WINDOW) : k], around[k + 1 : k + WINDOW + 1]
+                bare = {w.strip(QUOTES + ".,;:!?()").lower().replace("’", "'").partition("'")[0] for w in before + after}
+                yield term, edits, _quoted(before, around[k], after), bool(bare & ADDRESS), bool(bare & REPORTS)
 
 
 def features(text: str | None, found: _Finder, weights: dict[tuple[str, bool], float]) -> list[float]:
-    """Sums over a text's hits: abuse, its strongest window, quotation, their number, address, and hits a word."""
-    abuse = top = quotes = address = n = 0.0
-    for term, edits, quoted, addressed in hits(text, found):
+    """Sums over a text's hits by what their windows say: plain ones, the strongest, quoted and reported ones, those that
+    address someone, the number of plain ones and of all, and plain ones a word. What each is worth is learned."""
+    plain = top = quotes = reports = address = n = every = 0.0
+    for term, edits, quoted, addressed, reported in hits(text, found):
         w = weights.get((term, edits > 0), 0.0)
         if w <= 0:
             continue
-        n += 1
+        every += 1
         if quoted:
             quotes += w
+        elif reported:
+            reports += w
         else:
-            abuse, top, address = abuse + w, max(top, w), address + addressed
-    return [math.log1p(abuse), top, math.log1p(quotes), math.log1p(n), math.log1p(address), n / (20 + len((text or "").split()) ** 0.5)]
+            plain, top, address, n = plain + w, max(top, w), address + addressed, n + 1
+    logs = [math.log1p(x) for x in (every, plain, quotes, reports, address, n)]
+    return [*logs, top, n / (20 + len((text or "").split()) ** 0.5)]
 
 
 def _odds(hit: int, of: int, miss: int, other: int) -> float:
@@ -202,22 +235,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0)
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = 6000, terms: int = 1000, least: int = 4, odds: float = 20.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, bound: int = 6000, least: int = 4, odds: float = 20.0) -> DataFrame:
     """Per row of docs: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5), n_hits.
 
     labels: doc_id, toxic. Learns from at most bound labelled documents for which learn_from, a condition on
-    doc_id, holds: the lexicon is the terms (at most terms) in at least least different toxic texts that are odds
-    times as usual there as in the others. Scores every whole text. Null and empty texts and texts without hits
+    doc_id, holds: the lexicon is all terms in at least least different toxic texts that are odds times as usual there
+    as in the others. Scores every whole text. Null and empty texts and texts without hits
     have the constant's score. Without labelled rows of both kinds no term is known. Repeated rows are scored as
     often as they occur; other columns are ignored.
     """
     docs = in_short_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = labelled_sample(docs, labels, "toxic", learn_from, bound).persist()
+    sample = saved(labelled_sample(docs, labels, "toxic", learn_from, bound))
     total = {r["label"]: r["n"] for r in sample.dropDuplicates(["text"]).groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     used = sample.dropDuplicates(["text"]).select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([\p{L}]+)"), F.lit(1)))).alias("term"))
     counts = used.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).filter((F.length("term") >= 3) & (F.col("t") >= least) & (F.col("t") * (clean + 1) >= odds * (F.col("c") + 0.5) * (toxic + 1)))
-    learned = {r["term"]: _odds(r["t"], toxic, r["c"], clean) for r in counts.orderBy(F.desc("t"), "term").limit(terms).collect()}
+    learned = {r["term"]: _odds(r["t"], toxic, r["c"], clean) for r in counts.orderBy("term").collect()}
     lexicon = Lexicon(learned)
     spark = docs.sparkSession
 
@@ -225,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, bound
         found = _Finder(lexicon)
         for b in batches:
             for label, text in zip(b["label"], b["text"], strict=True):
-                seen = sorted({(term, edits > 0) for term, edits, _, _ in hits(text, found)})
+                seen = sorted({(term, edits > 0) for term, edits, *_ in hits(text, found)})
                 if seen:
                     yield pd.DataFrame({"label": [label] * len(seen), "term": [t for t, _ in seen], "bent": [x for _, x in seen]})
 
@@ -241,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, bound
             yield pd.DataFrame({"label": b["label"], "x": [features(t, found, weights) for t in b["text"]]})
 
     table = sample.mapInPandas(measure, "label int, x array<double>").toPandas()
-    sample.unpersist()
+    discard(sample)
     y = table["label"].to_numpy(np.float64)
     model = _logistic(np.array(table["x"].tolist()), y) if len(set(y)) == 2 else np.array([0.0] * FEATURES + [4.0 * (2 * y[0] - 1) if len(y) else 0.0])
     sent = spark.sparkContext.broadcast((lexicon, weights, model))
@@ -252,6 +285,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, bound
         for b in batches:
             x = np.array([features(t, found, weights) for t in b["text"]]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ model[:-1] + model[-1], -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_hits": np.rint(np.expm1(x[:, 3])).astype(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32), "n_hits": np.rint(np.expm1(x[:, 0])).astype(np.int64)})
 
     return docs.mapInPandas(score, "doc_id string, score double, predicted int, n_hits long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, ngram_join, pii, quality_model, quality_rules, toxicity
+from skein.llm import decontaminate, ngram_join, pii, quality_model, quality_rules, queries, toxicity
 from skein.llm.common import WordHashes, shingle_hashes
 
 DOCS = "doc_id long, text string, source string, component_id string, n long"
@@ -166,8 +167,44 @@ def test_levenshtein_automaton_finds_what_edit_distance_finds():
 
 def test_context_tells_quotation_from_abuse():
     found = toxicity._Finder(toxicity.Lexicon({"moron": 2.0}))
-    assert [x[2] for x in toxicity.hits('He wrote "moron" in the book', found)] == [True]
-    assert [x[2:] for x in toxicity.hits("you utter moron go away", found)] == [(False, True)]
+    windows = lambda text: [x[2:] for x in toxicity.hits(text, found)]
+    assert windows('He wrote "moron" in the book') == [(True, False, True)]
+    assert windows("you utter moron go away") == [(False, True, False)]
+    assert windows("don't be such a moron, you're useless and can't think") == [(False, True, False)]
+    assert windows("«quel moron», a-t-on lu") == windows("the ‘old moron’ is here") == [(True, False, False)]
+    assert windows("„du moron“, hieß es") == [(True, True, False)]
+    assert windows('"one" moron "two"') == [(False, False, False)]
+
+
+def test_automaton_forgets_and_finds_again(monkeypatch):
+    monkeypatch.setattr(toxicity.Lexicon, "LIMIT", 5)
+    lexicon = toxicity.Lexicon({"worthless": 1.0, "moron": 1.0})
+    for _ in range(3):
+        assert lexicon.find("wortless") == ("worthless", 1) and lexicon.find("mroon") is None and lexicon.find("moran") == ("moron", 1)
+
+
+def test_learning_does_not_depend_on_order_or_repeats(spark):
+    rows, labels = labelled("quality", 60)
+    twice = spark.createDataFrame(rows[::-1] + [(i, "z" + t, *rest) for i, t, *rest in rows[:50]] * 3, DOCS).repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    text = twice.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    sample = quality_model.labelled_sample(text, known, "quality", F.lit(True), 20).collect()
+    truth = {str(i): (y, t) for (i, y, _), (_, t, *_) in zip(labels, rows, strict=False)}
+    assert len(sample) == 20 == len({x["doc_id"] for x in sample}) and all((x["label"], x["text"]) == truth[x["doc_id"]] for x in sample)
+    assert quality_model.score_quality(twice, known, F.lit(True), most_passages=5).count() == twice.count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize(("name", "label"), [("op2_quality_model", "quality"), ("op3_toxicity", "toxic")])
+def test_real_held_out_labels(spark, name, label):
+    data = "/root/testdata/sf0.01"
+    found = queries.queries()[name](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("held_out").collect()
+    texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    right = sum(x["predicted"] == x[label] for x in found)
+    assert right >= 0.95 * len(found) > 0
+    # Some labels of toxic texts are noise: nothing in them differs from clean ones.
+    sure = [x for x in found if x[label] == 1 and (label == "quality" or re.search("idiot|moron|clown|pathetic|loser", texts[x["doc_id"]].lower()))]
+    assert sum(x["predicted"] for x in sure) >= 0.9 * len(sure) > 0
 
 
 def test_every_term_of_a_run_is_found():
@@ -178,7 +215,7 @@ def test_every_term_of_a_run_is_found():
         assert terms(sep.join(["nice", *["moron", "day"] * 300, "idiot"])) == ["moron"] * 300 + ["idiot"]
     assert terms("m.o.r.o.n") == ["moron"] and terms("İ,moron" + ",x" * 200) == ["moron"] and all(len(w) < 200 for w in found)
     run = "you,moron," + "day," * 200 + 'he,said,"moron",then,left,the,very,old,big,red,house,a,moron'
-    assert [x[2:] for x in toxicity.hits(run, found)] == [(False, True), (True, False), (False, False)]
+    assert [x[2:] for x in toxicity.hits(run, found)] == [(False, True, False), (True, False, True), (False, False, False)]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
