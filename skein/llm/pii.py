@@ -2,9 +2,10 @@
 
 Fixed patterns give the base spans, which stay. Between them, the regions of a text that have digits or an @
 are cut into atoms (runs of letters, runs of digits, single other characters), and the field scores every
-candidate segment of bounded length under every kind by features of the whole span: digits, groups, check
-digits, marks, what stands beside it. Dynamic programming chooses boundaries and kinds jointly. The field is
-trained, by the gradient of its likelihood, on generated regions whose spans are known.
+candidate segment of bounded length under every kind by features of the whole span (digits, groups, check
+digits, marks, what stands beside it) and by the kind of the entity before it in the region. Dynamic programming
+chooses boundaries and kinds jointly. The field is trained, by the gradient of its likelihood, on generated regions
+whose spans are known.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def regions(text: str, base: list[Span]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if "@" in text[a:b] or sum("0" <= c <= "9" for c in text[a:b]) >= 7]
 
 
-FEATURES = 23
+FEATURES = 25
 
 
 def span_features(region: str, a: int, b: int) -> list[float]:
@@ -131,16 +132,28 @@ def span_features(region: str, a: int, b: int) -> list[float]:
         float(right == "." and region[b + 1 : b + 2].isalnum() or left == "." and region[a - 2 : a - 1].isalnum()),
         float(right in (" ", "-") and region[b + 1 : b + 2].isdigit() or left in (" ", "-") and a > 1 and region[a - 2 : a - 1].isdigit()),
         float(sizes[-3:] == [3, 3, 4] or sizes[-2:] == [3, 4]),
+        float(sizes[-3:] == [3, 3, 4] and len(d) <= 13),
+        float(sizes[:3] in ([4, 2, 2], [2, 2, 4]) or len(groups) > 4),
         letters / max(len(s), 1),
         float(bool(s) and not (s[0].isalnum() or s[0] in "+(") or not s[-1:].isalnum()),
     ]
 
 
 class SegmentField:
-    """Scores of kinds on segments, their partition function and best segmentation; what is no entity scores 0 an atom."""
+    """Scores of kinds on segments and of a kind after another, their partition function and best segmentation.
+
+    The state between segments is the last entity's kind plus one, 0 before the first; what is no entity scores 0 an
+    atom and keeps the state.
+    """
 
     def __init__(self, weights: np.ndarray | None = None) -> None:
-        self.w = np.zeros((len(KINDS), FEATURES)) if weights is None else weights
+        rows = len(KINDS) + 1
+        self.w = np.zeros((len(KINDS), FEATURES + rows)) if weights is None else weights
+
+    @property
+    def after(self) -> np.ndarray:
+        """Score of each kind (column) after each state (row)."""
+        return self.w[:, FEATURES:].T
 
     def candidates(self, region: str) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
         """Ends of the atoms, the candidate segments (atom from, atom to) and their features."""
@@ -159,24 +172,35 @@ class SegmentField:
     def gradient(self, region: str, gold: dict[tuple[int, int], int]) -> np.ndarray:
         """Gradient of the log likelihood of a segmentation, gold: kind by (start, end) in characters."""
         cuts, found, x = self.candidates(region)
-        n, scores = len(cuts) - 1, x @ self.w.T
-        before, after = np.zeros(n + 1), np.zeros(n + 1)
-        total = np.logaddexp.reduce(scores, axis=1) if len(found) else np.zeros(0)
+        n, scores = len(cuts) - 1, x @ self.w[:, :FEATURES].T
+        before, onward = np.full((n + 1, len(KINDS) + 1), -np.inf), np.zeros((n + 1, len(KINDS) + 1))
+        before[0, 0] = 0.0
         ending, starting = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
         for k, (i, j) in enumerate(found):
-            ending[j].append((i, total[k]))
-            starting[i].append((j, total[k]))
+            ending[j].append(k)
+            starting[i].append(k)
         for j in range(1, n + 1):
-            before[j] = np.logaddexp.reduce([before[j - 1], *[before[i] + s for i, s in ending[j]]])
+            before[j] = before[j - 1]
+            for k in ending[j]:
+                into = np.logaddexp.reduce(before[found[k][0]][:, None] + self.after, axis=0) + scores[k]
+                before[j, 1:] = np.logaddexp(before[j, 1:], into)
         for i in range(n - 1, -1, -1):
-            after[i] = np.logaddexp.reduce([after[i + 1], *[after[j] + s for j, s in starting[i]]])
+            onward[i] = onward[i + 1]
+            for k in starting[i]:
+                out_of = np.logaddexp.reduce(self.after + scores[k] + onward[found[k][1], 1:], axis=1)
+                onward[i] = np.logaddexp(onward[i], out_of)
+        whole = np.logaddexp.reduce(before[n])
         out = np.zeros_like(self.w)
         for k, (i, j) in enumerate(found):
-            p = np.exp(np.minimum(before[i] + scores[k] + after[j] - before[n], 0))
-            truth = np.zeros(len(KINDS))
-            if (kind := gold.get((cuts[i], cuts[j]))) is not None:
-                truth[kind] = 1
-            out += (truth - p)[:, None] * x[k]
+            p = np.exp(np.minimum(before[i][:, None] + self.after + scores[k] + onward[j, 1:] - whole, 0))
+            out[:, :FEATURES] -= p.sum(0)[:, None] * x[k]
+            out[:, FEATURES:] -= p.T
+        place, state = {s: k for k, s in enumerate(found)}, 0
+        for (a, b), kind in sorted(gold.items()):
+            if a in cuts and b in cuts and (k := place.get((cuts.index(a), cuts.index(b)))) is not None:
+                out[kind, :FEATURES] += x[k]
+                out[kind, FEATURES + state] += 1
+                state = kind + 1
         return out
 
     def best(self, region: str) -> list[tuple[int, int, int]]:
@@ -184,26 +208,32 @@ class SegmentField:
         cuts, found, x = self.candidates(region)
         if not found:
             return []
-        scores = x @ self.w.T
-        kinds, tops = scores.argmax(1), scores.max(1)
+        scores = x @ self.w[:, :FEATURES].T
+        # A segment that no state lets score above 0 is never in the best segmentation: leaving it out scores more, unless it changes the state.
+        gain = max(0.0, float(self.after.max() - self.after.min()))
         ending: list[list[int]] = [[] for _ in cuts]
-        for k, (_, j) in enumerate(found):
-            if tops[k] > 0:
-                ending[j].append(k)
-        score, back = [0.0] * len(cuts), [-1] * len(cuts)
+        for k in np.flatnonzero(scores.max(1) + self.after.max() + gain > 0):
+            ending[found[k][1]].append(int(k))
+        states = len(KINDS) + 1
+        score, back = np.full((len(cuts), states), -np.inf), {}
+        score[0, 0] = 0.0
         for j in range(1, len(cuts)):
             score[j] = score[j - 1]
             for k in ending[j]:
-                if (s := score[found[k][0]] + tops[k]) > score[j]:
-                    score[j], back[j] = s, k
-        out, j = [], len(cuts) - 1
+                reach = score[found[k][0]][:, None] + self.after + scores[k]
+                for kind in range(len(KINDS)):
+                    came = int(reach[:, kind].argmax())
+                    if reach[came, kind] > score[j, kind + 1]:
+                        score[j, kind + 1] = reach[came, kind]
+                        back[j, kind + 1] = (k, came)
+        out, j, state = [], len(cuts) - 1, int(score[-1].argmax())
         while j > 0:
-            if back[j] < 0:
+            if score[j, state] == score[j - 1, state]:
                 j -= 1
             else:
-                i = found[back[j]][0]
-                out.append((cuts[i], int(kinds[back[j]]), cuts[j]))
-                j = i
+                k, came = back[j, state]
+                out.append((cuts[found[k][0]], state - 1, cuts[j]))
+                j, state = found[k][0], came
         return out[::-1]
 
     def fit(self, examples: list[tuple[str, dict[tuple[int, int], int]]], epochs: int = 8, rate: float = 0.5, ridge: float = 1e-3) -> SegmentField:
@@ -245,6 +275,10 @@ def generated(n: int, seed: int) -> list[tuple[str, dict[tuple[int, int], int]]]
         lambda: f"{word()}{num(3)}-{num(4)}",
         lambda: f"@{word()}{num(2)}",
         lambda: f"{num(3)},{num(3)},{num(3)}",
+        lambda: f"20{num(2)}-{num(2)}-{num(2)} {num(2)}:{num(2)}:{num(2)}",
+        lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
+        lambda: f"v{num(1)}.{num(2)}.{num(3)}",
+        lambda: f"{word()}@{word()}",
     ]
     out = []
     for _ in range(n):
