@@ -4,7 +4,8 @@ Test items are partitioned by size into powers of two of shingles. A document is
 partition, in overlapping windows of twice the partition's size, so that a short item inside a long document
 is a large part of some window and its MinHash agrees there with high probability in some of the hash
 functions. Windows of all partitions share the minima of their halves. Items that agree anywhere are
-verified by the exact containment of their shingles in the whole document.
+verified by the exact containment of their shingles in the whole document. Items of fewer shingles than the smallest
+partition has are too small a part of its windows; their shingles are looked up one by one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import WordHashes, in_short_batches, lower_words, shingle_hashes
+from skein.operators.work import discard, saved
 
 #: Hash functions. An item is at least a fifth of some window (0.8 of it, just over half of its partition's
 #: size, in a window of twice that), so it is missed with probability 0.8 ** HASHES at most, 6e-7.
@@ -85,6 +87,8 @@ class ItemIndex:
         by_size: dict[int, list[int]] = {}
         #: Items of fewer words than a shingle by their number of words: looked up whole.
         self.short: dict[int, dict[int, list[int]]] = {}
+        #: Items of fewer than LEAST shingles by each of these.
+        self.few: dict[int, list[int]] = {}
         for item_id, text in items:
             words = lower_words(text)
             s = np.unique(shingle_hashes(hashes.of(words), width))
@@ -94,8 +98,12 @@ class ItemIndex:
             self.items.append((item_id, s, len(words)))
             if len(words) < width:
                 self.short.setdefault(len(words), {}).setdefault(int(s[0]), []).append(at)
+            elif len(s) < LEAST:
+                for h in s.tolist():
+                    self.few.setdefault(h, []).append(at)
             else:
                 by_size.setdefault(max(LEAST, 1 << int(len(s) - 1).bit_length()), []).append(at)
+        self.few_known = np.fromiter(self.few, np.uint64, len(self.few))
         with np.errstate(over="ignore"):
             for size, members in by_size.items():
                 least = np.array([np.concatenate([_hashed(self.items[i][1], m).min(1) for m in _MULTIPLIERS]) for i in members])
@@ -114,10 +122,13 @@ class ItemIndex:
             runs, whole = shingle_hashes(words, k), docs[: len(docs) - k + 1] == docs[k - 1 :]
             for at in np.flatnonzero(whole & np.isin(runs, np.fromiter(known, np.uint64, len(known)))) if len(words) >= k else ():
                 found.update((int(docs[at]), item) for item in known[int(runs[at])])
-        if self.tables and len(words) >= self.width:
+        if (self.tables or self.few) and len(words) >= self.width:
             whole = docs[: len(docs) - self.width + 1] == docs[self.width - 1 :]
             shingles, docs = shingle_hashes(words, self.width)[whole], docs[: len(whole)][whole]
-            if len(shingles):
+            if self.few:
+                for at in np.flatnonzero(np.isin(shingles, self.few_known)):
+                    found.update((int(docs[at]), item) for item in self.few[int(shingles[at])])
+            if len(shingles) and self.tables:
                 with np.errstate(over="ignore"):
                     for size, signatures, of in _minima(shingles, docs, max(self.tables)):
                         for k in range(HASHES if size in self.tables else 0):
@@ -150,13 +161,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     A document contains an item if 100 * shared >= percent * item size, counted in distinct shingles of width
     words (A-Z lower-cased) of the whole texts. An item of fewer words is one shingle of its own length. Null and
     empty items are contained nowhere; null and empty documents contain nothing. Repeated documents and items
-    give repeated rows, null ids rows with null ids; other columns are ignored. Items go out in blocks.
+    give repeated rows, null ids rows with null ids; other columns are ignored. Items go out in blocks of BLOCK. If
+    there are several, the documents are read once for each and its finds written before the next goes out, so that
+    an executor holds one block however many items there are.
     """
     docs = in_short_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    spark, schema = docs.sparkSession, "doc_id string, item_id string, n_item long, n_shared long"
     out = None
-    for block in _blocks(items):
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, width))
+    for block, last in _blocks(items):
+        sent = spark.sparkContext.broadcast(ItemIndex(block, width))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             hashes = WordHashes()
@@ -165,29 +179,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
                 rows = [(ids[at], *r) for at, *r in sent.value.search(b["text"].tolist(), percent, hashes)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared"])
 
-        found = docs.mapInPandas(search, "doc_id string, item_id string, n_item long, n_shared long")
+        found = docs.mapInPandas(search, schema)
+        if not last or out is not None:
+            found = saved(found)
+            sent.destroy()
         out = found if out is None else out.union(found)
-    out = out if out is not None else docs.sparkSession.createDataFrame([], "doc_id string, item_id string, n_item long, n_shared long")
+    out = out if out is not None else spark.createDataFrame([], schema)
     return out.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")})
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The test items in blocks of at most BLOCK, one block in the driver at a time."""
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[str | None, bytes]], bool]]:
+    """The test items in blocks of at most BLOCK, one block in the driver at a time, each with whether it is the last."""
     block: list[tuple[str | None, bytes]] = []
     for row in items.toLocalIterator():
-        block.append((row["item_id"], bytes(row["text"] or b"")))
         if len(block) == BLOCK:
-            yield block
+            yield block, False
             block = []
+        block.append((row["item_id"], bytes(row["text"] or b"")))
     if block:
-        yield block
+        yield block, True
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all their columns, that contain no test item, by the rules of contaminated()."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    schema = in_short_batches(docs).schema
-    for block in _blocks(items):
+    schema, first = in_short_batches(docs).schema, True
+    for block, last in _blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, width))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -197,5 +214,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percen
                 bad = {at for at, *_ in sent.value.search(texts, percent, hashes)}
                 yield b.filter(pa.array([at not in bad for at in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
+        before, docs = docs, docs.mapInArrow(clean, schema)
+        if not last:
+            docs = saved(docs)
+            sent.destroy()
+            if not first:
+                discard(before)
+        first = False
     return docs

@@ -27,10 +27,11 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(here) AS compone
 
 DECONTAMINATE = f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
-iss AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS s FROM i WHERE len(w) >= 5),
+iss AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda p: array_to_string(w[p:p + least(5, len(w)) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+kk AS (SELECT DISTINCT k FROM iss),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' '))) AS s FROM d, kk WHERE len(w) >= k),
 n AS (SELECT item_id, count(*) AS n FROM iss GROUP BY 1)
-SELECT doc_id, item_id, any_value(n) AS n_item, count(*) AS n_shared FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
+SELECT doc_id, item_id, any_value(n) AS n_item, count(*) AS n_shared FROM ds JOIN iss USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)
 """
 
 _ESCAPED = r"replace(replace(replace(replace({0}, '\', '\s'), '###', '\h'), '</turn>', '\t'), '</part>', '\p')"

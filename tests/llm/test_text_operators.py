@@ -77,13 +77,21 @@ def test_ngram_join_of_nothing_and_one_of_each(spark, tmp_path):
     assert kept.columns == ["doc_id", "text", "source", "component_id", "n"] and sorted(x["doc_id"] or 0 for x in kept.collect()) == [0, 1, 2]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block", [10_000, 5])
+def test_decontamination(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
     r = random.Random(2)
-    items = [(i, sentence(r, r.randint(6, 60))) for i in range(12)] + [(50, None), (51, "only three words"), (52, ""), (52, "")]
+    items = [(i, sentence(r, r.randint(6, 60) if i < 9 else i - 4)) for i in range(12)] + [(50, None), (51, "only three words"), (52, ""), (52, "")]
     rows = corpus(3)
     for i, text in items[:12]:
         rows += [(2000 + i, sentence(r, 300) + " " + text.upper() + " " + sentence(r, 50), "s", "x", 1), (3000 + i, edited(r, text, 1), "s", "x", 1)]
     rows.append((4000, "here are only three words too", "s", "x", 1))
+    for i, text in items[:12]:
+        w, parts = text.split(), []
+        for k in range(4):
+            parts += [*w[k * len(w) // 4 : (k + 1) * len(w) // 4], *sentence(r, 200).split()]
+        half = [*w[: len(w) // 2], *sentence(r, 400).split(), *w[len(w) // 2 :]]
+        rows += [(5000 + i, " ".join(parts), "s", "x", 1), (6000 + i, " ".join(half), "s", "x", 1)]
 
     def shingles(text, k):
         w = (text or "").lower().split()
