@@ -4,8 +4,9 @@ Exact set-similarity join on distinct word shingles. Equal sets are one class. E
 a prefix of its shingles in one global order (rare first), so that any two linked classes meet in an index
 list. Two relations between sets then save work:
 
-* Index level: a list entry knows its position in its set and the set's size. Entries whose position
-  and size leave too little room for the needed overlap are skipped without looking at the sets.
+* Index level: lists are kept in blocks by size and position. Of the blocks of a token only those meet whose sizes can
+  link and whose positions leave room for the needed overlap; the others are skipped as a whole. Inside blocks that
+  meet, each pair's sizes and positions are judged, before any set is looked at.
 * Answer level: a class that is highly similar to the head of a list (the entry in the earliest position,
   the set with the fewest own shingles) takes over the head's answers: both belong to one component, and it
   is compared only with entries that the head's component hasn't reached yet.
@@ -29,8 +30,11 @@ from skein.llm.common import WordHashes, in_short_batches, lower_words, shingle_
 from skein.operators.components import components
 from skein.operators.work import discard, saved
 
-#: Slots of the sketch of shingle frequencies, whose size doesn't depend on the corpus (256 KB as a broadcast).
-SLOTS = 1 << 16
+#: Slots of the sketch of shingle frequencies, whose size doesn't depend on the corpus (256 KB as a broadcast), and the
+#: documents, about, that it is taken from. Only costs depend on it.
+SLOTS, SKETCHED = 1 << 16, 20_000
+#: Entries from which a block of a list is dealt over several tasks.
+HEAVY = 2000
 
 
 def _need(size: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -64,14 +68,15 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How common each slot of shingles is, in eighths of a power of two above the median slot. Only costs depend on it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = WordHashes(), np.zeros(SLOTS, np.int64)
+        hashes = WordHashes()
         for batch in batches:
             slots = [s % np.uint64(SLOTS) for s in _sets(batch["text"].tolist(), width, hashes)]
-            if slots:
-                total += np.bincount(np.concatenate(slots).astype(np.int64), minlength=SLOTS)
-        yield pd.DataFrame({"slot": np.arange(SLOTS, dtype=np.int32), "n": total})
+            found, n = np.unique(np.concatenate(slots) if slots else np.empty(0, np.uint64), return_counts=True)
+            yield pd.DataFrame({"slot": found.astype(np.int32), "n": n.astype(np.int64)})
 
-    counted = docs.mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    n = docs.count()
+    some = docs.sample(SKETCHED / n, seed=1) if n > SKETCHED else docs
+    counted = some.mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SLOTS, np.float64)
     out[counted["slot"]] = counted["n"]
     usual = max(float(np.median(out)), 1.0)
@@ -107,6 +112,30 @@ def _room(percent: int):
     return size & apart & (F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= least)
 
 
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of entries of one list, in different components, whose blocks meet and that leave room for a link.
+
+    Blocks by size: sizes that can link are in the same step of a geometric scale or in neighbouring ones. Blocks by
+    position: early or late in the set; of late ones no two leave room for each other. So early entries meet the early
+    and late ones of their own step and of the next two neighbours. A block of over HEAVY entries is dealt by one side
+    and repeated for the other.
+    """
+    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    early = (100 + percent) * F.col("pos") <= (100 - percent) * F.col("n")
+    placed = lists.select("token", "cid", "n", "pos", "comp", step.alias("step"), early.alias("early"))
+    sizes = placed.groupBy("token", "step").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
+    shares = sizes.filter(F.col("c") > HEAVY).select("token", "step", F.ceil(F.col("c") / HEAVY).cast("int").alias("parts"))
+    cut = placed.join(shares, ["token", "step"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    one = cut.filter("early").select("token", "step", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
+    near = placed.select("*", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("to"))
+    near = near.drop("step").withColumnRenamed("to", "step").join(shares, ["token", "step"], "left")
+    two = near.select("token", "step", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("cid").alias("b"), "n", F.col("pos").alias("j"), F.col("comp").alias("cb"), F.col("early").alias("also"))
+    pairs = one.join(two, ["token", "step", "part"]).filter("ca <> cb and (not also or ca < cb)").filter(_room(percent))
+    turned = F.col("ca") > F.col("cb")
+    lower = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return pairs.select(lower("a", "b").alias("a"), lower("b", "a").alias("b"), lower("ca", "cb").alias("ca"), lower("cb", "ca").alias("cb")).dropDuplicates(["a", "b"])
+
+
 def _sieve(ids: DataFrame) -> np.ndarray:
     """A bit for each slot of the hashed ids (id: string), 2 MB whatever their number: what isn't in it is no such id."""
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << 24))
@@ -140,17 +169,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
     wanted = saved(wanted)
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted.select(F.coalesce("first_id", F.lit("null")).alias("id"))))
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            slot = batch["slot"].to_numpy()
-            yield batch[(sieve.value[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 == 1][["doc_id", "text"]]
-
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            items = [s.tobytes() for s in _sets(batch["text"].tolist(), width, hashes)]
-            right = [xxhash.xxh3_128_digest(s) == bytes(k) for s, k in zip(items, batch["key"], strict=True)]
-            yield pd.DataFrame({"cid": batch["cid"], "items": items})[right]
+            slot = batch["slot"].to_numpy()
+            texts = batch["text"][(sieve.value[slot // 32] >> (slot % 32).astype(np.uint32)) & 1 == 1].tolist()
+            items = {xxhash.xxh3_128_digest(own): own for own in (s.tobytes() for s in _sets(texts, width, hashes))}
+            yield pd.DataFrame({"key": list(items), "items": list(items.values())})
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,8 +187,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
             yield batch.loc[keep, ["a", "b"]]
 
     slotted = docs.withColumn("slot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("null"))), F.lit(1 << 24)))
-    texts = slotted.mapInPandas(near, "doc_id string, text binary")
-    sets = saved(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"])).select("cid", "key", "text").mapInPandas(make, "cid long, items binary"))
+    sets = saved(slotted.select("slot", "text").mapInPandas(make, "key binary, items binary").join(wanted.select("cid", "key"), "key").select("cid", "items"))
     with_b = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
     both = with_b.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
     out = saved(both.mapInPandas(hold, "a long, b long").distinct())
@@ -198,16 +222,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     # What is left: entries of one list that are in different components.
     placed = lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_lists = placed.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token")
-    one = placed.select("token", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
-    two = placed.select("token", F.col("cid").alias("b"), "n", F.col("pos").alias("j"), F.col("comp").alias("cb"))
-    rest = one.join(open_lists, "token").join(two, "token").filter("ca < cb").filter(_room(percent)).select("a", "b", "ca", "cb").dropDuplicates(["a", "b"])
+    left = saved(placed.join(open_lists, "token"))
+    rest = _met(left, percent)
     rest = saved(rest.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         late = _verified(docs, classes, rest.select("a", "b"), width, percent)
         over = components(rest.join(late, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         ids = comp.unionByName(late.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left_anti").withColumn("comp", F.col("id")))
         comp = saved(ids.join(over.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
-    for used in (lists, tested, rest):
+    for used in (lists, tested, left, rest):
         discard(used)
     by_class = classes.select("key", "first_id", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = by_class.groupBy("comp").agg(F.min("first_id").alias("component_id"))
