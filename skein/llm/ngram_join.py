@@ -115,21 +115,18 @@ def _room(percent: int):
 def _met(lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of entries of one list, in different components, whose blocks meet and that leave room for a link.
 
-    Blocks by size: sizes that can link are in the same step of a geometric scale or in neighbouring ones. Blocks by
-    position: early or late in the set; of late ones no two leave room for each other. So early entries meet the early
-    and late ones of their own step and of the next two neighbours. A block of over HEAVY entries is dealt by one side
-    and repeated for the other.
+    Blocks by position: early or late in the set; of late ones no two leave room for each other, so early entries meet
+    early and late ones. Lists of over HEAVY entries (c) have blocks by size too: sizes that can link are in the same step
+    of a geometric scale or in neighbouring ones. Such a list is dealt by one side and repeated for the other.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    early = (100 + percent) * F.col("pos") <= (100 - percent) * F.col("n")
-    placed = lists.select("token", "cid", "n", "pos", "comp", step.alias("step"), early.alias("early"))
-    sizes = placed.groupBy("token", "step").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("mixed"))
-    shares = sizes.filter(F.col("c") > HEAVY).select("token", "step", F.ceil(F.col("c") / HEAVY).cast("int").alias("parts"))
-    cut = placed.join(shares, ["token", "step"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    one = cut.filter("early").select("token", "step", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
-    near = placed.select("*", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("to"))
-    near = near.drop("step").withColumnRenamed("to", "step").join(shares, ["token", "step"], "left")
-    two = near.select("token", "step", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.col("cid").alias("b"), "n", F.col("pos").alias("j"), F.col("comp").alias("cb"), F.col("early").alias("also"))
+    heavy = F.col("c") > HEAVY
+    scale = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    placed = lists.withColumns({"step": F.when(heavy, scale).otherwise(0), "early": (100 + percent) * F.col("pos") <= (100 - percent) * F.col("n"), "parts": F.ceil(F.col("c") / HEAVY).cast("int")})
+    one = placed.filter("early").select("token", "step", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("comp").alias("ca"))
+    steps = F.when(heavy, F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).otherwise(F.array("step"))
+    blocks = F.flatten(F.transform(steps, lambda s: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(s.alias("step"), k.alias("part")))))
+    two = placed.select("token", F.explode(blocks).alias("block"), F.col("cid").alias("b"), "n", F.col("pos").alias("j"), F.col("comp").alias("cb"), F.col("early").alias("also"))
+    two = two.select("token", "block.step", "block.part", "b", "n", "j", "cb", "also")
     pairs = one.join(two, ["token", "step", "part"]).filter("ca <> cb and (not also or ca < cb)").filter(_room(percent))
     turned = F.col("ca") > F.col("cb")
     lower = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
@@ -221,7 +218,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     comp = components(found)
     # What is left: entries of one list that are in different components.
     placed = lists.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    open_lists = placed.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("token")
+    open_lists = placed.groupBy("token").agg((F.min("comp") < F.max("comp")).alias("open"), F.count("*").alias("c")).filter("open").select("token", "c")
     left = saved(placed.join(open_lists, "token"))
     rest = _met(left, percent)
     rest = saved(rest.join(tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))

@@ -62,8 +62,9 @@ def brute_components(rows, width, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 1), (5, 80, 2), (1, 60, 3)])
-def test_ngram_join(spark, width, percent, seed):
+@pytest.mark.parametrize(("width", "percent", "seed", "heavy"), [(3, 90, 1, 3), (5, 80, 2, 2000), (1, 60, 3, 4)])
+def test_ngram_join(spark, width, percent, seed, heavy, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
     rows = corpus(seed)
     found = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS), width, percent)
     assert sorted([tuple(x) for x in found.collect()], key=repr) == brute_components(rows, width, percent)
