@@ -14,8 +14,19 @@ def edge_id(*parts: Column) -> Column:
 
 
 def round4(x: Column) -> Column:
-    """Four decimals, halves up, by the same arithmetic in every engine."""
-    return F.floor(x * 10000 + 0.5) / 10000
+    """Four decimals, halves of the exact binary value to the even neighbour.
+
+    x * 10000 isn't exact in a double; what it loses is worked out from the halves of x, so that ties are true ties.
+    """
+    x = x.cast("double")
+    split = x * F.lit(134217729.0)
+    high = split - (split - x)
+    p = x * F.lit(10000.0)
+    lost = (high * F.lit(10000.0) - p) + (x - high) * F.lit(10000.0)
+    low = F.floor(p).cast("double")
+    over = (p - low - F.lit(0.5)) + lost
+    up = (over > 0) | ((over == 0) & (F.pmod(low, F.lit(2.0)) != 0))
+    return (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(10000.0)
 
 
 def millionths(x: Column) -> Column:
@@ -23,6 +34,12 @@ def millionths(x: Column) -> Column:
     return F.floor(x * 1_000_000 + 0.5).cast("long")
 
 
+def finite(text: Column) -> Column:
+    """A text as a finite number, null if it is none."""
+    x = text.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+
+
 def edge_cost(confidence: Column, inferred: Column) -> Column:
     return -F.log(F.greatest(confidence, F.lit(LEAST_CONFIDENCE))) + F.when(inferred, INFERRED_COST).otherwise(0.0)
 

@@ -5,11 +5,21 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a match key.
-FILLERS = ("the", "of", "and", "in", "a", "an", "with", "type", "disease", "syndrome", "disorder")
+#: Words that carry no meaning in a match key; Greek letters by name; Roman numerals, always and after "type".
+FILLERS = ("disease", "syndrome", "disorder", "type", "the", "of", "a", "an", "and", "form")
+GREEK = {
+    "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu",
+    "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "ς": "sigma", "τ": "tau", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
+}
+ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
+ROMAN_AFTER_TYPE = {"i": "1", "v": "5", "x": "10"}
+
+
+def literal_map(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
 def squeezed(text: Column) -> Column:
@@ -34,30 +44,55 @@ def folded(text: Column) -> Column:
     return F.pandas_udf(fold, "string")(text)
 
 
+def tokens(t: Column) -> Column:
+    """Words of a text that is folded(): Greek letters by name, dashes, underscores and slashes as blanks, apostrophes and other marks
+    gone, Roman numerals as digits. None for an empty text."""
+    spelt = t
+    for letter, name in GREEK.items():
+        spelt = F.replace(spelt, F.lit(letter), F.lit(f" {name} "))
+    t = F.when(F.regexp_like(t, F.lit("[α-ω]")), spelt).otherwise(t)
+    t = F.regexp_replace(F.regexp_replace(t, r"[‐-―−­_/-]", " "), "'", "")
+    words = F.filter(F.split(F.regexp_replace(t, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: w != "")
+    always, after = literal_map(ROMAN), literal_map(ROMAN_AFTER_TYPE)
+    return F.transform(words, lambda w, i: F.coalesce(always[w], F.when(F.get(words, i - 1) == "type", after[w]), w))
+
+
 def plain(text: Column) -> Column:
-    """Lower-case ASCII words of a text, parted by one blank."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
+    """tokens() of a folded text parted by one blank."""
+    return F.array_join(tokens(text), " ")
+
+
+def registry_name(text: Column) -> Column:
+    """Name as a registry's conditions are compared: possessive 's dropped, ASCII words, i to iv always digits."""
+    words = F.regexp_extract_all(F.replace(F.lower(text), F.lit("'s"), F.lit("")), F.lit("([a-z0-9]+)"), F.lit(1))
+    digits = literal_map({"i": "1", "ii": "2", "iii": "3", "iv": "4"})
+    return F.array_join(F.transform(words, lambda w: F.coalesce(digits[w], w)), " ")
 
 
 def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def tokens(text: Column) -> Column:
-    """Words of plain(); none for an empty text."""
-    return F.filter(F.split(plain(text), " "), lambda w: w != "")
+def content(words: Column) -> Column:
+    """The words but fillers, or all of them if nothing else is left."""
+    kept = F.filter(words, lambda w: ~w.isin(*FILLERS))
+    return F.when(F.size(kept) > 0, kept).otherwise(words)
 
 
 def content_tokens(text: Column) -> Column:
-    """The words but fillers, or all of them if nothing else is left."""
-    kept = F.filter(tokens(text), lambda w: ~w.isin(*FILLERS))
-    return F.when(F.size(kept) > 0, kept).otherwise(tokens(text))
+    return content(tokens(text))
 
 
 def match_key(text: Column) -> Column:
+    """Content words of a folded text parted by one blank."""
     return F.array_join(content_tokens(text), " ")
 
 
+def with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """df with a column of the words of a text. The folded text is a column first: a UDF can't stand inside a lambda."""
+    return df.withColumn("_folded", folded(text)).withColumn(name, tokens(F.col("_folded"))).drop("_folded")
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     """Shared words over all words of two arrays; 0 if either is empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
@@ -69,5 +104,5 @@ def numbers(text: Column) -> Column:
 
 
 def first_sentence(text: Column) -> Column:
-    head = F.substring_index(text, ". ", 1)
+    head = F.trim(F.substring_index(text, ". ", 1))
     return F.when(F.endswith(head, F.lit(".")), head).otherwise(F.concat(head, F.lit(".")))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.similarity import shared_pairs
+
 
 def related(edges: DataFrame) -> DataFrame:
     """Pairs of diseases (a, b) with the least tier that relates them: 1 a shared cause, 2 a mechanism of their causes."""
     causes = edges.filter("relation = 'caused_by'").select(F.col("source_id").alias("disease"), F.col("target_id").alias("gene")).distinct()
     takes = edges.filter("relation = 'participates_in'").select(F.col("source_id").alias("gene"), F.col("target_id").alias("mechanism"))
     through = causes.select("disease", F.col("gene").alias("item"), F.lit(1).alias("tier")).union(causes.join(takes, "gene").select("disease", "mechanism", F.lit(2)).distinct())
-    a, b = through.select(F.col("disease").alias("a"), "item", "tier"), through.select(F.col("disease").alias("b"), "item", "tier")
-    met = a.join(b, ["item", "tier"]).filter("a < b")
+    features = through.select(F.col("disease").alias("thing"), F.col("item").alias("feature"), "tier", F.lit(1).alias("weight"))
+    met = shared_pairs(features, ["tier"]).withColumnRenamed("feature", "item")
     return met.groupBy("a", "b").agg(F.min("tier").alias("tier")).join(met.groupBy("a", "b", "tier").agg(F.count_distinct("item").alias("n_shared")), ["a", "b", "tier"])
 
 
@@ -22,15 +24,15 @@ def next_study(studies: DataFrame) -> DataFrame:
     return studies.withColumn("rank", F.row_number().over(order)).filter("rank = 1").drop("rank")
 
 
-def hydrated(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per path (path_id, path): its hops with the best edge between their ends, least confidence, and whether any is inferred."""
-    hops = paths.select("path_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("x"), F.get("path", i).alias("y")))).alias("pos", "hop"))
-    keyed = hops.select("path_id", "pos", F.least("hop.x", "hop.y").alias("lo"), F.greatest("hop.x", "hop.y").alias("hi"))
-    best = edges.groupBy(F.least("source_id", "target_id").alias("lo"), F.greatest("source_id", "target_id").alias("hi")).agg(F.min_by(F.struct("id", "confidence", "evidence_type"), F.struct(-F.col("confidence"), "id")).alias("e"))
-    found = keyed.join(best, ["lo", "hi"])
+def hydrated(paths: DataFrame, edges: DataFrame, disputes: DataFrame) -> DataFrame:
+    """Per path (path_id, edge_ids): its edges in order, least confidence, and whether any is inferred or contradicted."""
+    hops = paths.select("path_id", F.posexplode("edge_ids").alias("pos", "id"))
+    against = disputes.select("source_id", "relation", "target_id").distinct().withColumn("against", F.lit(True))
+    found = hops.join(edges, "id").join(against, ["source_id", "relation", "target_id"], "left")
     return found.groupBy("path_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "e.id"))), lambda s: s["id"]), ",").alias("edge_ids"),
-        F.min("e.confidence").alias("least_confidence"),
-        F.bool_or(F.col("e.evidence_type") == "inferred").alias("has_inferred"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]), ",").alias("edge_ids"),
+        F.min("confidence").alias("least_confidence"),
+        F.bool_or(F.col("evidence_type") == "inferred").alias("has_inferred"),
+        F.bool_or(F.coalesce("against", F.lit(False)) | (F.col("relation") == "contradicts")).alias("has_contradiction"),
         F.count("*").alias("n_hops"),
     )

@@ -6,25 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import numbers, squeezed
+from skein.operators.work import saved
 
 
 def quoted(docs: DataFrame, quotes: DataFrame, seed_words: int = 6) -> DataFrame:
     """(doc_id, item_id) where the white-space-squeezed text of a document holds that of a quote verbatim.
 
-    Documents and quotes meet under the quote's first words, as runs of words in the document, so no pair is looked at that doesn't
-    share them; the whole quote is then searched. Quotes of fewer words meet under all theirs; empty ones nowhere.
+    A quote may begin or end inside a word of the document, so its inner words, at most seed_words - 2 of them, are its
+    seed. Documents and quotes meet under hashes of seeds, documents by id only; the texts are fetched for the pairs
+    that met, and the whole quote is searched. Quotes of one or two words have no inner words: they are a stated set,
+    each searched in every text. Empty ones are found nowhere.
     """
-    d = docs.select("doc_id", squeezed(F.col("text")).alias("t"))
-    q = quotes.select("item_id", squeezed(F.col("text")).alias("q")).filter("q <> ''")
-    words = F.split("q", " ")
-    q = q.withColumn("k", F.least(F.size(words), F.lit(seed_words))).withColumn("seed", F.array_join(F.slice(words, 1, F.col("k")), " "))
-    # A quote may begin or end inside a word of the document, so its inner words are what is looked up.
-    inner = F.array_join(F.slice(words, 2, F.greatest(F.col("k") - 2, F.lit(0))), " ")
-    q = q.withColumn("seed", inner).withColumn("k", F.greatest(F.col("k") - 2, F.lit(0)))
-    lengths = q.select("k").distinct()
-    runs = d.join(F.broadcast(lengths)).withColumn("w", F.split("t", " ")).filter(F.size("w") >= F.col("k"))
-    runs = runs.withColumn("seed", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " ")))))
-    return runs.join(q, ["seed", "k"]).filter(F.contains("t", F.col("q"))).select("doc_id", "item_id").distinct()
+    d = saved(docs.select("doc_id", squeezed(F.col("text")).alias("t")))
+    q = quotes.select("item_id", squeezed(F.col("text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
+    k = F.least(F.size("w"), F.lit(seed_words)) - 2
+    seeded = saved(q.withColumn("k", k).withColumn("seed", F.when(k > 0, F.xxhash64(F.array_join(F.slice("w", 2, F.greatest(k, F.lit(1))), " ")))).select("item_id", "q", "k", "seed"))
+    lengths = sorted(r["k"] for r in seeded.filter("k > 0").select("k").distinct().collect())
+    met = None
+    for n in lengths:
+        runs = d.select("doc_id", F.split("t", " ").alias("w")).filter(F.size("w") >= n).select("doc_id", F.explode(F.array_distinct(_runs(n))).alias("seed"))
+        own = runs.join(seeded.filter(F.col("k") == n).select("item_id", "seed", "q"), "seed").select("doc_id", "item_id", "q")
+        met = own if met is None else met.union(own)
+    found = d.select("doc_id", "t").join(seeded.filter("k <= 0").select("item_id", "q"), F.contains("t", F.col("q"))).select("doc_id", "item_id")
+    if met is not None:
+        found = found.union(met.join(d, "doc_id").filter(F.contains("t", F.col("q"))).select("doc_id", "item_id"))
+    return found.distinct()
+
+
+def _runs(n: int) -> Column:
+    """Hash of each run of n of the words w."""
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
 
 
 def unseen_numbers(text: Column, allowed: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, types: DataFrame | No
     Each level joins only what the last one reached first, and is written before the next.
     """
     steps = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("s")).select("s.a", "s.b").distinct()
+    steps = saved(steps)
     seen = starts.select("start_id", F.col("start_id").alias("id"), F.lit(0).alias("distance")).distinct()
     front = seen
     for level in range(1, depth + 1):
@@ -85,65 +88,90 @@ def information_content(annotations: DataFrame, ancestors: DataFrame) -> DataFra
     return n.join(F.broadcast(total)).select(F.col("ancestor").alias("term"), "n", (-F.log(F.greatest("n", F.lit(1)) / F.col("total"))).alias("ic"))
 
 
-def routing(edges: DataFrame) -> DataFrame:
-    """Undirected edges (lo, hi, w) without loops: the cheapest per pair, w in millionths, hubs penalised."""
-    hubs = F.col("source_id").startswith("P:").cast("int") + F.col("target_id").startswith("P:").cast("int")
-    w = millionths(edge_cost(F.col("confidence"), F.col("evidence_type") == "inferred") + HUB_COST * hubs)
-    pairs = edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("lo"), F.greatest("source_id", "target_id").alias("hi"), w.alias("w"))
-    return pairs.groupBy("lo", "hi").agg(F.min("w").alias("w"))
+def routing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Undirected routes (lo, hi, cost, w, edge_id) without loops: the cheapest edge of each pair, ties by id.
+
+    cost is the edge's, w with a penalty for each end that is a phenotype, both in millionths.
+    """
+    cost = millionths(edge_cost(F.col("confidence"), F.col("evidence_type") == "inferred"))
+    pairs = edges.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("lo"), F.greatest("source_id", "target_id").alias("hi"), cost.alias("cost"), "id")
+    best = pairs.groupBy("lo", "hi").agg(F.min(F.struct("cost", "id")).alias("e"))
+    hubs = nodes.filter(F.col("type") == "phenotype").select("id").distinct()
+    marked = best
+    for end in ("lo", "hi"):
+        marked = marked.join(hubs.select(F.col("id").alias(end), F.lit(1).alias(f"hub_{end}")), end, "left")
+    n = F.coalesce("hub_lo", F.lit(0)) + F.coalesce("hub_hi", F.lit(0))
+    return marked.select("lo", "hi", F.col("e.cost").alias("cost"), (F.col("e.cost") + n * int(HUB_COST / 2 * 1_000_000)).cast("long").alias("w"), F.col("e.id").alias("edge_id"))
 
 
 def cheapest_paths(routes: DataFrame, source: str, target: str, k: int = 3, hops: int = 8) -> DataFrame:
-    """The k cheapest simple paths of at most hops edges: (path, w, n_edges), ties by path.
+    """The k cheapest simple paths by w of at most hops edges: (path, edge_ids, w, cost, n_edges), ties by path; cost is
+    without penalties, in four decimals.
 
-    First the least cost from each node to the target in at most r edges is found for r up to hops; it bounds from
-    below what any unfinished path still costs. Paths from the source are then extended as long as cost and bound
-    stay within a limit, which widens until k paths lie within it or nothing was cut off.
+    First the least w from each node to the target is found; it bounds from below what any unfinished path still
+    costs. Paths from the source are then extended as long as what they cost and the bound stay within a limit. It
+    begins at the optimum and, until k paths lie within it or nothing was cut off, goes on to the k-th of the values
+    that were cut off, so few paths are looked at that cost more than the answer.
     """
     spark = routes.sparkSession
-    steps = saved(routes.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w").union(routes.select("hi", "lo", "w")))
-    bound = saved(spark.createDataFrame([(target, 0)], "id string, h long"))
+    schema = "path array<string>, edge_ids array<string>, w long, cost double, n_edges int"
+    if source == target:
+        return spark.createDataFrame([], schema)
+    ends = routes.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w", "cost", "edge_id").union(routes.select("hi", "lo", "w", "cost", "edge_id"))
+    steps = saved(ends)
+    bound, before = saved(spark.createDataFrame([(target, 0)], "id string, h long")), None
     for _ in range(hops):
         onward = steps.join(bound.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), (F.col("w") + F.col("h")).alias("h"))
         bound, old = saved(onward.union(bound).groupBy("id").agg(F.min("h").alias("h"))), bound
         discard(old)
+        now = bound.agg(F.count("*"), F.sum("h")).head()
+        if now == before:
+            break
+        before = now
     least = bound.filter(F.col("id") == source).collect()
-    none = spark.createDataFrame([], "path array<string>, w long, n_edges int")
     if not least:
-        return none
-    limit = least[0]["h"] * 3 // 2 + 1_000_000
+        return spark.createDataFrame([], schema)
+    limit = least[0]["h"]
     while True:
-        paths, done, cut = spark.createDataFrame([([source], source, 0)], "path array<string>, at string, w long"), none, False
+        paths = spark.createDataFrame([([source], [], source, 0, 0)], "path array<string>, edge_ids array<string>, at string, w long, cost long")
+        done, cut = [], []
         for n in range(1, hops + 1):
-            grown = paths.join(steps.withColumnRenamed("w", "step"), paths["at"] == steps["a"]).filter(~F.array_contains("path", F.col("b")))
-            grown = grown.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), (F.col("w") + F.col("step")).alias("w"))
-            grown = saved(grown.join(bound.withColumnRenamed("id", "at"), "at").withColumn("over", F.col("w") + F.col("h") > limit))
-            cut = cut or not grown.filter("over").isEmpty()
-            inside = grown.filter("not over")
-            done = done.union(inside.filter(F.col("at") == target).select("path", "w", F.lit(n).alias("n_edges")))
-            paths = inside.filter(F.col("at") != target).select("path", "at", "w")
+            grown = paths.join(steps.withColumnsRenamed({"w": "step", "cost": "more"}), paths["at"] == steps["a"]).filter(~F.array_contains("path", F.col("b")))
+            grown = grown.select(F.concat("path", F.array("b")).alias("path"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), F.col("b").alias("at"), (F.col("w") + F.col("step")).alias("w"), (F.col("cost") + F.col("more")).alias("cost"))
+            full = grown.join(bound.withColumnRenamed("id", "at"), "at").withColumn("f", F.col("w") + F.col("h"))
+            full = saved(full)
+            cut += [r["f"] for r in full.filter(F.col("f") > limit).groupBy("f").agg(F.count("*").alias("n")).orderBy("f").limit(k).collect()]
+            inside = full.filter(F.col("f") <= limit)
+            done.append(inside.filter(F.col("at") == target).select("path", "edge_ids", "w", F.round(F.col("cost") / 1_000_000, 4).alias("cost"), F.lit(n).alias("n_edges")))
+            paths = inside.filter(F.col("at") != target).select("path", "edge_ids", "at", "w", "cost")
             if paths.isEmpty():
                 break
-        best = done.orderBy("w", F.array_join("path", ">")).limit(k)
+        best = reduce(DataFrame.union, done).orderBy("w", F.array_join("path", ">")).limit(k)
         if not cut or best.count() >= k:
             return best
-        limit *= 2
+        limit = sorted(set(cut))[:k][-1]
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """Communities of weighted pairs (a, b, w): each id takes the label with the most weight among its neighbours and
-    itself, ties by the smallest label, for a bounded number of rounds or until none changes: (id, label)."""
+def label_propagation(pairs: DataFrame, rounds: int = 20) -> DataFrame:
+    """Communities of weighted pairs (a, b, w: integer): (id, label).
+
+    Each id takes the label with the most weight among its neighbours, its own on ties, else the smallest; ids of odd
+    and even hashes move in turn, so that two can't swap labels for ever. It ends when none moves or after so many
+    rounds. Weights are integers, so sums don't depend on their order.
+    """
     ends = saved(pairs.select("a", "b", "w").union(pairs.select("b", "a", "w")))
     labels = saved(ends.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
-        votes = ends.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", "w")
-        own = labels.select("id", "label", F.lit(0.001).alias("w"))
-        summed = votes.union(own).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        newer = saved(summed.groupBy("id").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
-        moved = newer.join(labels.withColumnRenamed("label", "was"), "id").filter("label <> was").isEmpty()
+    still = 0
+    for turn in range(rounds):
+        votes = ends.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("w"))
+        own = labels.withColumnRenamed("label", "own")
+        ranked = votes.join(own, "id").groupBy("id", "own").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label") != F.col("own"), "label")).alias("best"))
+        may = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(2)) == turn % 2
+        newer = saved(ranked.select("id", F.when(may, F.col("best")).otherwise(F.col("own")).alias("label")))
+        still = still + 1 if newer.join(own, "id").filter("label <> own").isEmpty() else 0
         discard(labels)
         labels = newer
-        if moved:
+        if still == 2:
             break
     return labels
 
@@ -154,15 +182,6 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
 
 
-def evidence_map(nodes: DataFrame, edges: DataFrame, center: str, per_type: int = 30, most: int = 150) -> DataFrame:
-    """The nodes around center by distance, type and label, at most per_type of a type and most in all: (id, type, distance, rank)."""
-    start = nodes.filter(F.col("id") == center).select(F.col("id").alias("start_id"))
-    near = reach(edges, start, 2, nodes.filter("type <> 'phenotype'").select("id"))
-    ranked = near.join(nodes, "id").withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("distance", "label", "id"))).filter(F.col("n") <= per_type)
-    first = ranked.orderBy("distance", "type", "label", "id").limit(most)
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("distance", "type", "label", "id"))).select("id", "type", "distance", "rank")
-
-
 def shared_items(members: DataFrame, cluster: Column | str, item: Column | str, least: int = 2) -> DataFrame:
     """Items that at least least members (member) of a cluster have."""
     return members.groupBy(cluster, item).agg(F.array_join(F.array_sort(F.collect_set("member")), ",").alias("members"), F.count_distinct("member").alias("n")).filter(F.col("n") >= least)

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.fields import listed
 from skein.functions.numeric import edge_id, round4
+from skein.functions.text import literal_map
 from skein.schema import BONUS_MOST, BONUS_STEP, DISPUTE_COST, INFERRED_MOST, SCORE_LEAST, SCORE_MOST
 
 TRIPLE = ("source_id", "relation", "target_id")
+#: The rubric's rules, each with its base and what it says; names of knowledge sources.
+RULES = {
+    "kb_gene_disease": (0.90, "curated KB gene-disease"),
+    "kb_phenotype": (0.90, "curated KB phenotype annotation (HPO)"),
+    "go_experimental": (0.85, "curated GO annotation, non-IEA evidence"),
+    "go_iea": (0.80, "curated GO annotation, electronic (IEA) only"),
+    "team_curated": (0.80, "team-curated with cited source (needs human check)"),
+    "ctgov_record": (0.75, "ClinicalTrials.gov record, condition matched"),
+    "reporter_record": (0.75, "NIH RePORTER project record"),
+    "ctgov_alias": (0.65, "ClinicalTrials.gov record, condition matched by alias"),
+    "org_page_read": (0.60, "org verified on its own site"),
+    "org_url_resolves": (0.50, "org url resolves, scope page not read"),
+    "curated_unverified": (0.50, "team-curated, key claim unverified [U]"),
+    "inferred_high": (0.45, "OpenAI Extract claim, certainty high (hypothesis)"),
+    "inferred_medium": (0.35, "OpenAI Extract claim, certainty medium (hypothesis)"),
+    "inferred_low": (0.25, "OpenAI Extract claim or mention, low (hypothesis)"),
+}
+COMPUTED = "inferred_computed"
+KNOWLEDGE_SOURCES = {"infores:omim": "OMIM", "infores:orphanet": "Orphanet"}
+ELECTRONIC = "ECO:0000501"
+EDGE = ("id", *TRIPLE, "source", "record_id", "confidence", "evidence_type", "qualifier")
 
 
 def with_ids(evidence: DataFrame) -> DataFrame:
@@ -16,40 +41,107 @@ def with_ids(evidence: DataFrame) -> DataFrame:
     return evidence.select(edge_id(*[F.col(c) for c in (*TRIPLE, "source", "record_id")]).alias("id"), "*")
 
 
-def one_per_triple(edges: DataFrame) -> DataFrame:
-    """The most confident edge of each triple, ties by id. An aggregate, so a hot triple is combined before the shuffle."""
-    best = edges.groupBy(*TRIPLE).agg(F.min_by(F.struct("id", "source", "record_id", "confidence", "evidence_type"), F.struct(-F.col("confidence"), "id")).alias("b"))
-    return best.select("b.id", *TRIPLE, "b.source", "b.record_id", "b.confidence", "b.evidence_type")
+def one_per_id(edges: DataFrame) -> DataFrame:
+    """The most confident row of each id. Edges of other sources with the same triple stay: they are its provenance."""
+    best = edges.groupBy("id").agg(F.max_by(F.struct(*EDGE[1:]), F.struct("confidence", "evidence_type", F.coalesce("qualifier", F.lit("")))).alias("b"))
+    return best.select("id", "b.*")
 
 
-def corroboration(edges: DataFrame) -> DataFrame:
-    """Distinct sources and records of each triple."""
-    return edges.groupBy(*TRIPLE).agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_records"))
+def independent_source(source: Column, record: Column, qualifier: Column) -> Column:
+    """What tells two assertions apart as independent: the knowledge source of monarch rows, the publication of extracted
+    ones, the registry or publication that a curated row copies, else the source."""
+    return (
+        F.when(source == "monarch", F.coalesce(qualifier, F.lit("monarch")))
+        .when(F.startswith(source, F.lit("openai:")), record)
+        .when((source == "curated") & F.startswith(record, F.lit("NCT")), F.lit("clinicaltrials"))
+        .when((source == "curated") & F.startswith(record, F.lit("PMID:")), record)
+        .otherwise(source)
+    )
 
 
-def bonus(n_sources: Column) -> Column:
-    return F.least(BONUS_STEP * (n_sources - 1), F.lit(BONUS_MOST))
+def _plain_source(name: Column) -> Column:
+    return F.regexp_replace(name, "^infores:", "")
 
 
-def score(base: Column, n_sources: Column, n_disputes: Column, inferred: Column) -> Column:
-    """Base confidence with corroboration added and disputes taken off, inside the limits."""
-    raw = base + bonus(n_sources) - DISPUTE_COST * n_disputes
-    return round4(F.greatest(F.lit(SCORE_LEAST), F.least(raw, F.when(inferred, F.lit(INFERRED_MOST)).otherwise(F.lit(SCORE_MOST)))))
+def rule(source: Column, relation: Column, evidence_type: Column, qualifier: Column) -> Column:
+    """The rubric's rule of an edge; null if it has none. The qualifier of extracted rows is the claim's certainty."""
+    has_other = F.size(F.filter(listed(qualifier), lambda c: c != ELECTRONIC)) > 0
+    extracted = F.when(relation == "mentions", "inferred_low").otherwise(F.concat(F.lit("inferred_"), F.coalesce(qualifier, F.lit("low"))))
+    curated = F.when(qualifier == "page_read", "org_page_read").when(qualifier == "url_resolves", "org_url_resolves").when(qualifier == "unverified", "curated_unverified").otherwise("team_curated")
+    known = (
+        F.when(source == "monarch", F.when(relation == "has_phenotype", "kb_phenotype").otherwise("kb_gene_disease"))
+        .when(source == "go", F.when(has_other, "go_experimental").otherwise("go_iea"))
+        .when(source == "clinicaltrials", F.when(qualifier == "alias", "ctgov_alias").otherwise("ctgov_record"))
+        .when(source == "reporter", "reporter_record")
+        .when(source == "curated", curated)
+    )
+    return F.when(evidence_type == "inferred", F.when(F.startswith(source, F.lit("openai:")), extracted).otherwise(COMPUTED)).otherwise(known)
+
+
+def corroboration(edges: DataFrame) -> DataFrame:
+    """Independent sources of each triple: their number, the records, and the names, at most one a source."""
+    own = independent_source(F.col("source"), F.col("record_id"), F.col("qualifier"))
+    by_source = edges.groupBy(*TRIPLE, own.alias("by")).agg(F.count("*").alias("n"))
+    names = F.array_join(F.array_sort(F.collect_set(_plain_source(F.col("by")))), ", ")
+    return by_source.groupBy(*TRIPLE).agg(F.count("*").alias("n_sources"), F.sum("n").alias("n_records"), names.alias("sources"))
 
 
 def rescored(edges: DataFrame, disputes: DataFrame) -> DataFrame:
-    """One edge a triple with n_sources, disputed, score and reasons. disputes: triples."""
-    best = one_per_triple(edges).join(corroboration(edges), list(TRIPLE))
-    marked = best.join(disputes.select(*TRIPLE).distinct().withColumn("disputed", F.lit(True)), list(TRIPLE), "left").withColumn("disputed", F.coalesce("disputed", F.lit(False)))
-    inferred = F.col("evidence_type") == "inferred"
+    """Each edge with rule, score and reasons. disputes (triple, record_id): the records that contradict a triple.
+
+    The rule's base, or the edge's own confidence without one, plus a bonus for further independent sources, less a
+    cost for each contradicting record (none for edges that contradict), inside the limits. Corroboration and
+    disputes are counted before they are joined, so what is joined is a row a triple.
+    """
+    counted = disputes.groupBy(*TRIPLE).agg(F.count("*").alias("n_disputes"))
+    marked = edges.join(corroboration(edges), list(TRIPLE)).join(counted, list(TRIPLE), "left")
+    marked = marked.withColumn("n_disputes", F.when(F.col("relation") == "contradicts", 0).otherwise(F.coalesce("n_disputes", F.lit(0))).cast("long"))
+    marked = marked.withColumn("rule", rule(F.col("source"), F.col("relation"), F.col("evidence_type"), F.col("qualifier")))
+    base = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, (v, _) in RULES.items() for x in (k, v)]), F.col("rule")), F.col("confidence"))
+    said = literal_map({k: label for k, (_, label) in RULES.items()})[F.col("rule")]
+    known = F.coalesce(literal_map(KNOWLEDGE_SOURCES)[F.col("qualifier")], _plain_source(F.col("qualifier")))
+    via = F.when((F.col("source") == "monarch") & F.col("qualifier").isNotNull(), F.concat(F.lit(" ("), known, F.lit(" via Monarch)"))).otherwise("")
+    first = (
+        F.when(F.col("rule") == COMPUTED, F.format_string("computed analytics value %.2f", "confidence"))
+        .when(said.isNull(), F.concat(F.lit("no rubric row for "), F.col("source"), F.lit("; ingest value")))
+        .otherwise(F.concat(said, via, F.format_string(" %.2f", base)))
+    )
+    several, n, inferred = F.col("n_sources") >= 2, F.col("n_disputes"), F.col("evidence_type") == "inferred"
+    bonus = F.when(several, F.least(BONUS_STEP * (F.col("n_sources") - 1), F.lit(BONUS_MOST))).otherwise(0.0)
+    value = base + bonus - DISPUTE_COST * n
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("n_sources") > 1, F.format_string("backed by %d sources", F.col("n_sources"))),
-            F.when(F.col("disputed"), F.lit("disputed")),
-            F.when(inferred, F.lit("inferred")),
+            first,
+            F.when(several, F.format_string("+%.2f corroborated by %d sources (%s)", bonus, "n_sources", "sources")),
+            F.when(n > 0, F.concat(F.format_string("-%.2f contradicted by %d record", DISPUTE_COST * n, n), F.when(n == 1, "").otherwise("s"))),
+            F.when(inferred & (value > INFERRED_MOST), F.lit("capped at 0.49: inferred stays below curated")),
         )
     )
-    return marked.select("id", *TRIPLE, "evidence_type", "confidence", "n_sources", "disputed", score(F.col("confidence"), F.col("n_sources"), F.col("disputed").cast("int"), inferred).alias("score"), F.array_join(reasons, "; ").alias("reasons"))
+    most = F.when(inferred, INFERRED_MOST).otherwise(SCORE_MOST)
+    score = round4(F.least(F.greatest(value, F.lit(SCORE_LEAST)), most))
+    return marked.select(*EDGE[:4], "evidence_type", "confidence", "rule", "n_sources", "n_disputes", score.alias("score"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+def contradiction_edges(edges: DataFrame, disputes: DataFrame) -> DataFrame:
+    """An edge of relation contradicts for each contradicting record, from it to the target of what it contradicts."""
+    rows = disputes.join(edges.select(*TRIPLE).distinct(), list(TRIPLE), "left_semi")
+    record = F.concat(F.lit("record:"), "record_id")
+    made = rows.select(record.alias("source_id"), F.lit("contradicts").alias("relation"), "target_id", F.lit("registry").alias("source"), "record_id", F.lit(0.8).alias("confidence"), F.lit("curated").alias("evidence_type"), F.lit(None).cast("string").alias("qualifier"))
+    return one_per_id(with_ids(made))
+
+
+def contradicted_by(edges: DataFrame, disputes: DataFrame) -> DataFrame:
+    """Per edge that is contradicted: the number of the edges that contradict it and the first five of their ids.
+
+    An edge of a triple that many records dispute keeps a bounded list; the number is of all.
+    """
+    rows = disputes.select(*TRIPLE, F.concat(F.lit("record:"), "record_id").alias("from"), "record_id")
+    by = edge_id(F.col("from"), F.lit("contradicts"), F.col("target_id"), F.lit("registry"), F.col("record_id"))
+    named = rows.select(*TRIPLE, by.alias("by")).distinct()
+    rank = F.row_number().over(Window.partitionBy(*TRIPLE).orderBy("by"))
+    first = named.withColumn("r", rank).filter("r <= 5").groupBy(*TRIPLE).agg(F.array_join(F.array_sort(F.collect_list("by")), ",").alias("contradicted_by"))
+    counts = named.groupBy(*TRIPLE).agg(F.count("*").alias("n"))
+    return edges.select("id", *TRIPLE).join(counts.join(first, list(TRIPLE)), list(TRIPLE)).select("id", "n", "contradicted_by")
 
 
 def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,10 +157,21 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges.filter("confidence < 0 or confidence > 1 or confidence is null").select(F.lit("confidence_range"), "id"),
         edges.filter("source_id = target_id").select(F.lit("self_loop"), "id"),
     ]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return reduce(DataFrame.union, found)
+
+
+def missing_support(edges: DataFrame, supports: DataFrame) -> DataFrame:
+    """Rows of supports (id, supporting_id) whose supporting edge doesn't exist."""
+    return supports.join(edges.select(F.col("id").alias("supporting_id")), "supporting_id", "left_anti").select("id", "supporting_id")
+
+
+def error_report(found: DataFrame, most: int = 10) -> DataFrame:
+    """One row (n, report) of violations (rule, subject): the first `most` by rule and subject, and how many more there are."""
+    line = F.concat_ws(": ", "rule", "subject")
+    first = found.orderBy("rule", "subject").limit(most).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    counted = found.agg(F.count("*").alias("n")).join(F.broadcast(first))
+    more = F.when(F.col("n") > most, F.format_string(" (+%d more)", F.col("n") - most)).otherwise("")
+    return counted.select("n", F.concat(F.array_join("lines", "; "), more).alias("report"))
 
 
 def merged_nodes(rows: DataFrame) -> DataFrame:

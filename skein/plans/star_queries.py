@@ -8,10 +8,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.numeric import millionths, round4
+from skein.functions.numeric import round4
 from skein.functions.text import clipped, numbers
-from skein.operators import actions, coverage, explain, extract, graph, resolve, search, similarity, snapshot, trust
+from skein.operators import actions, coverage, evidence_map as maps, explain, extract, graph, resolve, search, similarity, snapshot, trust
 from skein.operators.components import components
+from skein.operators.work import saved
+from skein.schema import GENE_WEIGHT, MECHANISM_WEIGHT, PHENOTYPE_WEIGHT
 from skein.sources import star
 from skein.sources.star import table
 from skein.streaming import limiter, windows
@@ -35,7 +37,12 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return trust.one_per_triple(_evidence(spark, d))
+    return trust.one_per_id(_evidence(spark, d))
+
+
+def nodes_and_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, written once for queries that read the edges more than once."""
+    return star.nodes(spark, d), saved(_edges(spark, d))
 
 
 @query
@@ -60,17 +67,49 @@ def corroboration(spark, d):
 
 @query
 def rubric_score(spark, d):
-    return trust.rescored(_evidence(spark, d), star.disputed(spark, d))
+    return trust.rescored(saved(_evidence(spark, d)), star.disputes(spark, d))
 
 
 @query
 def contradictions(spark, d):
-    return star.disputed(spark, d)
+    return star.disputes(spark, d)
+
+
+@query
+def independent_sources(spark, d):
+    own = trust.independent_source(F.col("source"), F.col("record_id"), F.col("qualifier"))
+    return _evidence(spark, d).select("id", own.alias("independent_source"))
+
+
+@query
+def contradiction_edges(spark, d):
+    edges = saved(_evidence(spark, d))
+    return trust.contradiction_edges(edges, star.disputes(spark, d)).select("id", "source_id", "relation", "target_id", "record_id")
+
+
+@query
+def contradicted_by(spark, d):
+    return trust.contradicted_by(_evidence(spark, d), star.disputes(spark, d))
 
 
 @query
 def integrity_violations(spark, d):
-    return trust.violations(star.nodes(spark, d).filter(~F.contains("label", F.lit("7"))), _edges(spark, d))
+    n, e = nodes_and_edges(spark, d)
+    return trust.violations(n.filter(~F.contains("label", F.lit("7"))), e)
+
+
+@query
+def missing_support(spark, d):
+    # Each edge is said to rest on the edge of the line before its own; where that wasn't returned there is none.
+    e = saved(_evidence(spark, d)).filter("relation = 'has_phenotype'")
+    before = F.concat(F.regexp_extract("record_id", "^(L-[0-9]+-)", 1), F.regexp_extract("record_id", "([0-9]+)$", 1).cast("int") - 1)
+    supports = e.select("id", before.alias("supporting_id"))
+    return trust.missing_support(e.select(F.col("record_id").alias("id")), supports)
+
+
+@query
+def error_report(spark, d):
+    return trust.error_report(integrity_violations(spark, d))
 
 
 @query
@@ -98,8 +137,10 @@ def top_edges_per_node(spark, d):
 @query
 def edge_detail(spark, d):
     n = star.nodes(spark, d)
-    a, b = n.select(F.col("id").alias("source_id"), F.col("label").alias("source_label"), F.col("type").alias("source_type")), n.select(F.col("id").alias("target_id"), F.col("label").alias("target_label"), F.col("type").alias("target_type"))
-    return _edges(spark, d).filter("relation <> 'has_phenotype'").join(a, "source_id").join(b, "target_id").select("id", "source_label", "source_type", "target_label", "target_type", "relation", "confidence")
+    ends = [n.select(F.col("id").alias(f"{e}_id"), F.col("label").alias(f"{e}_label"), F.col("type").alias(f"{e}_type")) for e in ("source", "target")]
+    against = star.disputes(spark, d).groupBy(*trust.TRIPLE).agg(F.count("*").alias("n_disputes"))
+    e = _edges(spark, d).join(against, list(trust.TRIPLE), "left").join(ends[0], "source_id").join(ends[1], "target_id")
+    return e.select("id", "source_label", "source_type", "target_label", "target_type", "relation", "confidence", F.coalesce("n_disputes", F.lit(0)).cast("long").alias("n_disputes"))
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
@@ -119,22 +160,47 @@ def information_content(spark, d):
     return graph.information_content(notes, graph.closure(_parents(spark, d))).withColumn("ic", round4(F.col("ic")))
 
 
-def _weighted(spark: SparkSession, d: str) -> DataFrame:
-    notes = _edges(spark, d).filter("relation = 'has_phenotype'").select(F.col("source_id").alias("thing"), F.col("target_id").alias("feature"))
-    total = notes.agg(F.count_distinct("thing").alias("total"))
-    ic = notes.groupBy("feature").agg(F.count_distinct("thing").alias("n")).join(F.broadcast(total)).select("feature", millionths(-F.log(F.col("n") / F.col("total"))).alias("weight"))
-    return similarity.weighted_jaccard(notes.join(ic, "feature"), 500_000)
+WEIGHTS = {"phenotype": PHENOTYPE_WEIGHT, "gene": GENE_WEIGHT, "mechanism": MECHANISM_WEIGHT}
+
+
+def profiles_of(spark: SparkSession, d: str) -> DataFrame:
+    n, e = nodes_and_edges(spark, d)
+    return saved(similarity.profiles(n, e))
+
+
+@query
+def disease_profiles(spark, d):
+    return profiles_of(spark, d)
 
 
 @query
 def weighted_jaccard(spark, d):
-    return _weighted(spark, d)
+    found = similarity.weighted_jaccard(profiles_of(spark, d), "kind")
+    return found.withColumn("score", round4(F.col("score")))
 
 
 @query
 def pair_scores(spark, d):
-    causes = _edges(spark, d).filter("relation = 'caused_by'").select(F.col("source_id").alias("thing"), F.col("target_id").alias("feature"), F.lit(1).alias("weight"))
-    return similarity.combined({"phenotypes": (_weighted(spark, d), 0.7), "genes": (similarity.weighted_jaccard(causes), 0.3)})
+    return similarity.scored_pairs(profiles_of(spark, d), WEIGHTS)
+
+
+def _buyers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as things, the parts that they returned as features: many things, each feature of few."""
+    line = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey")
+    bought = line.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    notes = bought.select(F.concat(F.lit("U:"), "o_custkey").alias("thing"), F.concat(F.lit("P:"), "l_partkey").alias("feature"))
+    return similarity.informative(notes, table(spark, d, "customer"))
+
+
+@query
+def buyer_similarity(spark, d):
+    found = similarity.weighted_jaccard(saved(_buyers(spark, d)))
+    return found.withColumn("score", round4(F.col("score")))
+
+
+@query
+def shared_phenotypes(spark, d):
+    return similarity.top_shared(saved(_buyers(spark, d)))
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
@@ -144,36 +210,34 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 @query
 def shared_features(spark, d):
     regions = _regions(spark, d).withColumnRenamed("id", "source_id")
-    notes = _edges(spark, d).filter("relation = 'has_phenotype'").join(regions, "source_id")
+    notes = _edges(spark, d).filter("relation = 'has_phenotype'").select("source_id", "target_id").distinct().join(regions, "source_id")
     return graph.shared_items(notes.select("cluster", F.col("target_id").alias("item"), F.col("source_id").alias("member")), "cluster", "item")
 
 
-@query
-def cluster_bridges(spark, d):
-    r = _regions(spark, d)
-    pairs = pair_scores(spark, d).filter("score >= 0.01").join(r.select(F.col("id").alias("a"), F.col("cluster").alias("ca")), "a").join(r.select(F.col("id").alias("b"), F.col("cluster").alias("cb")), "b").filter("ca <> cb")
-    return trust.capped(pairs, ["ca"], [F.desc("score"), F.asc("a"), F.asc("b")], 6).select("a", "b", "score", "rank")
-
-
 @query
 def similarity_components(spark, d):
-    return components(pair_scores(spark, d).filter("score >= 0.03").select("a", "b"))
+    return components(pair_scores(spark, d).filter("score >= 0.1").select("a", "b"))
 
 
 @query
 def similarity_communities(spark, d):
-    return graph.label_propagation(pair_scores(spark, d).filter("score >= 0.03").select("a", "b", F.col("score").alias("w")))
+    return graph.label_propagation(pair_scores(spark, d).filter("score >= 0.1").select("a", "b", F.round(F.col("score") * 10000).cast("long").alias("w")))
 
 
 @query
 def routing_graph(spark, d):
-    return graph.routing(_edges(spark, d))
+    n, e = nodes_and_edges(spark, d)
+    return graph.routing(n, e)
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    n, e = nodes_and_edges(spark, d)
+    return graph.cheapest_paths(graph.routing(n, e), "N:0", "N:7", 3, 8)
 
 
 @query
 def k_paths(spark, d):
-    found = graph.cheapest_paths(graph.routing(_edges(spark, d)), "N:0", "N:7", 3, 4)
-    return found.select(F.array_join("path", ">").alias("path"), "w", "n_edges")
+    return _paths(spark, d).select(F.array_join("path", ">").alias("path"), F.array_join("edge_ids", ",").alias("edge_ids"), "w", "cost", "n_edges")
 
 
 @query
@@ -181,9 +245,47 @@ def bfs_depth2(spark, d):
     return graph.reach(_edges(spark, d), spark.createDataFrame([("N:3",)], "start_id string"), 2)
 
 
+def _map(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Nodes and edges, the nodes near N:3, those shown, and the edges drawn."""
+    n, e = nodes_and_edges(spark, d)
+    near = saved(maps.neighbourhood(n, e, "N:3"))
+    shown = near.filter("shown").select("id", "type")
+    disputed = e.join(star.disputes(spark, d).select(*trust.TRIPLE).distinct(), list(trust.TRIPLE), "left_semi").select("id")
+    return n, e, near, shown, saved(maps.drawn_edges(shown, e, disputed))
+
+
 @query
 def evidence_map(spark, d):
-    return graph.evidence_map(star.nodes(spark, d), _edges(spark, d), "N:3")
+    n, e = nodes_and_edges(spark, d)
+    return maps.neighbourhood(n, e, "N:3").filter("shown").select("id", "type", "distance")
+
+
+@query
+def map_edges(spark, d):
+    drawn = _map(spark, d)[4]
+    look = maps.edge_class(F.col("relation"), F.col("evidence_type"), F.col("is_contradiction"))
+    return drawn.select("id", "is_contradiction", look.alias("edge_class"))
+
+
+@query
+def map_legend(spark, d):
+    _, e, near, shown, drawn = _map(spark, d)
+    return maps.legend(shown, drawn, near, e)
+
+
+@query
+def map_overview(spark, d):
+    n, e = nodes_and_edges(spark, d)
+    return maps.overview(n, e)
+
+
+@query
+def map_pulled_in(spark, d):
+    n, e, _, shown, _ = _map(spark, d)
+    made = trust.contradiction_edges(e, star.disputes(spark, d))
+    by = star.disputes(spark, d).join(made.select("record_id", "target_id", F.col("id").alias("by_id")), ["record_id", "target_id"]).join(e.select("id", *trust.TRIPLE), list(trust.TRIPLE)).select("id", "by_id")
+    records = made.select(F.col("source_id").alias("id"), F.lit("publication").alias("type"), F.col("record_id").alias("label")).distinct()
+    return maps.pulled_in(shown, n.unionByName(records), e.unionByName(made), by)
 
 
 @query
@@ -214,7 +316,7 @@ def partners(spark, d):
 
 @query
 def search_lexical(spark, d):
-    return search.lexical(star.nodes(spark, d), "gear blue")
+    return search.lexical(star.nodes(spark, d), "large widget")
 
 
 @query
@@ -255,21 +357,63 @@ def number_faithfulness(spark, d):
 
 @query
 def template_sentences(spark, d):
-    return explain.sentences(_edges(spark, d).filter("relation <> 'has_phenotype'"), star.nodes(spark, d))
+    return explain.sentences(_edges(spark, d), star.nodes(spark, d)).select("id", "sentence")
+
+
+@query
+def researcher_sentences(spark, d):
+    return explain.sentences(_edges(spark, d), star.nodes(spark, d), "researcher").select("id", "sentence")
+
+
+@query
+def source_citations(spark, d):
+    return _edges(spark, d).select("id", explain.citation(F.col("source"), F.col("record_id"), F.col("qualifier")).alias("citation"))
+
+
+@query
+def edge_content_hashes(spark, d):
+    return explain.content_hash(_edges(spark, d))
+
+
+def _asked(e: DataFrame) -> DataFrame:
+    """An explanation for each brand and mechanism: of the first cause that leads to the brand, then of the brand's part in the mechanism."""
+    causes = e.filter("relation = 'caused_by'").groupBy("target_id").agg(F.min("id").alias("first"))
+    takes = e.filter("relation = 'participates_in'").join(causes.withColumnRenamed("target_id", "source_id"), "source_id")
+    name = F.concat_ws("|", "source_id", "target_id")
+    return takes.select(name.alias("explanation_id"), F.lit(0).alias("pos"), F.col("first").alias("edge_id")).union(takes.select(name, F.lit(1), "id"))
+
+
+def _explained(spark: SparkSession, d: str) -> DataFrame:
+    n, e = nodes_and_edges(spark, d)
+    disputed = e.join(star.disputes(spark, d).select(*trust.TRIPLE).distinct(), list(trust.TRIPLE), "left_semi").select("id")
+    return explain.explanations(_asked(e), e, n, disputed)
+
+
+@query
+def explanations(spark, d):
+    return _explained(spark, d)
+
+
+@query
+def explanation_cache(spark, d):
+    written = saved(_explained(spark, d))
+    cache = written.filter(F.substring("key", 1, 1) < "8").select("key", F.concat(F.lit("kept: "), "summary").alias("text"))
+    return explain.explained(written.select("explanation_id", "key"), cache, written.select("explanation_id", F.col("summary").alias("text")))
 
 
 @query
 def caveats(spark, d):
-    return explain.caveats(_edges(spark, d), star.disputed(spark, d))
+    return explain.caveats(_edges(spark, d), star.disputes(spark, d))
 
 
 @query
 def explanation_checks(spark, d):
-    # Each sentence as an explanation of its edge, its label the context: sentences with numbers that labels don't have are found.
-    e, n = _edges(spark, d).filter("relation = 'funds'"), star.nodes(spark, d)
-    said = explain.sentences(e, n).join(e.select("id", "source_id", "target_id"), "id")
-    given = said.select("id", F.col("sentence").alias("text"), F.array("id").alias("cited"), F.array("id").alias("asked"), F.array().cast("array<string>").alias("disputed"), F.concat_ws(" ", "source_id", F.when(F.endswith("target_id", F.lit("1")), F.lit("0.95")).otherwise(F.lit(""))).alias("context"))
-    return explain.valid(given.withColumn("text", F.regexp_replace("text", "#[0-9]+", ""))).select("id", "problem")
+    # Each sentence explains its edge with the labels of its ends as context; numbers that these don't have are found.
+    n = star.nodes(spark, d)
+    said = explain.sentences(_edges(spark, d), n, "researcher")
+    none = F.array().cast("array<string>")
+    given = said.select("id", F.col("sentence").alias("text"), F.array("id").alias("cited"), F.array("id").alias("asked"), none.alias("disputed"), F.concat_ws(" ", "source_label", "target_label", "record_id").alias("context"))
+    return explain.valid(given).select("id", "problem")
 
 
 @query
@@ -286,15 +430,23 @@ def next_experiment(spark, d):
 
 @query
 def path_hydration(spark, d):
-    paths = graph.cheapest_paths(graph.routing(_edges(spark, d)), "N:0", "N:7", 3, 4)
-    return actions.hydrated(paths.select(F.array_join("path", ">").alias("path_id"), "path"), _edges(spark, d))
+    n, e = nodes_and_edges(spark, d)
+    paths = graph.cheapest_paths(graph.routing(n, e), "N:0", "N:7", 3, 8)
+    return actions.hydrated(paths.select(F.array_join("path", ">").alias("path_id"), "edge_ids"), e, star.disputes(spark, d))
 
 
 @query
 def resolve_cascade(spark, d):
-    n = star.nodes(spark, d).filter("type in ('disease', 'funder', 'gene', 'mechanism')")
-    mentions = table(spark, d, "nation").select(F.lower("n_name").alias("mention")).union(table(spark, d, "part").select("p_brand")).union(table(spark, d, "part").select(F.concat(F.lit("the "), F.col("p_type"), F.lit(" thing"))))
-    return resolve.cascade(mentions, n)
+    part = table(spark, d, "part")
+    mentions = table(spark, d, "nation").select(F.lower("n_name").alias("mention")).union(part.select("p_brand")).union(part.select("p_name")).union(part.select(F.concat(F.lit("the "), F.col("p_type"), F.lit(" thing"))))
+    return resolve.cascade(mentions, star.nodes(spark, d).filter("type <> 'study'"))
+
+
+@query
+def merge_duplicates(spark, d):
+    # Parts of one brand and size are taken as cross-references of one thing.
+    xrefs = table(spark, d, "part").select(F.concat(F.lit("P:"), "p_partkey").alias("id"), F.concat_ws(":", "p_brand", "p_size").alias("xref"))
+    return resolve.duplicate_groups(star.nodes(spark, d).filter("type in ('phenotype', 'gene', 'disease')"), xrefs)
 
 
 @query

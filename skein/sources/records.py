@@ -22,6 +22,7 @@ def ontology(spark: SparkSession, path: str) -> DataFrame:
     Stanzas are read as records, so a file of any size is split between tasks.
     """
     stanza = spark.read.option("lineSep", "\n[").text(path).filter(F.startswith("value", F.lit("Term]")))
+    stanza = stanza.withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
 
     def tag(name: str) -> Column:
         return F.regexp_extract_all("value", F.lit(rf"(?m)^{name}: ([^\n!]*[^\n! ])"), F.lit(1))

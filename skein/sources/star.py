@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Returned quantity from which a line is evidence, and from which it names an investigator.
-LEAST_QUANTITY, INVESTIGATED_QUANTITY = 45, 48
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _id(prefix: str, column: str):
+def _id(prefix: str, column: str) -> Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, type, label. A brand and a type are nodes of their own."""
+    """id, type, label. A brand, a type and a segment are nodes of their own; orders are studies."""
     part = table(spark, sf_dir, "part")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Order "), "o_orderkey").alias("title"))
     kinds = [
         (table(spark, sf_dir, "nation"), "N:", "n_nationkey", "disease", "n_name"),
         (part, "P:", "p_partkey", "phenotype", "p_name"),
@@ -29,51 +27,58 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (part.select("p_type").distinct(), "T:", "p_type", "mechanism", "p_type"),
         (table(spark, sf_dir, "supplier"), "S:", "s_suppkey", "investigator", "s_name"),
         (table(spark, sf_dir, "region"), "R:", "r_regionkey", "funder", "r_name"),
+        (orders, "O:", "o_orderkey", "study", "title"),
+        (table(spark, sf_dir, "customer").select("c_mktsegment").distinct(), "C:", "c_mktsegment", "patient_group", "c_mktsegment"),
     ]
     return reduce(DataFrame.unionByName, [df.select(_id(p, k).alias("id"), F.lit(t).alias("type"), F.col(label).alias("label")) for df, p, k, t, label in kinds])
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines from LEAST_QUANTITY on, with the customer's nation. The filter and the columns reach the scan."""
-    line = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= LEAST_QUANTITY).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
+    """Order lines with the customer's nation. Only the columns named reach the scan."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
 
 
+def _rows(df: DataFrame, source_id: Column, relation: str, target_id: Column, source: str, record: Column, confidence: Column, evidence_type: Column, qualifier: Column) -> DataFrame:
+    columns = {"source_id": source_id, "relation": F.lit(relation), "target_id": target_id, "source": F.lit(source), "record_id": record, "confidence": confidence.cast("double"), "evidence_type": evidence_type, "qualifier": qualifier}
+    return df.select(*[c.alias(name) for name, c in columns.items()])
+
+
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence rows of all relations (schema.EVIDENCE)."""
-    returned, part = lines(spark, sf_dir).filter("l_returnflag = 'R'"), table(spark, sf_dir, "part")
-    kind = F.when(F.col("l_discount") < 0.02, "clinical").when(F.col("l_discount") < 0.07, "curated").otherwise("inferred")
-    phenotypes = returned.select(
-        _id("N:", "c_nationkey").alias("source_id"), F.lit("has_phenotype").alias("relation"), _id("P:", "l_partkey").alias("target_id"), F.lower(F.substring_index("o_orderpriority", "-", -1)).alias("source"),
-        F.concat_ws("-", F.lit("L"), "l_orderkey", "l_linenumber").alias("record_id"), (1 - F.col("l_discount")).alias("confidence"), kind.alias("evidence_type"),
-    )
+    """Evidence rows of all relations: triple, source, record_id, confidence, evidence_type and qualifier.
+
+    What the qualifier says depends on the source: the knowledge source of monarch rows, the evidence codes of go
+    rows, how the condition matched of clinicaltrials rows, how curated rows were verified.
+    """
+    returned, part, null = lines(spark, sf_dir).filter("l_returnflag = 'R'"), table(spark, sf_dir, "part"), F.lit(None).cast("string")
+    curated, observed, nation = F.lit("curated"), F.lit("observed"), _id("N:", "c_nationkey")
+    kind = F.when(F.col("l_discount") < 0.02, "observed").when(F.col("l_discount") < 0.07, "curated").otherwise("inferred")
+    urgency = F.concat(F.lit("infores:"), F.lower(F.substring_index("o_orderpriority", "-", -1)))
+    phenotypes = _rows(returned, nation, "has_phenotype", _id("P:", "l_partkey"), "monarch", F.concat_ws("-", F.lit("L"), "l_orderkey", "l_linenumber"), 1 - F.col("l_discount"), kind, urgency)
     by_brand = returned.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("c_nationkey", "p_brand").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("q"), "p_brand"))
-    causes = by_brand.withColumn("r", rank).filter("r <= 3").select(
-        _id("N:", "c_nationkey").alias("source_id"), F.lit("caused_by").alias("relation"), _id("B:", "p_brand").alias("target_id"), F.lit("ranking").alias("source"),
-        F.concat_ws("-", F.lit("Q"), "c_nationkey", "r").alias("record_id"), F.element_at(F.array(F.lit(0.9), F.lit(0.8), F.lit(0.7)), F.col("r")).alias("confidence"), F.lit("curated").alias("evidence_type"),
-    )
-    per_type = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    per_type = per_type.withColumn("total", F.sum("n").over(Window.partitionBy("p_brand")))
-    takes_part = per_type.filter("5 * n >= total").select(
-        _id("B:", "p_brand").alias("source_id"), F.lit("participates_in").alias("relation"), _id("T:", "p_type").alias("target_id"), F.lit("catalogue").alias("source"),
-        F.concat_ws("-", F.lit("C"), "p_brand", "p_type").alias("record_id"), F.lit(0.85).alias("confidence"), F.lit("curated").alias("evidence_type"),
-    )
-    studied = returned.filter(F.col("l_quantity") >= INVESTIGATED_QUANTITY).groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("n")).select(
-        _id("S:", "l_suppkey").alias("source_id"), F.lit("investigates").alias("relation"), _id("N:", "c_nationkey").alias("target_id"), F.lit("registry").alias("source"),
-        F.concat_ws("-", F.lit("I"), "l_suppkey", "c_nationkey").alias("record_id"), F.lit(0.6).alias("confidence"), F.lit("clinical").alias("evidence_type"),
-    )
+    top = by_brand.withColumn("r", rank).filter("r <= 3")
+    causes = _rows(top, nation, "caused_by", _id("B:", "p_brand"), "ranking", F.concat_ws("-", F.lit("Q"), "c_nationkey", "r"), F.element_at(F.array(F.lit(0.9), F.lit(0.8), F.lit(0.7)), F.col("r")), curated, null)
+    per_type = part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy("p_brand"))).filter("6 * n >= total")
+    codes = F.when(F.col("n") * 5 >= F.col("total"), "ECO:0000314,ECO:0000501").otherwise("ECO:0000501")
+    takes_part = _rows(per_type, _id("B:", "p_brand"), "participates_in", _id("T:", "p_type"), "go", F.concat_ws("-", F.lit("G"), "p_brand", "p_type"), F.lit(0.8), curated, codes)
+    studied = _rows(returned.groupBy("l_suppkey", "c_nationkey").agg(F.count("*").alias("n")), _id("S:", "l_suppkey"), "investigates", nation, "reporter", F.concat_ws("-", F.lit("I"), "l_suppkey", "c_nationkey"), F.lit(0.75), observed, F.col("n").cast("string"))
     homes = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    funded = homes.select(
-        _id("R:", "n_regionkey").alias("source_id"), F.lit("funds").alias("relation"), _id("S:", "s_suppkey").alias("target_id"), F.lit("registry").alias("source"),
-        F.concat_ws("-", F.lit("F"), "n_regionkey", "s_suppkey").alias("record_id"), F.lit(0.95).alias("confidence"), F.lit("curated").alias("evidence_type"),
-    )
-    return reduce(DataFrame.unionByName, [phenotypes, causes, takes_part, studied, funded])
-
-
-def disputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples that lines returned and lines accepted both speak of: source_id, relation, target_id."""
-    both = lines(spark, sf_dir).filter("l_returnflag in ('A', 'R')").groupBy("c_nationkey", "l_partkey").agg(F.count_distinct("l_returnflag").alias("n")).filter("n = 2")
-    return both.select(_id("N:", "c_nationkey").alias("source_id"), F.lit("has_phenotype").alias("relation"), _id("P:", "l_partkey").alias("target_id"))
+    checked = F.element_at(F.array(F.lit("page_read"), F.lit("url_resolves"), F.lit("cited")), (F.col("n_regionkey") % 3 + 1).cast("int"))
+    funded = _rows(homes, _id("R:", "n_regionkey"), "funds", _id("S:", "s_suppkey"), "curated", F.concat_ws("-", F.lit("F"), "n_regionkey", "s_suppkey"), F.lit(0.6), curated, checked)
+    customer = table(spark, sf_dir, "customer")
+    groups = _rows(customer.select("c_mktsegment", "c_nationkey").distinct(), _id("C:", "c_mktsegment"), "represents", nation, "curated", F.concat_ws("-", F.lit("C"), "c_mktsegment", "c_nationkey"), F.lit(0.5), curated, F.lit("unverified"))
+    orders = table(spark, sf_dir, "orders").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    match = F.when(F.col("o_orderstatus") == "F", "alias").otherwise("label")
+    trials = _rows(orders, _id("O:", "o_orderkey"), "studies_condition", nation, "clinicaltrials", _id("O-", "o_orderkey"), F.lit(0.75), observed, match)
+    return reduce(DataFrame.unionByName, [phenotypes, causes, takes_part, studied, funded, groups, trials])
+
+
+def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triple and record_id of each accepted line of what other lines of the same nation returned."""
+    both = lines(spark, sf_dir).filter("l_returnflag in ('A', 'R')").select("c_nationkey", "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag")
+    key = ["c_nationkey", "l_partkey"]
+    found = both.filter("l_returnflag = 'A'").join(both.filter("l_returnflag = 'R'").select(*key).distinct(), key)
+    return found.select(_id("N:", "c_nationkey").alias("source_id"), F.lit("has_phenotype").alias("relation"), _id("P:", "l_partkey").alias("target_id"), F.concat_ws("-", F.lit("A"), "l_orderkey", "l_linenumber").alias("record_id"))
