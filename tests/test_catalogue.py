@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from skein.plans import star_queries, star_sql
+from skein.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,17 +28,17 @@ def rows(found, columns):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(star_sql.SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_its_sql(spark, db, name):
-    df = star_queries.queries()[name](spark, DATA)
+    df = catalogue.queries()[name](spark, DATA)
     columns = sorted(df.columns)
-    found = db.execute(star_sql.SQL[name])
+    found = db.execute(catalogue.oracle_sql()[name])
     names = [c[0] for c in found.description]
     assert sorted(names) == columns
     expected = rows([dict(zip(names, r, strict=True)) for r in found.fetchall()], columns)
     assert [tuple(map(str, r)) for r in rows(df.collect(), columns)] == [tuple(map(str, r)) for r in expected]
 
 
-@pytest.mark.parametrize("name", sorted(set(star_queries.queries()) - set(star_sql.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
-    assert star_queries.queries()[name](spark, DATA).count() > 0
+    assert catalogue.queries()[name](spark, DATA).count() > 0
