@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import decontaminate, mixing, ngram_join, quality_rules, secret_scan
 from skein.llm.common import table
-from skein.operators.work import saved
+from skein.operators.work import discard, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents. What a stage wrote on its way is deleted when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if at:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
