@@ -243,7 +243,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     files are dealt otherwise, as after the loss of an executor. So of repeated rows, and of rows with null ids, one
     stays too. Texts without words all stay.
     """
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = jaccard_components(numbered, width, percent, id_col="_row")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return numbered.join(gone, numbered["_row"] == gone["_gone"], "left_anti").drop("_row")
+    numbered = saved(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    found = jaccard_components(numbered.select("row", F.col("doc.text").alias("text")), width, percent, id_col="row")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("row"))
+    return numbered.join(gone, "row", "left_anti").select("doc.*")

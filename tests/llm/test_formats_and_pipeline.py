@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import os
 import random
-from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import chat_format, html_text, mixing, ngram_join, queries, quality_rules
-from tests.llm.test_text_operators import brute_components, corpus, sentence
+from skein.llm import chat_format, html_text, ngram_join, queries, quality_rules
+from tests.llm.test_secrets_and_mixing import brute_mix, brute_secrets
+from tests.llm.test_text_operators import brute_components, brute_good_lines, brute_rules, corpus, sentence
 
 DATA = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
@@ -129,24 +129,54 @@ def test_one_of_each_when_files_are_dealt_otherwise(spark, tmp_path, monkeypatch
     assert sorted(kept) == sorted({x[1] for x in rows})
 
 
-def test_run_equals_brute_force(spark, tmp_path):
-    secret, schema = "Token: abcdefgh12345678", "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(i, t if t is None or len(t) > 1000 else "\n".join([t, secret]), "en", s, len(t or "")) for i, t, s, *_ in corpus(8)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    item = " ".join(rows[0][1].split()[:20])
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    cleaned = quality_rules.cleaned(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
-    groups = brute_components([(i, x["text"]) for i, x in enumerate(cleaned)], 5, 80)
-    firsts = [cleaned[i] for i, _, first in groups if i == first]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_run(rows, items):
+    """Every stage of the pipeline over (doc_id, text, lang, source, n_chars), said another way; rows in their order."""
+    kept = []
+    for x in rows:
+        good = "\n".join(brute_good_lines(x[1]))
+        _, word_chars, *_, failed = brute_rules(x[1])
+        if not failed and 2 * len("".join(good.split())) >= word_chars:
+            kept.append((x[0], good, x[2], x[3], len(good)))
+    groups = brute_components([(i, x[1]) for i, x in enumerate(kept)], 5, 80)
+    kept = [kept[i] for i, _, first in sorted(groups) if i == first]
     shingles = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    passage = shingles(item)
-    left = [x for x in firsts if 100 * len(passage & shingles(x["text"])) < 80 * len(passage)]
-    assert len(cleaned) > len(firsts) > len(left)
-    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    copies = Counter(x["doc_id"] for x in found)
-    rate = {x["source"]: x["target"] / x["source_size"] for x in mixing.mix_sources(mixing.measured(spark.createDataFrame(left, schema))).collect()}
-    assert set(copies) <= {x["doc_id"] for x in left}
-    assert all(copies[x["doc_id"]] - int(rate[x["source"]]) in (0, 1) for x in left)
-    texts = {x["doc_id"]: x["text"] for x in left}
-    assert all(secret not in x["text"] and x["n_chars"] == len(x["text"]) for x in found)
-    assert all(x["text"].startswith(texts[x["doc_id"]].split("Token:")[0]) for x in found)
+    kept = [x for x in kept if not any(100 * len(shingles(i) & shingles(x[1])) >= 80 * len(shingles(i)) for i in items)]
+    clean = []
+    for x, (_, base, extra) in zip(kept, brute_secrets([(x[0], x[1], x[3]) for x in kept]), strict=True):
+        text, at = "", 0
+        for start, _, stop, *_ in sorted(base + extra):
+            if start >= at:
+                text += x[1][at:start] + "[secret]"
+            at = max(at, stop)
+        text += x[1][at:]
+        clean.append((x[0], text, x[2], x[3], len(text)))
+    mixed = brute_mix([(x[0], x[1], x[3]) for x in clean])
+    return sorted([x for x, m in zip(clean, mixed, strict=True) for _ in range(m[4])], key=repr)
+
+
+def test_run_equals_brute_force(spark, tmp_path):
+    r, rows = random.Random(12), []
+    for i, t, s, *_ in corpus(8):
+        extra = ["Token: abcdefgh12345678", "Startseite", "a › b › c", f"key Zyxwvuts9rqponmlkjih{i} end.", "see Bbcdefgh1jklmnopqrstu there.", "Alle Rechte vorbehalten."]
+        rows.append((i, t if t is None or len(t) > 1000 else "\n".join([t, *r.sample(extra, 3)]), "en", s, len(t or "")))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [" ".join(rows[0][1].split()[:20]), " ".join(rows[30][1].split()[2:12])]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=repr)
+    assert found == brute_run(rows, items) and len({x[0] for x in found}) > 10
+
+
+def test_run_with_clashing_columns_and_with_nothing(spark, tmp_path):
+    names = ["base", "extra", "doc", "row", "_row", "_text", "_size", "size", "copies", "words", "key", "component_id"]
+    rows = [(i, sentence(random.Random(i), 40), "en", "s", 1, *["v"] * len(names)) for i in range(12)] + [(None, None, None, None, None, *[None] * len(names))]
+    schema = SCHEMA + "".join(f", {n} string" for n in names)
+    for name, some in (("some", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        found = out.collect()
+        assert out.columns == schema.replace(" long", "").replace(" string", "").split(", ") and (len(found) > 0) == bool(some)
+        assert all(x[n] == "v" for x in found for n in names)

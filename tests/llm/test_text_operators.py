@@ -426,3 +426,32 @@ def test_bitmaps_never_drop_a_link():
             for percent in (50, 80, 90):
                 linked = 100 * both >= percent * (len(a) + len(b) - both)
                 assert not linked or ngram_join._may_link(ngram_join._bitmap(a), len(a), ngram_join._bitmap(b), len(b), percent)
+
+
+def test_attention_model_by_plain_loops():
+    r = np.random.default_rng(5)
+    model = quality_model.AttentionModel.new(1)
+    p = {k: w + r.normal(0, 0.1, w.shape) for k, w in model.weights.items()}
+    model.weights = p
+    bags = [r.normal(0, 1, (n, quality_model.FEATURES)) for n in (1, 4, 2)]
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for bag, score in zip(bags, model.score(bags), strict=True):
+        h = [np.tanh(x @ p["we"] + p["be"]) for x in bag]
+        e = [np.exp((np.tanh(v @ p["v"] + p["bv"]) * sigmoid(v @ p["u"] + p["bu"])) @ p["w"]) for v in h]
+        assert score == pytest.approx(sigmoid(sum(a * v for a, v in zip(e, h, strict=True)) / sum(e) @ p["c"] + p["b"][0]))
+    x, first, y, weight = np.concatenate(bags), np.array([0, 1, 5]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 1.0])
+
+    def loss(weights):
+        s = quality_model.AttentionModel(weights).score(bags)
+        return -(weight / weight.sum() * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum()
+
+    grads = model.gradients(x, first, y, weight)
+    for name, at in (("we", (3, 2)), ("be", (1,)), ("v", (2, 3)), ("u", (4, 1)), ("w", (2,)), ("c", (5,)), ("b", (0,))):
+        up, down = ({k: w.copy() for k, w in p.items()} for _ in range(2))
+        up[name][at] += 1e-5
+        down[name][at] -= 1e-5
+        assert grads[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-6)
+
+
+def test_pii_of_nothing(spark):
+    assert pii.find_pii(spark.createDataFrame([], DOCS), examples=5).count() == 0
