@@ -19,11 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_short_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most 1,000 rows: texts are long, and a task holds a batch several times over."""
+def in_short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, in a session whose Arrow batches have at most so many rows: texts are long, and a task holds a batch several times over."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 

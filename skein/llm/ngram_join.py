@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     an empty set and link with nothing: their component is their own id. A null id stays null and never names a
     component that has another id. Repeated rows are returned as often as they occur. Other columns are ignored.
     """
-    docs = in_short_batches(docs).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    docs = in_short_batches(docs, 200).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     signed = _signatures(docs, width, percent)
     classes = saved(
         signed.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap")).withColumn("cid", F.monotonically_increasing_id())
