@@ -140,7 +140,21 @@ told AS (
 _EDGE = f"id, {_TRIPLE}, source, record_id, confidence, evidence_type, qualifier"
 _BY = "'E:' || substr(sha256('[\"record:' || record_id || '\",\"contradicts\",\"' || target_id || '\",\"registry\",\"' || record_id || '\"]'), 1, 16)"
 
+#: Any three ways over one node bound what the third cheapest path costs, so what costs more is no path to go on with.
+_PATHS = """
+s AS (SELECT lo AS a, hi AS b, w, cost, edge_id FROM routes UNION ALL SELECT hi, lo, w, cost, edge_id FROM routes),
+u AS (SELECT max(w) AS most FROM (SELECT x.w + y.w AS w FROM s x JOIN s y ON x.b = y.a WHERE x.a = 'N:0' AND y.b = 'N:7' ORDER BY 1 LIMIT 3)),
+p(path, ids, here, w, cost) AS (
+  SELECT ['N:0'], CAST([] AS VARCHAR[]), 'N:0', CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL SELECT list_append(path, s.b), list_append(ids, s.edge_id), s.b, p.w + s.w, p.cost + s.cost FROM p JOIN s ON p.here = s.a, u
+  WHERE p.here <> 'N:7' AND len(path) <= 8 AND NOT list_contains(path, s.b) AND p.w + s.w <= most),
+best AS (SELECT array_to_string(path, '>') AS path, ids, w, cost FROM p WHERE here = 'N:7' ORDER BY w, 1 LIMIT 3)"""
+
 SQL = {
+    "k_paths": f"{_G}, {ROUTES}, {_PATHS} SELECT path, array_to_string(ids, ',') AS edge_ids, w, round(cost / 1000000, 4) AS cost, CAST(len(ids) AS INT) AS n_edges FROM best",
+    "path_hydration": f"""{_G}, {ROUTES}, {_PATHS}, h AS (SELECT path AS path_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM best)
+        SELECT path_id, string_agg(h.id, ',' ORDER BY i) AS edge_ids, min(confidence) AS least_confidence, bool_or(evidence_type = 'inferred') AS has_inferred, bool_or(d.n IS NOT NULL) AS has_contradiction, count(*) AS n_hops
+        FROM h JOIN edges e ON e.id = h.id {_DISPUTED} GROUP BY path_id""",
     "graph_edges": f"{_G} SELECT {_EDGE} FROM evidence",
     "edge_dedup": f"{_G} SELECT {_EDGE} FROM edges",
     "independent_sources": f"{_G} SELECT id, {INDEPENDENT} AS independent_source FROM evidence",
