@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat_format, decontaminate, html_text, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, sql, toxicity
+from skein.llm import chat_format, content_dedup, decontaminate, fill_middle, html_text, mixing, ngram_join, pii, quality_model, quality_rules, secret_scan, sql, toxicity, turn_repair
 from skein.llm.common import table
 from skein.operators.work import saved
 
@@ -87,8 +87,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    chats = turn_repair.damaged(given)
+    plans = saved(turn_repair.plans(chats))
+    texts = turn_repair.digests(turn_repair.repaired(chats, plans)).withColumnRenamed("conv_id", "id")
+    every = given.select("conv_id").distinct()
+    found = every.join(plans.withColumnRenamed("conv_id", "conv"), F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(texts, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_jaccard_join, op2_quality_model, op3_toxicity, op4_decontaminate, op5_chat_format, op6_pii, op7_secret_scan, op8_html_text, op9_mixing, op10_quality_rules)
+    found = (op1_ngram_jaccard_join, op2_quality_model, op3_toxicity, op4_decontaminate, op5_chat_format, op6_pii, op7_secret_scan, op8_html_text, op9_mixing, op10_quality_rules, op11_turn_repair, op12_fill_middle, op13_content_dedup)
     return {f.__name__: f for f in found}
 
 

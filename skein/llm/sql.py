@@ -112,4 +112,54 @@ SELECT doc_id, d.size, CAST(t.size AS BIGINT) AS source_size, target, d.size * C
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
-SQL = {"op9_mixing": MIXING, "op7_secret_scan": SECRET_SCAN, "op1_ngram_jaccard_join": NGRAM_JOIN, "op4_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT_FORMAT, "op10_quality_rules": QUALITY_RULES}
+CONTENT_DEDUP = f"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, {_SOLID.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER g AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER g = 1 AS kept, sha256(t) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY t ORDER BY chars DESC, doc_id)
+"""
+
+_LINES = r"regexp_extract_all(t, '[^\n]*\n|[^\n]+')"
+FILL_MIDDLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+l AS (SELECT *, {_LINES} AS u, {", ".join(f"CAST('0x' || h[{8 * i + 1}:{8 * i + 8}] AS BIGINT) AS h{i + 1}" for i in range(4))} FROM d),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM l),
+p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+# CRC-32 by its definition, bit by bit; then the cheapest edits turn by turn, forward, each state with its least cost and audit.
+_CRC = "xor(list_reduce([CAST(ascii(x) AS BIGINT) FOR x IN string_split({0}, '')], lambda crc, b: list_reduce(range(8), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)), xor(crc, b)), 4294967295), 4294967295)"
+_NO = "{'c': 1000000000, 'a': ''}"
+_STATES = ("z", "s", "u", "a")
+_plus = lambda x, cost, edit: f"{{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}'}}"
+_least = lambda *xs: f"list_min([{', '.join(xs)}])"
+_into_u = lambda cost, edit: [_plus(x, cost, edit) for x in ("z", "s", "a")]
+_when = lambda test, x: f"CASE WHEN {test} THEN {x} ELSE {_NO} END"
+TURN_REPAIR = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS x FROM conversations),
+t AS (SELECT conv_id, turn, CASE x WHEN 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE x WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE x <> 0),
+n AS (SELECT *, row_number() OVER w AS i, {_SOLID.format("text")} AS solid, lag(role[1]) OVER w AS b FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(len(role) || ':' || role || text))),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM n),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, i, role[1] AS r, b, solid = '' AS blank, solid <> '' AND seen > 1 AS duplicate, solid <> '' AND seen = 1 AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated FROM o),
+p(conv_id, i, z, s, u, a) AS (
+  SELECT DISTINCT conv_id, 0, {{'c': 0, 'a': ''}}, {_NO}, {_plus("{'c': 0, 'a': ''}", 3, "I")}, {_plus("{'c': 0, 'a': ''}", 6, "II")} FROM f
+  UNION ALL
+  SELECT conv_id, i, z, s, {_least("u", *_into_u(3, "I"))}, {_least("a", _plus(_least("u", *_into_u(3, "I")), 3, "I"))} FROM (
+    SELECT p.conv_id, f.i, {_plus("z", 4, "D")} AS z, {_least(_plus("s", 4, "D"), _when("NOT gone AND r = 's'", _plus("z", "e", "K")))} AS s,
+      {_least(_plus("u", 4, "D"), *(_when("NOT gone AND r = 'u'", x) for x in _into_u("e", "K")), *(_when("NOT gone", x) for x in _into_u("(3 + e)", "R")))} AS u,
+      {_least(_plus("a", 4, "D"), _when("NOT gone AND r = 'a'", _plus("u", "e", "K")), _when("NOT gone", _plus("u", "(3 + e)", "R")))} AS a
+    FROM p JOIN (SELECT *, blank OR duplicate AS gone, CASE WHEN truncated THEN 3 ELSE 0 END AS e FROM f) f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1)),
+best AS (SELECT conv_id, {_least("z", "a")} AS best FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS last FROM p) WHERE last = 1),
+e AS (SELECT conv_id, unnest(string_split(best.a, '')) AS edit, unnest(range(1, len(best.a) + 1)) AS j, len(replace(best.a, 'D', '')) % 2 AS odd FROM best),
+q AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w - 1 AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+h AS (SELECT q.conv_id, sha256(string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN (place + odd) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h
+  FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i WHERE edit <> 'D' GROUP BY q.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (i > 1 AND b || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+SQL = {"op13_content_dedup": CONTENT_DEDUP, "op12_fill_middle": FILL_MIDDLE, "op11_turn_repair": TURN_REPAIR, "op9_mixing": MIXING, "op7_secret_scan": SECRET_SCAN, "op1_ngram_jaccard_join": NGRAM_JOIN, "op4_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT_FORMAT, "op10_quality_rules": QUALITY_RULES}
