@@ -42,9 +42,12 @@ def with_ids(evidence: DataFrame) -> DataFrame:
 
 
 def one_per_id(edges: DataFrame) -> DataFrame:
-    """The most confident row of each id. Edges of other sources with the same triple stay: they are its provenance."""
-    best = edges.groupBy("id").agg(F.max_by(F.struct(*EDGE[1:]), F.struct("confidence", "evidence_type", F.coalesce("qualifier", F.lit("")))).alias("b"))
-    return best.select("id", "b.*")
+    """The most confident row of each id. Edges of other sources with the same triple stay: they are its provenance.
+
+    The id tells the triple, so grouping by both is the same, and a filter on the triple reaches the scans below.
+    """
+    best = edges.groupBy("id", *TRIPLE).agg(F.max_by(F.struct(*EDGE[4:]), F.struct("confidence", "evidence_type", F.coalesce("qualifier", F.lit("")))).alias("b"))
+    return best.select("id", *TRIPLE, "b.*")
 
 
 def independent_source(source: Column, record: Column, qualifier: Column) -> Column:

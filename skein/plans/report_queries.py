@@ -102,7 +102,7 @@ def pair_reasons(spark, d):
 
 @query
 def node_cards(spark, d):
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     ends = graph.incidence(e)
     counted = ends.groupBy("node_id").agg(F.count("*").alias("n_edges"), F.count_distinct("other_id").alias("n_neighbours"), F.count_if(F.col("evidence_type") == "inferred").alias("n_inferred"), F.max("confidence").alias("best"))
     first = ends.groupBy("node_id").agg(F.min_by("id", F.struct((F.col("relation") == "has_phenotype").alias("late"), -F.col("confidence"), "id")).alias("first_edge"))

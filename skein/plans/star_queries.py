@@ -40,9 +40,10 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return trust.one_per_id(_evidence(spark, d))
 
 
-def nodes_and_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, written once for queries that read the edges more than once."""
-    return star.nodes(spark, d), saved(_edges(spark, d))
+def nodes_and_edges(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges. Queries that read all relations several times have them written once; of others each scan keeps its filter."""
+    e = _edges(spark, d)
+    return star.nodes(spark, d), saved(e) if whole else e
 
 
 @query
@@ -94,7 +95,7 @@ def contradicted_by(spark, d):
 
 @query
 def integrity_violations(spark, d):
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     return trust.violations(n.filter(~F.contains("label", F.lit("7"))), e)
 
 
@@ -247,7 +248,7 @@ def bfs_depth2(spark, d):
 
 def _map(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Nodes and edges, the nodes near N:3, those shown, and the edges drawn."""
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     near = saved(maps.neighbourhood(n, e, "N:3"))
     shown = near.filter("shown").select("id", "type")
     disputed = e.join(star.disputes(spark, d).select(*trust.TRIPLE).distinct(), list(trust.TRIPLE), "left_semi").select("id")
@@ -256,7 +257,7 @@ def _map(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
 
 @query
 def evidence_map(spark, d):
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     return maps.neighbourhood(n, e, "N:3").filter("shown").select("id", "type", "distance")
 
 
@@ -275,7 +276,7 @@ def map_legend(spark, d):
 
 @query
 def map_overview(spark, d):
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     return maps.overview(n, e)
 
 
@@ -384,7 +385,7 @@ def _asked(e: DataFrame) -> DataFrame:
 
 
 def _explained(spark: SparkSession, d: str) -> DataFrame:
-    n, e = nodes_and_edges(spark, d)
+    n, e = nodes_and_edges(spark, d, whole=True)
     disputed = e.join(star.disputes(spark, d).select(*trust.TRIPLE).distinct(), list(trust.TRIPLE), "left_semi").select("id")
     return explain.explanations(_asked(e), e, n, disputed)
 

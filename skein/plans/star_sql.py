@@ -38,6 +38,7 @@ raw AS (
   UNION ALL SELECT 'B:' || p_brand, 'participates_in', 'T:' || p_type, 'go', 'G-' || p_brand || '-' || p_type, 0.8e0, 'curated', CASE WHEN n * 5 >= total THEN 'ECO:0000314,ECO:0000501' ELSE 'ECO:0000501' END FROM per_type WHERE 6 * n >= total
   UNION ALL SELECT 'S:' || l_suppkey, 'investigates', 'N:' || c_nationkey, 'reporter', 'I-' || l_suppkey || '-' || c_nationkey, 0.75e0, 'observed', CAST(count(*) AS VARCHAR) FROM returned GROUP BY l_suppkey, c_nationkey
   UNION ALL SELECT 'R:' || n_regionkey, 'funds', 'S:' || s_suppkey, 'curated', 'F-' || n_regionkey || '-' || s_suppkey, 0.6e0, 'curated', ['page_read', 'url_resolves', 'cited'][n_regionkey % 3 + 1] FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT DISTINCT 'R:' || n_regionkey, 'funds', 'B:' || p_brand, 'curated', 'FB-' || n_regionkey || '-' || p_brand, 0.55e0, 'curated', 'cited' FROM ranked JOIN nation ON c_nationkey = n_nationkey WHERE r = 1
   UNION ALL SELECT DISTINCT 'C:' || c_mktsegment, 'represents', 'N:' || c_nationkey, 'curated', 'C-' || c_mktsegment || '-' || c_nationkey, 0.5e0, 'curated', 'unverified' FROM customer
   UNION ALL SELECT 'O:' || o_orderkey, 'studies_condition', 'N:' || c_nationkey, 'clinicaltrials', 'O-' || o_orderkey, 0.75e0, 'observed', CASE WHEN o_orderstatus = 'F' THEN 'alias' ELSE 'label' END FROM orders JOIN customer ON o_custkey = c_custkey),
 evidence AS (

@@ -68,12 +68,28 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     checked = F.element_at(F.array(F.lit("page_read"), F.lit("url_resolves"), F.lit("cited")), (F.col("n_regionkey") % 3 + 1).cast("int"))
     funded = _rows(homes, _id("R:", "n_regionkey"), "funds", _id("S:", "s_suppkey"), "curated", F.concat_ws("-", F.lit("F"), "n_regionkey", "s_suppkey"), F.lit(0.6), curated, checked)
+    region = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    leading = top.filter("r = 1").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey", "p_brand").distinct()
+    backed = _rows(leading, _id("R:", "n_regionkey"), "funds", _id("B:", "p_brand"), "curated", F.concat_ws("-", F.lit("FB"), "n_regionkey", "p_brand"), F.lit(0.55), curated, F.lit("cited"))
     customer = table(spark, sf_dir, "customer")
     groups = _rows(customer.select("c_mktsegment", "c_nationkey").distinct(), _id("C:", "c_mktsegment"), "represents", nation, "curated", F.concat_ws("-", F.lit("C"), "c_mktsegment", "c_nationkey"), F.lit(0.5), curated, F.lit("unverified"))
     orders = table(spark, sf_dir, "orders").join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     match = F.when(F.col("o_orderstatus") == "F", "alias").otherwise("label")
     trials = _rows(orders, _id("O:", "o_orderkey"), "studies_condition", nation, "clinicaltrials", _id("O-", "o_orderkey"), F.lit(0.75), observed, match)
-    return reduce(DataFrame.unionByName, [phenotypes, causes, takes_part, studied, funded, groups, trials])
+    return reduce(DataFrame.unionByName, [phenotypes, causes, takes_part, studied, funded, backed, groups, trials])
+
+
+def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and attributes, a map, of the studies: orders with a status, a size and a phase; partly filled ones are curated, urgent ones of these have a dose."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    status = F.when(F.col("o_orderstatus") == "O", "RECRUITING").when(F.col("o_orderstatus") == "P", "ACTIVE_NOT_RECRUITING").when(urgent, "TERMINATED").otherwise("COMPLETED")
+    pairs = {
+        "study_type": F.lit("INTERVENTIONAL"), "status": status, "phase": F.substring("o_orderpriority", 1, 1), "enrollment": F.floor("o_totalprice").cast("string"),
+        "why_stopped": F.when(status == "TERMINATED", F.concat(F.lit("customer "), "o_custkey")), "asset_slug": F.when(F.col("o_orderstatus") == "P", _id("order-", "o_orderkey")),
+        "curated_dose": F.when((F.col("o_orderstatus") == "P") & urgent, F.concat("o_custkey", F.lit(" mg"))), "curated_design": F.when(F.col("o_orderstatus") == "P", "open label"),
+    }
+    known = F.create_map(*[c for name, value in pairs.items() for c in (F.lit(name), value)])
+    return table(spark, sf_dir, "orders").select(_id("O:", "o_orderkey").alias("id"), F.map_filter(known, lambda _, v: v.isNotNull()).alias("attributes"))
 
 
 def disputes(spark: SparkSession, sf_dir: str) -> DataFrame:
