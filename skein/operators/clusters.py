@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.work import saved
+
 TOP, MOST_BRIDGES, MOST_COUNTEREXAMPLES, BRIDGE_FLOOR, LEAST_SHARED = 5, 6, 8, 0.05, 2
+MEMBERS = 50
 
 
 def features(profile: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -52,3 +55,25 @@ def counterexamples(profile: DataFrame, pairs: DataFrame, clusters: DataFrame, n
     scored = met.withColumns({"a": F.least("member", "other"), "b": F.greatest("member", "other")}).join(pairs.select("a", "b", "score"), ["a", "b"], "left").na.fill(0.0, ["score"])
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy("gene", F.desc("score"), "member", "other")))
     return ranked.filter(F.col("rank") <= MOST_COUNTEREXAMPLES).select("cluster", "rank", "gene", "member", "other", "other_cluster", "score")
+
+
+def details(nodes: DataFrame, profile: DataFrame, pairs: DataFrame, clusters: DataFrame, like: float) -> DataFrame:
+    """One row a cluster: its label, size, first members, shared features by kind, pairs inside, bridges and counterexamples.
+
+    Of members the first MEMBERS by id are listed and all are counted; the other lists are bounded by rank.
+    """
+    found = saved(features(profile, clusters))
+    first = lambda *what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", *what).alias("x")))), lambda r: r["x"]), ", ")
+    kinds = found.join(nodes.select(F.col("id").alias("feature"), "label"), "feature").groupBy("cluster", "kind").agg(first("label").alias("names"))
+    wide = kinds.groupBy("cluster").agg(*[F.max(F.when(F.col("kind") == k, F.col("names"))).alias(f"{k}s") for k in ("gene", "mechanism", "phenotype")])
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+    members = clusters.withColumn("rank", place).filter(F.col("rank") <= MEMBERS).groupBy("cluster").agg(first("id").alias("members"))
+    a, b = (clusters.select(F.col("id").alias(x), F.col("cluster").alias(y)) for x, y in (("a", "cluster"), ("b", "cb")))
+    within = pairs.filter(F.col("score") >= like).join(a, "a").join(b, "b").filter("cluster = cb").groupBy("cluster").agg(F.count("*").alias("n_within"))
+    over = bridges(pairs, clusters).groupBy("cluster").agg(first("member", "other", "other_cluster").alias("bridges"))
+    against = counterexamples(profile, pairs, clusters, nodes).groupBy("cluster").agg(first("gene", "member", "other", "other_cluster").alias("counterexamples"))
+    out = labels(found, clusters, nodes)
+    for part in (members, wide, within, over, against):
+        out = out.join(part, "cluster", "left")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("genes", "mechanisms", "phenotypes", "bridges", "counterexamples")]
+    return out.select("cluster", "label", "size", "members", F.coalesce("n_within", F.lit(0)).cast("long").alias("n_within"), *texts)

@@ -152,30 +152,6 @@ def cheapest_paths(routes: DataFrame, source: str, target: str, k: int = 3, hops
         limit = sorted(set(cut))[:k][-1]
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 20) -> DataFrame:
-    """Communities of weighted pairs (a, b, w: integer): (id, label).
-
-    Each id takes the label with the most weight among its neighbours, its own on ties, else the smallest; ids of odd
-    and even hashes move in turn, so that two can't swap labels for ever. It ends when none moves or after so many
-    rounds. Weights are integers, so sums don't depend on their order.
-    """
-    ends = saved(pairs.select("a", "b", "w").union(pairs.select("b", "a", "w")))
-    labels = saved(ends.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    still = 0
-    for turn in range(rounds):
-        votes = ends.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("w").alias("w"))
-        own = labels.withColumnRenamed("label", "own")
-        ranked = votes.join(own, "id").groupBy("id", "own").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label") != F.col("own"), "label")).alias("best"))
-        may = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(2)) == turn % 2
-        newer = saved(ranked.select("id", F.when(may, F.col("best")).otherwise(F.col("own")).alias("label")))
-        still = still + 1 if newer.join(own, "id").filter("label <> own").isEmpty() else 0
-        discard(labels)
-        labels = newer
-        if still == 2:
-            break
-    return labels
-
-
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are among nodes (id)."""
     ids = nodes.select("id")

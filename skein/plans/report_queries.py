@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.functions import fields
 from skein.functions.numeric import finite, round4
 from skein.functions.text import first_sentence, registry_name, squeezed
-from skein.operators import clusters, coverage, graph, search, similarity, trust
+from skein.operators import clusters, communities, coverage, graph, search, similarity, trust
 from skein.operators.components import components
 from skein.operators.work import saved
 from skein.plans.star_queries import WEIGHTS, Query, nodes_and_edges
@@ -76,6 +76,38 @@ def counterexamples(spark, d):
     return clusters.counterexamples(profile, pairs, _regions(spark, d), n)
 
 
+def like_pairs(pairs: DataFrame) -> DataFrame:
+    """Like pairs with integer weights, ten thousandths of their scores."""
+    return pairs.filter(F.col("score") >= LIKE).select("a", "b", F.round(F.col("score") * 10000).cast("long").alias("w"))
+
+
+def communities_of(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Nodes, profiles, pairs and clusters: communities of like pairs, each disease without a like in one of its own."""
+    n, e = nodes_and_edges(spark, d)
+    profile = saved(similarity.profiles(n, e))
+    pairs = saved(similarity.scored_pairs(profile, WEIGHTS))
+    found = communities.communities(like_pairs(pairs))
+    diseases = n.filter("type = 'disease'").select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return n, profile, pairs, saved(similarity.cluster_ids(diseases))
+
+
+@query
+def similarity_communities(spark, d):
+    return communities_of(spark, d)[3]
+
+
+@query
+def community_quality(spark, d):
+    _, _, pairs, found = communities_of(spark, d)
+    return communities.modularity(like_pairs(pairs), found.withColumnRenamed("cluster", "label")).withColumn("modularity", round4(F.col("modularity")))
+
+
+@query
+def community_details(spark, d):
+    n, profile, pairs, found = communities_of(spark, d)
+    return clusters.details(n, profile, pairs, found, LIKE)
+
+
 @query
 def similarity_degree(spark, d):
     pairs = _clustered(spark, d)[2].filter(F.col("score") >= LIKE)

@@ -220,11 +220,6 @@ def similarity_components(spark, d):
     return components(pair_scores(spark, d).filter("score >= 0.1").select("a", "b"))
 
 
-@query
-def similarity_communities(spark, d):
-    return graph.label_propagation(pair_scores(spark, d).filter("score >= 0.1").select("a", "b", F.round(F.col("score") * 10000).cast("long").alias("w")))
-
-
 @query
 def routing_graph(spark, d):
     n, e = nodes_and_edges(spark, d)
