@@ -176,7 +176,7 @@ def test_levenshtein_automaton_finds_what_edit_distance_finds():
 
 def test_context_tells_quotation_from_abuse():
     found = toxicity._Finder(toxicity.Lexicon({"moron": 2.0}))
-    windows = lambda text: [x[2:] for x in toxicity.hits(text, found)]
+    windows = lambda text: [(x.marked, x.addressed, x.reported) for x in toxicity.hits(text, found)]
     assert windows('He wrote "moron" in the book') == [(True, False, True)]
     assert windows("you utter moron go away") == [(False, True, False)]
     assert windows("don't be such a moron, you're useless and can't think") == [(False, True, False)]
@@ -203,28 +203,72 @@ def test_learning_does_not_depend_on_order_or_repeats(spark):
     assert quality_model.score_quality(twice, known, F.lit(True), most_passages=5).count() == twice.count()
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
 @pytest.mark.parametrize(("name", "label"), [("op2_quality_model", "quality"), ("op3_toxicity", "toxic")])
 def test_real_held_out_labels(spark, name, label):
-    data = "/root/testdata/sf0.01"
+    data = "/root/testdata/sf0.1"
     found = queries.queries()[name](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("held_out").collect()
     texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{data}/documents.parquet").collect()}
     right = sum(x["predicted"] == x[label] for x in found)
     assert right >= 0.95 * len(found) > 0
-    # Some labels of toxic texts are noise: nothing in them differs from clean ones.
-    sure = [x for x in found if x[label] == 1 and (label == "quality" or re.search("idiot|moron|clown|pathetic|loser", texts[x["doc_id"]].lower()))]
-    assert sum(x["predicted"] for x in sure) >= 0.9 * len(sure) > 0
+    # All that are labelled, whatever is in them; those that are missed are shown.
+    sure = [x for x in found if x[label] == 1]
+    missed = [(x["doc_id"], round(x["score"], 3), texts[x["doc_id"]][:80]) for x in sure if not x["predicted"]]
+    print(f"{name}: {len(sure) - len(missed)} of {len(sure)} held-out rows of label 1 found; missed: {missed}")
+    assert len(missed) <= 0.1 * len(sure) and sure
+
+
+PLAIN = "The meeting was on Monday and the report is due soon. We went home after it."
+ABUSE = {
+    "exact": "You are an idiot and a pathetic moron, you clown.",
+    "a letter more": "You are an idiott and a patthetic moronn, you cllown.",
+    "a letter less": "You are an idot and a pathtic moon, you clwn.",
+    "another letter": "You are an idoot and a pathetik morom, you klown.",
+    "a digit": "You are an idi0t and a pathet1c mor0n, you cl0wn.",
+    "mark my word": "Mark my word, you are an idiot and a pathetic moron, you clown.",
+    "scare quotes": 'You are an "idiot" and a "pathetic" "moron", you "clown".',
+}
+FAIR = {
+    "report": 'The review said "the idiot is a pathetic moron" and it was removed.',
+    "mention": 'The word "idiot" comes from Greek, as does the word "moron".',
+    "none": "Nothing was found there.",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_misspelt_abuse_is_toxic_and_quotation_is_not(spark):
+    data = "/root/testdata/sf0.01"
+    terms = ["idiot", "moron", "pathetic", "clown", "loser"]
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    bent = {f"{t} {k}": f"{PLAIN} You are a {x}, you {x}." for t in terms for k, x in (("twice", t[:2] + t[1:]), ("swap", t[:-1] + "q"), ("drop", t[:3] + t[4:]))}
+    probes = {k: f"{t} {PLAIN}" for k, t in (ABUSE | FAIR).items()} | bent
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(probes.values())], "doc_id long, text string")
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text").union(extra), labels, F.lit(True)).filter("doc_id >= 1000000000").collect()
+    score = {k: x["score"] for k, x in zip(probes, sorted(scored, key=lambda x: x["doc_id"]), strict=True)}
+    print({k: round(v, 3) for k, v in score.items()})
+    assert all(score[k] >= 0.5 for k in [*ABUSE, *bent])
+    assert all(score["none"] <= score[k] < 0.5 for k in FAIR)
+    assert score["mark my word"] == pytest.approx(score["exact"], abs=0.01) and score["scare quotes"] == pytest.approx(score["exact"], abs=0.01)
+
+
+def test_windows_quote():
+    found = toxicity._Finder(toxicity.Lexicon({"moron": 2.0}))
+    quoted = lambda text: [x.quoted for x in toxicity.hits(text, found)]
+    for text in ('He wrote "moron" in the book', 'the word "moron" is old', "«quel moron», a-t-on lu", "„du moron“, hieß es", "she said the old moron left"):
+        assert quoted(text) == [True], text
+    for text in ('you are a "moron" my friend', "mark my word you moron", "you utter moron", 'I said that you are a "moron"', 'a "moron" is a "moron"'):
+        assert not any(quoted(text)), text
 
 
 def test_every_term_of_a_run_is_found():
     found = toxicity._Finder(toxicity.Lexicon({"moron": 2.0, "idiot": 1.0}))
-    terms = lambda text: [x[0] for x in toxicity.hits(text, found)]
+    terms = lambda text: [x.term for x in toxicity.hits(text, found)]
     for sep in (",", "/", "_", "─"):
         assert terms(sep.join(["nice", "moron", "day", "iddiot", "moron"])) == ["moron", "idiot", "moron"]
         assert terms(sep.join(["nice", *["moron", "day"] * 300, "idiot"])) == ["moron"] * 300 + ["idiot"]
     assert terms("m.o.r.o.n") == ["moron"] and terms("İ,moron" + ",x" * 200) == ["moron"] and all(len(w) < 200 for w in found)
     run = "you,moron," + "day," * 200 + 'he,said,"moron",then,left,the,very,old,big,red,house,a,moron'
-    assert [x[2:] for x in toxicity.hits(run, found)] == [(False, True, False), (True, False, True), (False, False, False)]
+    assert [(x.marked, x.addressed, x.reported) for x in toxicity.hits(run, found)] == [(False, True, False), (True, False, True), (False, False, False)]
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
