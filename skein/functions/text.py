@@ -16,6 +16,8 @@ GREEK = {
 }
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 ROMAN_AFTER_TYPE = {"i": "1", "v": "5", "x": "10"}
+#: Dashes and other characters that part words.
+PARTING = r"[‐-―−­_/-]"
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -36,12 +38,13 @@ def clipped(text: Column, most: int) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Compatibility form and full case folding, which Spark has no function for; batches go through Arrow."""
+    """Compatibility form and full case folding, which Spark has no function for. Only texts that aren't ASCII go through Arrow; of others it is lower()."""
 
     def fold(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
-    return F.pandas_udf(fold, "string")(text)
+    is_ascii = F.length(text) == F.octet_length(text)
+    return F.coalesce(F.when(is_ascii, F.lower(text)), F.pandas_udf(fold, "string")(F.when(~is_ascii, text)))
 
 
 def tokens(t: Column) -> Column:
@@ -51,7 +54,7 @@ def tokens(t: Column) -> Column:
     for letter, name in GREEK.items():
         spelt = F.replace(spelt, F.lit(letter), F.lit(f" {name} "))
     t = F.when(F.regexp_like(t, F.lit("[α-ω]")), spelt).otherwise(t)
-    t = F.regexp_replace(F.regexp_replace(t, r"[‐-―−­_/-]", " "), "'", "")
+    t = F.regexp_replace(F.regexp_replace(t, PARTING, " "), "'", "")
     words = F.filter(F.split(F.regexp_replace(t, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: w != "")
     always, after = literal_map(ROMAN), literal_map(ROMAN_AFTER_TYPE)
     return F.transform(words, lambda w, i: F.coalesce(always[w], F.when(F.get(words, i - 1) == "type", after[w]), w))

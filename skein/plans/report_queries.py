@@ -223,15 +223,6 @@ def interleaved_hits(spark, d):
     return search.interleaved(lists, 60)
 
 
-@query
-def unmapped_conditions(spark, d):
-    # Types of parts that no brand takes part in, as conditions without a node.
-    _, e = nodes_and_edges(spark, d)
-    known = e.filter("relation = 'participates_in'").select(F.col("target_id").alias("id")).distinct()
-    parts = table(spark, d, "part").select(F.concat(F.lit("T:"), "p_type").alias("id"))
-    return parts.join(known, "id", "left_anti").groupBy("id").agg(F.count("*").alias("n"))
-
-
 @query
 def projects_per_target(spark, d):
     _, e = nodes_and_edges(spark, d)

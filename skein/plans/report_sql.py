@@ -55,7 +55,6 @@ SQL = {
     "search_semantic": f"WITH {_VECTORS} SELECT query_id, vec_id, floor(score * 0.8e0 * 10000 + 0.5) / 10000 AS score FROM r WHERE query_id % 40 <> 0 AND score >= 0.45",
     "interleaved_hits": """WITH l AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS no, o_orderkey AS item, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)
         SELECT item, row_number() OVER (ORDER BY r, no, item) AS place FROM l WHERE r <= 40 QUALIFY place <= 60""",
-    "unmapped_conditions": f"{_G} SELECT 'T:' || p_type AS id, count(*) AS n FROM part WHERE 'T:' || p_type NOT IN (SELECT target_id FROM edges WHERE relation = 'participates_in') GROUP BY 1",
     "projects_per_target": f"{_G} SELECT target_id, count(DISTINCT source_id) AS n_investigators, CAST(sum(CAST(qualifier AS BIGINT)) AS BIGINT) AS n_projects FROM edges WHERE relation = 'investigates' GROUP BY 1",
     "latest_order_per_customer_and_status": "SELECT o_custkey, o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "story_checks": f"""{_G}, w AS (SELECT unnest(['caused_by', 'participates_in', 'has_phenotype', 'investigates', 'funds', 'claims']) AS relation)
