@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import let, running
+
 #: Fixed values of the template, and the escapes, undone in reverse order. Each backslash of an escaped text begins an escape.
 OPEN, AFTER_ROLE, PART, CLOSE = "### ", ": ", "</part>", "</turn>\n"
 ESCAPES = (("\\", "\\s"), ("###", "\\h"), ("</turn>", "\\t"), ("</part>", "\\p"))
 ROLE_ESCAPES = (*ESCAPES, (":", "\\c"))
+CHUNK = 4096
 
 
 def escape(text: Column, escapes=ESCAPES) -> Column:
@@ -37,38 +40,35 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """
     turn = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chats = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    first = F.array().cast("array<struct<role:string,texts:array<string>>>")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        joined = F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(blocks, F.array(fresh)))
-
-    blocks = chats.select("conv_id", F.aggregate("turns", first, merge).alias("blocks"))
-    shown = F.transform(
-        "blocks",
-        lambda b: F.struct(
-            (b["role"] == "assistant").alias("learn"),
-            F.concat(F.lit(OPEN), escape(b["role"], ROLE_ESCAPES), F.lit(AFTER_ROLE)).alias("head"),
-            F.transform(b["texts"], lambda text: escape(text)).alias("parts"),
-        ),
-    )
-    pieces = blocks.select("conv_id", shown.alias("shown"))
-    whole = F.array_join(F.transform("shown", lambda b: F.concat(b["head"], F.array_join(b["parts"], PART), F.lit(CLOSE))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("mask"))
-
-    def walk_part(state: Column, part: Column) -> Column:
-        n = F.length(part).cast("long")
-        return F.struct((state["at"] + n + len(PART)).alias("at"), F.concat(state["mask"], F.array(F.struct(state["at"].alias("start"), n.alias("len")))).alias("mask"))
-
-    def walk(state: Column, block: Column) -> Column:
-        begun = F.struct((state["at"] + F.length(block["head"])).alias("at"), state["mask"].alias("mask"))
-        done = F.aggregate(block["parts"], begun, walk_part)
-        return F.struct((done["at"] + (len(CLOSE) - len(PART))).alias("at"), F.when(block["learn"], done["mask"]).otherwise(state["mask"]).alias("mask"))
-
-    return pieces.select("conv_id", whole.alias("formatted"), F.aggregate("shown", start, walk)["mask"].alias("loss_mask"))
+    # Where a role begins, by a look at the turn before; a block is the slice up to where the next one begins.
+    begins = F.array_compact(F.transform("turns", lambda t, i: F.when(F.get("turns", i - 1)["role"] == t["role"], F.lit(None)).otherwise(i)))
+
+    def block(begins: Column, at: Column, k: Column) -> Column:
+        own = F.slice("turns", at + 1, F.coalesce(F.get(begins, k + 1), F.size("turns")) - at)
+        role = F.get("turns", at)["role"]
+        return F.struct(
+            (role == "assistant").alias("learn"),
+            F.concat(F.lit(OPEN), escape(role, ROLE_ESCAPES), F.lit(AFTER_ROLE)).alias("head"),
+            F.transform(own, lambda t: escape(t["text"])).alias("parts"),
+        )
+
+    def part(b: Column, p: Column, i: Column) -> Column:
+        """A part's length, and what stands between its begin and the end of the part before."""
+        gap = F.when(i > 0, len(PART)).otherwise(F.length(b["head"]) + len(CLOSE))
+        return F.struct(F.length(p).cast("long").alias("len"), gap.cast("long").alias("gap"), b["learn"].alias("learn"))
+
+    def mask(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: p["len"] + p["gap"]), F.lit(0).cast("long"), lambda a, b: a + b)
+        spans = let(ends, lambda ends: F.transform(parts, lambda p, i: F.when(p["learn"], F.struct((F.get(ends, i) - p["len"] - len(CLOSE)).alias("start"), p["len"].alias("len")))))
+        return F.array_compact(spans)
+
+    def made(shown: Column) -> Column:
+        whole = F.array_join(F.transform(shown, lambda b: F.concat(b["head"], F.array_join(b["parts"], PART), F.lit(CLOSE))), "")
+        parts = F.flatten(F.transform(shown, lambda b: F.transform(b["parts"], lambda p, i: part(b, p, i))))
+        return F.struct(whole.alias("formatted"), let(parts, mask).alias("loss_mask"))
+
+    shown = let(begins, lambda own: F.transform(own, lambda at, k: block(own, at, k)))
+    return chats.select("conv_id", F.inline(F.array(let(shown, made))))
 
 
 def read_chats(formatted: Column) -> Column:
@@ -84,5 +84,17 @@ def read_chats(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["len"].cast("int")))), "")
+    """All text under the loss mask, unescaped, in order, with nothing between.
+
+    A span is looked for in the pieces of CHUNK code points that it lies in: from the text's begin each span would cost as much as all before it.
+    """
+
+    def spans(chunks: Column) -> Column:
+        def one(m: Column) -> Column:
+            inner = m["start"] % CHUNK
+            first, n = (m["start"] / CHUNK).cast("int") + 1, ((inner + m["len"]) / CHUNK).cast("int") + 1
+            return unescape(F.substring(F.array_join(F.slice(chunks, first, n), ""), (inner + 1).cast("int"), m["len"].cast("int")))
+
+        return F.array_join(F.transform(mask, one), "")
+
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), spans)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -36,6 +37,19 @@ def test_chats_are_read_back_exactly(spark):
     assert len(found) == len({x[0] for x in rows}) and chat_format.format_chats(spark.createDataFrame([], TURNS)).count() == 0
 
 
+def test_long_conversations_take_linear_time(spark):
+    def timed(n):
+        turn = [F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é said ###"), F.col("id")).alias("text")]
+        f = chat_format.format_chats(spark.range(n).select(*turn))
+        began = time.perf_counter()
+        found = f.select(F.size(chat_format.read_chats(F.col("formatted"))).alias("n"), chat_format.masked_text(F.col("formatted"), F.col("loss_mask")).alias("learnt")).head()
+        assert found["n"] == n and found["learnt"] == "".join(f"é said ###{i}" for i in range(n) if i % 3)
+        return time.perf_counter() - began
+
+    timed(1000)
+    assert timed(100_000) < 2.5 * timed(50_000) + 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu, one.</a></li></ul></nav><!-- x <p>no</p> --><div class="ad">Buy, now.</div>
 <article><h1>Head &amp; more</h1><p><b>First  line,</b>
