@@ -13,7 +13,7 @@ from skein.functions.text import first_sentence, registry_name, squeezed
 from skein.operators import clusters, communities, coverage, graph, search, similarity, trust
 from skein.operators.components import components
 from skein.operators.work import saved
-from skein.plans.star_queries import WEIGHTS, Query, nodes_and_edges
+from skein.plans.star_queries import WEIGHTS, Query, nodes_and_edges, profiles_of
 from skein.sources import star
 from skein.sources.star import table
 from skein.streaming import windows
@@ -34,8 +34,7 @@ def queries() -> dict[str, Query]:
 
 def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Nodes, profiles, pairs and clusters: components of like pairs, each disease without a like in one of its own."""
-    n, e = nodes_and_edges(spark, d)
-    profile = saved(similarity.profiles(n, e))
+    n, profile = star.nodes(spark, d), profiles_of(spark, d)
     pairs = saved(similarity.scored_pairs(profile, WEIGHTS))
     found = components(pairs.filter(F.col("score") >= LIKE).select("a", "b"))
     diseases = n.filter("type = 'disease'").select("id").join(found, "id", "left").select("id", F.coalesce("comp", "id").alias("label"))
@@ -54,15 +53,13 @@ def cluster_ids(spark, d):
 
 @query
 def cluster_features(spark, d):
-    n, e = nodes_and_edges(spark, d)
-    return clusters.features(saved(similarity.profiles(n, e)), _regions(spark, d))
+    return clusters.features(profiles_of(spark, d), _regions(spark, d))
 
 
 @query
 def cluster_labels(spark, d):
-    n, e = nodes_and_edges(spark, d)
     own = _regions(spark, d)
-    return clusters.labels(clusters.features(saved(similarity.profiles(n, e)), own), own, n)
+    return clusters.labels(clusters.features(profiles_of(spark, d), own), own, star.nodes(spark, d))
 
 
 @query
@@ -83,8 +80,7 @@ def like_pairs(pairs: DataFrame) -> DataFrame:
 
 def communities_of(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
     """Nodes, profiles, pairs and clusters: communities of like pairs, each disease without a like in one of its own."""
-    n, e = nodes_and_edges(spark, d)
-    profile = saved(similarity.profiles(n, e))
+    n, profile = star.nodes(spark, d), profiles_of(spark, d)
     pairs = saved(similarity.scored_pairs(profile, WEIGHTS))
     found = communities.communities(like_pairs(pairs))
     diseases = n.filter("type = 'disease'").select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
@@ -116,8 +112,7 @@ def similarity_degree(spark, d):
 
 @query
 def mechanism_frequency(spark, d):
-    n, e = nodes_and_edges(spark, d)
-    return similarity.profiles(n, e).filter("kind = 'mechanism'").groupBy(F.col("feature").alias("mechanism")).agg(F.count("*").alias("n"))
+    return similarity.profiles(star.nodes(spark, d), star.evidence(spark, d)).filter("kind = 'mechanism'").groupBy(F.col("feature").alias("mechanism")).agg(F.count("*").alias("n"))
 
 
 @query

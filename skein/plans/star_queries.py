@@ -157,7 +157,7 @@ def ontology_closure(spark, d):
 
 @query
 def information_content(spark, d):
-    notes = _edges(spark, d).filter("relation = 'has_phenotype'").select(F.col("source_id").alias("thing"), F.col("target_id").alias("term"))
+    notes = star.evidence(spark, d).filter("relation = 'has_phenotype'").select(F.col("source_id").alias("thing"), F.col("target_id").alias("term")).distinct()
     return graph.information_content(notes, graph.closure(_parents(spark, d))).withColumn("ic", round4(F.col("ic")))
 
 
@@ -165,8 +165,8 @@ WEIGHTS = {"phenotype": PHENOTYPE_WEIGHT, "gene": GENE_WEIGHT, "mechanism": MECH
 
 
 def profiles_of(spark: SparkSession, d: str) -> DataFrame:
-    n, e = nodes_and_edges(spark, d)
-    return saved(similarity.profiles(n, e))
+    # Profiles are sets, so rows of evidence serve as well as merged edges.
+    return saved(similarity.profiles(star.nodes(spark, d), star.evidence(spark, d)))
 
 
 @query
@@ -238,7 +238,7 @@ def k_paths(spark, d):
 
 @query
 def bfs_depth2(spark, d):
-    return graph.reach(_edges(spark, d), spark.createDataFrame([("N:3",)], "start_id string"), 2)
+    return graph.reach(star.evidence(spark, d), spark.createDataFrame([("N:3",)], "start_id string"), 2)
 
 
 def _map(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
