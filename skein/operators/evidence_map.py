@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.graph import incidence, induced, reach
+from skein.operators.work import saved
 
 #: Types in an overview.
 OVERVIEW = ("disease", "gene", "mechanism", "patient_group", "asset", "publication", "variant")
@@ -26,6 +27,57 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, center: str, hidden: tuple
     return near.join(first.select("id", F.lit(True).alias("shown")), "id", "left").select("id", "type", "label", "distance", F.coalesce("shown", F.lit(False)).alias("shown"))
 
 
+#: Types in the order in which they are drawn, and how many of the bulky ones are.
+TYPE_ORDER = ("disease", "gene", "variant", "mechanism", "patient_group", "funder", "asset", "study", "publication", "investigator", "phenotype")
+TYPE_CAPS, TYPE_CAP, MOST_NODES = {"investigator": 12, "study": 24}, 30, 150
+COLLAPSED = ("phenotype",)
+
+
+def focus(nodes: DataFrame, edges: DataFrame, centers: DataFrame, depth: int = 2, types: tuple[str, ...] | None = None, relations: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """What is at most depth edges away from each of centers (center): (center, id, type, distance, best, hidden).
+
+    Only edges of the relations and from the confidence on are walked. best is the highest confidence of the edges by which a node
+    was found first, 1 for the center. Types that aren't asked for (none: the collapsed ones) are reached and kept as hidden, with
+    the distance at which they were first met, but not walked through. A level is one join and one aggregate for all centers.
+    """
+    walked = edges.filter(F.col("confidence") >= least)
+    if relations is not None:
+        walked = walked.filter(F.col("relation").isin(*relations))
+    kinds = nodes.select("id", "type")
+    visible = F.col("type").isin(*types) if types is not None else ~F.col("type").isin(*COLLAPSED)
+    ends = saved(incidence(walked).groupBy("node_id", "other_id").agg(F.max("confidence").alias("c")).join(kinds.withColumnRenamed("id", "other_id"), "other_id").withColumn("hidden", ~visible))
+    seen = saved(centers.select("center", F.col("center").alias("id")).distinct().join(kinds, "id").select("center", "id", "type", F.lit(0).alias("distance"), F.lit(1.0).alias("best"), F.lit(False).alias("hidden")))
+    front = seen
+    for level in range(1, depth + 1):
+        open_ = front.filter("not hidden").select("center", F.col("id").alias("node_id"))
+        found = open_.join(ends, "node_id").groupBy("center", F.col("other_id").alias("id"), "type", "hidden").agg(F.max("c").alias("best"))
+        front = saved(found.join(seen.select("center", "id"), ["center", "id"], "left_anti").select("center", "id", "type", F.lit(level).alias("distance"), "best", "hidden"))
+        seen = seen.union(front)
+    return seen
+
+
+def ranked(found: DataFrame, nodes: DataFrame, weights: DataFrame, caps: dict[str, int] | None = None, most: int = MOST_NODES) -> DataFrame:
+    """The rows of focus() with place: the nodes drawn around each center, from 1, and null for those left out.
+
+    In the order of distance, type, best confidence, weight (weights: id, ic; none counts as 0), label and id, at most a cap of a type and `most` in all.
+    The center isn't among them.
+    """
+    caps = TYPE_CAPS if caps is None else caps
+    type_rank = F.array_position(F.array(*map(F.lit, TYPE_ORDER)), F.col("type"))
+    named = found.join(nodes.select("id", "label"), "id").join(weights.select("id", "ic"), "id", "left").withColumn("ic", F.coalesce("ic", F.lit(0.0)))
+    order = ("distance", type_rank, F.desc("best"), F.desc("ic"), F.lower("label"), "id")
+    can = named.filter("not hidden and distance > 0")
+    cap = F.coalesce(*[F.when(F.col("type") == t, F.lit(n)) for t, n in caps.items()], F.lit(TYPE_CAP))
+    first = can.withColumn("n", F.row_number().over(Window.partitionBy("center", "type").orderBy(*order))).filter(F.col("n") <= cap)
+    drawn = first.withColumn("place", F.row_number().over(Window.partitionBy("center").orderBy(*order))).filter(F.col("place") <= most)
+    return found.join(drawn.select("center", "id", "place"), ["center", "id"], "left")
+
+
+def left_out(placed: DataFrame) -> DataFrame:
+    """(center, type, n): by type what was reached and isn't drawn, because its type is hidden or a cap was reached."""
+    return placed.filter("distance > 0 and place is null").groupBy("center", "type").agg(F.count("*").alias("n"))
+
+
 def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, type, shown) of all nodes: the types of OVERVIEW, and funders that are linked to one of them."""
     base = nodes.filter(F.col("type").isin(*OVERVIEW)).select(F.col("id").alias("other_id"))

@@ -1,4 +1,4 @@
-"""The catalogue, third part: the typed walk from all diseases, its partners, assets and hypotheses."""
+"""The catalogue, third part: the typed walk from all diseases, its partners, assets and hypotheses; maps around all; annotations by closure."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import coverage, walk
+from skein.operators import annotations, coverage, evidence_map as maps, graph, walk
 from skein.operators.work import saved
-from skein.plans.star_queries import Query, nodes_and_edges
+from skein.plans.star_queries import Query, _parents, information_content, nodes_and_edges
 from skein.sources import star
+from skein.sources.star import table
 
 _FOUND: dict[str, Query] = {}
 
@@ -65,3 +66,43 @@ def action_bundle(spark, d):
     n, e = nodes_and_edges(spark, d)
     gaps = coverage.coverage(n, e, "disease", {"phenotypes": "has_phenotype", "causes": "caused_by", "studies": "investigates"})
     return walk.bundle(n, e, _starts(n), star.attributes(spark, d), gaps.select(F.col("id").alias("start_id"), "missing"))
+
+
+def _focus(spark: SparkSession, d: str) -> DataFrame:
+    """What is around each disease, placed; weights are the information content of brands and types."""
+    n, e = nodes_and_edges(spark, d)
+    weights = information_content(spark, d).select(F.col("term").alias("id"), "ic")
+    found = maps.focus(n, e, _starts(n).withColumnRenamed("start_id", "center"), least=0.55)
+    return maps.ranked(saved(found), n, weights)
+
+
+@query
+def focus_map(spark, d):
+    return _focus(spark, d).filter("place is not null").select("center", "place", "id", "type", "distance", "best")
+
+
+@query
+def focus_left_out(spark, d):
+    return maps.left_out(_focus(spark, d))
+
+
+WANTED = ["T:LARGE", "T:SMALL", "B:Brand#1", "B:Brand#12", "none"]
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as annotations of suppliers with parts, below brands and types."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    code = F.when(F.col("l_returnflag") == "R", "ECO:0000314").when(F.col("l_returnflag") == "A", "ECO:0000501")
+    rows = line.select(F.concat(F.lit("S:"), "l_suppkey").alias("thing"), F.concat(F.lit("P:"), "l_partkey").alias("term"), F.array_compact(F.array(code)).alias("codes"), F.array(F.concat(F.lit("PMID:"), "l_orderkey")).alias("publications"))
+    closure = annotations.closures(graph.closure(_parents(spark, d)))
+    return annotations.matched(rows.join(closure, "term", "left"), WANTED)
+
+
+@query
+def closure_scan(spark, d):
+    return _annotated(spark, d).groupBy("term").agg(F.count("*").alias("n"), F.first(F.array_join("matched", ",")).alias("matched"))
+
+
+@query
+def annotation_groups(spark, d):
+    return annotations.grouped(_annotated(spark, d))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from skein.operators.walk import BY_GENE, BY_MECHANISM, LINKED, OTHER_ASSET, OWN_ASSET, OWN_FACTS, STUDY_OF, TRANSFER, TRY_GENE, TRY_STUDY, VERBS
-from skein.plans.star_sql import _G, ENDS
+from skein.plans.star_sql import SQL as _STAR, _G, ENDS
 
 
 def _said(template: str, *values: str) -> str:
@@ -76,8 +76,27 @@ study AS (SELECT start_id, {_said(TRY_STUDY, "start", "via", "name", "start")} A
   QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY status NOT IN ('RECRUITING', 'ACTIVE_NOT_RECRUITING'), NOT curated, size DESC, tier, rank) = 1),
 steps AS (SELECT coalesce(s.start_id, g.start_id) AS start_id, coalesce(s.text, g.text) AS text, coalesce(s.edge_ids, g.edge_ids) AS edge_ids FROM study s FULL JOIN gene g ON s.start_id = g.start_id)"""
 
+#: The tables of the query of information content, and then its own rows.
+_IC_TABLES, _, _IC_ROWS = _STAR["information_content"].removeprefix(_G).lstrip(", \n").rpartition("SELECT term, n,")
+_FOCUS = f"""{_IC_TABLES}, ic0 AS (SELECT term, n, {_IC_ROWS}),
+hop AS MATERIALIZED (SELECT node_id, other_id, n.type, max(confidence) AS c FROM ends e JOIN nodes n ON other_id = n.id WHERE confidence >= 0.55e0 GROUP BY ALL),
+f1 AS MATERIALIZED (SELECT d.id AS center, other_id AS id, h.type, max(c) AS best FROM nodes d JOIN hop h ON d.id = node_id WHERE d.type = 'disease' AND other_id <> d.id GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT center, other_id AS id, h.type, max(c) AS best FROM f1 JOIN hop h ON f1.id = node_id WHERE f1.type <> 'phenotype' AND other_id <> center AND NOT EXISTS (SELECT 1 FROM f1 o WHERE o.center = f1.center AND o.id = other_id) GROUP BY ALL),
+reach2 AS (SELECT *, 1 AS distance FROM f1 UNION ALL SELECT *, 2 FROM f2),
+can AS (SELECT r.*, list_position(['disease', 'gene', 'variant', 'mechanism', 'patient_group', 'funder', 'asset', 'study', 'publication', 'investigator', 'phenotype'], r.type) AS t, coalesce(ic, 0e0) AS w, lower(label) AS l FROM reach2 r JOIN nodes n ON r.id = n.id LEFT JOIN ic0 ON ic0.term = r.id WHERE r.type <> 'phenotype'),
+cut AS (SELECT * FROM can QUALIFY row_number() OVER (PARTITION BY center, type ORDER BY distance, t, best DESC, w DESC, l, id) <= CASE type WHEN 'investigator' THEN 12 WHEN 'study' THEN 24 ELSE 30 END),
+drawn2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY center ORDER BY distance, t, best DESC, w DESC, l, id) AS place FROM cut QUALIFY place <= 150)"""
+_ANNOTATED = """a AS MATERIALIZED (SELECT 'S:' || l_suppkey AS thing, 'P:' || l_partkey AS term, CASE l_returnflag WHEN 'R' THEN 'ECO:0000314' WHEN 'A' THEN 'ECO:0000501' END AS code, 'PMID:' || l_orderkey AS pub,
+  list_sort(list_filter(['B:' || p_brand] || tt, lambda x: x IN ('T:LARGE', 'T:SMALL', 'B:Brand#1', 'B:Brand#12', 'none'))) AS matched FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT p_brand AS b, list(DISTINCT 'T:' || p_type) AS tt FROM part GROUP BY 1) ON b = p_brand),
+m AS MATERIALIZED (SELECT * FROM a WHERE len(matched) > 0), e AS MATERIALIZED (SELECT thing, unnest(matched) AS target, term, code, pub FROM m)"""
+_TOP = "array_to_string(list_sort(list(DISTINCT {0}))[:8], ',')"
 _GAPS = ", ".join(f"CASE WHEN NOT EXISTS (SELECT 1 FROM ends WHERE node_id = d.id AND relation = '{r}') THEN '{name}' END" for name, r in (("phenotypes", "has_phenotype"), ("causes", "caused_by"), ("studies", "investigates")))
 SQL = {
+    "focus_map": f"{_G}, {ENDS}, {_FOCUS} SELECT center, place, id, type, distance, best FROM drawn2",
+    "focus_left_out": f"{_G}, {ENDS}, {_FOCUS} SELECT center, type, count(*) AS n FROM reach2 r WHERE NOT EXISTS (SELECT 1 FROM drawn2 x WHERE x.center = r.center AND x.id = r.id) GROUP BY 1, 2",
+    "closure_scan": f"WITH {_ANNOTATED} SELECT term, count(*) AS n, any_value(array_to_string(matched, ',')) AS matched FROM m GROUP BY term",
+    "annotation_groups": f"""WITH {_ANNOTATED} SELECT thing, target, count(*) AS annotation_count, coalesce(array_to_string(list_sort(list(DISTINCT code) FILTER (code IS NOT NULL)), ','), '') AS evidence_codes, {_TOP.format("term")} AS annotated_terms,
+        {_TOP.format("pub")} AS publications, CASE WHEN count(*) FILTER (code = 'ECO:0000314') > 0 THEN 0.9e0 ELSE 0.7e0 END AS confidence FROM e GROUP BY 1, 2""",
     "typed_walk": f"{_G}, {ENDS}, {walk_sql(4, False)} SELECT start_id, id, type, CAST(len(path) AS INT) AS n_edges, array_to_string({_IDS.format('path')}, ',') AS edge_ids FROM reached",
     "action_bundle": f"""{_G}, {ENDS}, {_PARTNERS}, r AS ({_RANKED}), {_assets('whole')}, {_STEPS},
         w AS (SELECT start_id, count(*) AS n_partners, arg_min(partner, rank) AS first_partner FROM r GROUP BY 1), a AS (SELECT start_id, count(*) AS n_assets, arg_min(asset, rank) AS first_asset, max(tier) AS last_tier FROM told GROUP BY 1)
