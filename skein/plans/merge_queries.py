@@ -7,7 +7,8 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import canonical, conditions
+from skein.operators import canonical, conditions, resolver
+from skein.operators.work import saved
 from skein.plans.star_queries import Query
 from skein.sources import star
 from skein.sources.star import table
@@ -119,3 +120,33 @@ def condition_edges(spark, d):
 def kept_studies(spark, d):
     studies, found = _mapped(spark, d)
     return conditions.kept_studies(studies, found).select("study_id", F.array_join("queries", ",").alias("queries"))
+
+
+def _questions(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Mentions of all kinds, the nodes they could mean, and the vectors of some: a node has two vectors, and every second asked one is turned round."""
+    none, nothing = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    v = table(spark, d, "embeddings")
+    at = F.concat(F.lit("V:"), F.floor(F.col("vec_id") / 2))
+    held = v.select(at.alias("id")).distinct().select("id", F.lit("vector"), F.concat(F.lit("Held "), "id"), none, none, nothing)
+    nodes = full_nodes(spark, d).filter("type <> 'study'").union(held).select("id", "label", "synonyms", "xrefs")
+    part, nation = table(spark, d, "part"), table(spark, d, "nation")
+    asked = v.filter("vec_id % 20 = 0").select(F.concat(F.lit("Unknown-"), "vec_id").alias("mention"), F.when(F.col("vec_id") % 40 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding"))
+    mentions = [nation.select(F.lower("n_name")), nation.select(F.concat(F.lit("orpha:"), "n_nationkey")), nation.select(F.concat(F.lit("Land "), "n_nationkey")), part.select("p_name"), part.select("p_brand"), part.select(F.concat(F.lit("the "), "p_type", F.lit(" "), F.element_at(F.split("p_name", " "), -1))), asked.select("mention")]
+    every = mentions[0].toDF("mention")
+    for more in mentions[1:]:
+        every = every.union(more)
+    return every.distinct(), nodes, asked, v.select(at.alias("id"), "embedding")
+
+
+@query
+def resolve_stages(spark, d):
+    return resolver.resolve(*_questions(spark, d)).select("mention", "node_id", "method", "score", F.array_join("candidates", ",").alias("candidates"), "key")
+
+
+@query
+def resolve_decided(spark, d):
+    # Half of what was asked is answered by its last candidate, and asked again.
+    given = _questions(spark, d)
+    open_ = resolver.resolve(*given).filter("key <> '' and substring(key, 1, 1) < '8'")
+    found = resolver.resolve(*given, decisions=saved(open_.select("key", F.try_element_at("candidates", F.lit(-1)).alias("node_id"))))
+    return found.groupBy("method").agg(F.count("*").alias("n"), F.count("node_id").alias("n_nodes"), F.min("mention").alias("first"), F.min("node_id").alias("first_node"))

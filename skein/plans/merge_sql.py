@@ -46,7 +46,33 @@ studies AS (SELECT 'O:' || o_orderkey AS study_id, list_filter([CASE o_orderstat
 each AS (SELECT study_id, status, unnest(conditions) AS condition FROM studies),
 mapped AS MATERIALIZED (SELECT study_id, status, condition, node_id, kind, rank FROM each LEFT JOIN ix ON ix.name = {_NAME.format("condition")})"""
 
+_C = lambda x: f"CASE WHEN len({_KEY.format(x)}) > 0 THEN {_KEY.format(x)} ELSE {_WORDS.format(x)} END"
+RESOLVED = f"""{FULL},
+rn AS (SELECT id, label, synonyms, xrefs FROM full_nodes WHERE type <> 'study' UNION ALL SELECT DISTINCT 'V:' || vec_id // 2, 'Held V:' || vec_id // 2, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM embeddings),
+rt AS (SELECT id, pos, {_PLAIN.replace("label", "text")} AS p FROM (SELECT id, unnest([label] || synonyms) AS text, unnest(range(1 + len(synonyms))) AS pos FROM rn)),
+rk AS MATERIALIZED (SELECT DISTINCT 0 AS stage, p AS k, id FROM rt WHERE pos = 0 AND p <> '' UNION SELECT 1, upper(x), id FROM (SELECT id, unnest([id] || xrefs) AS x FROM rn) UNION SELECT 2, array_to_string({_C("p")}, ' '), id FROM rt WHERE p <> ''),
+rm AS MATERIALIZED (SELECT DISTINCT mention, {_PLAIN.replace("label", "mention")} AS p FROM (SELECT lower(n_name) AS mention FROM nation UNION SELECT 'orpha:' || n_nationkey FROM nation UNION SELECT 'Land ' || n_nationkey FROM nation UNION SELECT p_name FROM part UNION SELECT p_brand FROM part
+  UNION SELECT 'the ' || p_type || ' ' || string_split(p_name, ' ')[-1] FROM part UNION SELECT 'Unknown-' || vec_id FROM embeddings WHERE vec_id % 20 = 0)),
+ra AS (SELECT mention, 0 AS stage, p AS k FROM rm UNION ALL SELECT mention, 1, CASE WHEN regexp_matches(mention, '^[A-Za-z][A-Za-z0-9_.]*:') THEN upper(mention) ELSE '' END FROM rm UNION ALL SELECT mention, 2, array_to_string({_C("p")}, ' ') FROM rm),
+rh AS MATERIALIZED (SELECT ra.mention, ra.stage, ra.k, count(*) AS n, min(id) AS sole FROM ra JOIN rk ON ra.stage = rk.stage AND ra.k = rk.k GROUP BY ra.mention, ra.stage, ra.k QUALIFY row_number() OVER (PARTITION BY ra.mention ORDER BY ra.stage) = 1),
+rleft AS (SELECT * FROM rm WHERE mention NOT IN (SELECT mention FROM rh)),
+rq AS (SELECT 'Unknown-' || vec_id AS mention, CAST(CASE WHEN vec_id % 40 = 0 THEN list_reverse(embedding) ELSE embedding END AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0),
+rv AS MATERIALIZED (SELECT mention, 'V:' || vec_id // 2 AS id, max(floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) * 10000 + 0.5)) / 10000 AS score FROM rq JOIN embeddings ON true WHERE mention IN (SELECT mention FROM rleft) GROUP BY ALL),
+rbest AS (SELECT mention, arg_min(id, {{'s': -score, 'i': id}}) AS id, max(score) AS best, list_sort(list(score), 'DESC')[2] AS next FROM rv GROUP BY mention),
+rtaken AS (SELECT * FROM rbest WHERE best >= 0.85 AND round(best - coalesce(next, 0), 4) >= 0.05),
+rwords AS (SELECT mention, id, max(j) AS score FROM (SELECT l.mention, t.id, len(list_intersect({_C("l.p")}, {_C("t.p")})) / len(list_distinct({_C("l.p")} || {_C("t.p")})) AS j FROM rleft l JOIN rt t ON list_has_any({_C("l.p")}, {_C("t.p")}) WHERE l.mention NOT IN (SELECT mention FROM rv)) WHERE j >= 0.34 GROUP BY ALL),
+rall AS (SELECT h.mention, rk.id, [1e0, 1e0, 0.95e0][h.stage + 1] AS score FROM rh h JOIN rk ON h.stage = rk.stage AND h.k = rk.k WHERE n > 1
+  UNION ALL SELECT v.* FROM rv v JOIN rbest b USING (mention) WHERE b.best >= 0.45 AND v.mention NOT IN (SELECT mention FROM rtaken) UNION ALL SELECT * FROM rwords),
+rlist AS (SELECT mention, list(id ORDER BY score DESC, id) AS ids, list(score ORDER BY score DESC, id) AS scores FROM (SELECT * FROM rall QUALIFY row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) <= 5) GROUP BY mention),
+rkey AS (SELECT *, sha256('{{"mention":"' || mention || '","candidates":["' || array_to_string(list_sort(ids), '","') || '"]}}') AS key FROM rlist),
+resolved AS MATERIALIZED (SELECT mention, sole AS node_id, ['exact', 'xref', 'synonym'][stage + 1] AS method, [1e0, 1e0, 0.95e0][stage + 1] AS score, CAST([] AS VARCHAR[]) AS ids, '' AS key FROM rh WHERE n = 1
+  UNION ALL SELECT mention, id, 'embedding', best, [], '' FROM rtaken UNION ALL SELECT mention, NULL, 'none', 0e0, ids, key FROM rkey
+  UNION ALL SELECT mention, NULL, 'none', 0e0, [], '' FROM rleft WHERE mention NOT IN (SELECT mention FROM rtaken) AND mention NOT IN (SELECT mention FROM rkey))"""
+
 SQL = {
+    "resolve_stages": f"{_G}, {RESOLVED} SELECT mention, node_id, method, score, array_to_string(ids, ',') AS candidates, key FROM resolved",
+    "resolve_decided": f"""{_G}, {RESOLVED}, d AS (SELECT mention, CASE WHEN key <> '' AND key[1] < '8' THEN ids[-1] ELSE node_id END AS node_id, CASE WHEN key <> '' AND key[1] < '8' THEN 'llm' ELSE method END AS method FROM resolved)
+        SELECT method, count(*) AS n, count(node_id) AS n_nodes, min(mention) AS first, min(node_id) AS first_node FROM d GROUP BY 1""",
     "canonical_nodes": f"""{_G}, {TEXTS},
         t AS (SELECT head, array_to_string(list(text ORDER BY place) FILTER (kind = 'synonym' AND place <= 50), '|') AS synonyms, count(*) FILTER (kind = 'synonym') AS n_synonyms, array_to_string(list(text ORDER BY place) FILTER (kind = 'xref' AND place <= 50), '|') AS xrefs, count(*) FILTER (kind = 'xref') AS n_xrefs FROM placed GROUP BY head),
         v AS (SELECT head, rank, id, unnest(map_entries(attributes)) AS e FROM own), x AS (SELECT head, e.key AS key, arg_min(e.value, {{'r': rank, 'i': id}}) AS value FROM v GROUP BY ALL), a AS (SELECT head, string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) AS attributes FROM x GROUP BY head),
