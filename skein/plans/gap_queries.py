@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators import gaps
 from skein.operators.work import saved
 from skein.plans.star_queries import Query, nodes_and_edges
+from skein.sources import star
 from skein.sources.star import table
 
 _FOUND: dict[str, Query] = {}
@@ -70,8 +71,9 @@ def gap_sources(spark, d):
 
 @query
 def gap_instead_of_paths(spark, d):
-    # Investigators and the disease of their own nation: the report where no path of one edge leads there.
+    # Diseases and the parts of their accepted lines: the report where no edge leads from one to the other.
     _, e, reported = _reported(spark, d)
-    pairs = table(spark, d, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("from_id"), F.concat(F.lit("N:"), "s_nationkey").alias("to_id"))
+    accepted = star.lines(spark, d).filter("l_returnflag = 'A'")
+    pairs = accepted.select(F.concat(F.lit("N:"), "c_nationkey").alias("from_id"), F.concat(F.lit("P:"), "l_partkey").alias("to_id")).distinct()
     found = gaps.instead(pairs, e.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id")), reported)
     return found.select("from_id", "to_id", "id", "result", F.array_join("missing", "|").alias("missing"))

@@ -42,6 +42,6 @@ SQL = {
     "gap_sources": f"""{_G}, k AS (SELECT id FROM nodes WHERE type IN ('disease', 'gene')), s AS (SELECT * FROM (VALUES ('monarch', '2024'), ('go', NULL), ('reporter', NULL), ('pubmed', '2025')) v(source, version)),
         f AS (SELECT nid AS id, source, count(*) AS n FROM (SELECT source_id AS nid, source FROM edges UNION ALL SELECT target_id, source FROM edges WHERE source_id <> target_id) WHERE nid IN (FROM k) GROUP BY ALL)
         SELECT coalesce(a.id, f.id) AS id, coalesce(a.source, f.source) AS source, version, coalesce(n, 0) AS n FROM (SELECT * FROM k, s) a FULL JOIN f ON a.id = f.id AND a.source = f.source""",
-    "gap_instead_of_paths": f"""{_R}, p AS (SELECT 'S:' || s_suppkey AS from_id, 'N:' || s_nationkey AS to_id FROM supplier), q AS (SELECT * FROM p WHERE (from_id, to_id) NOT IN (SELECT (source_id, target_id) FROM edges)),
+    "gap_instead_of_paths": f"""{_R}, p AS (SELECT DISTINCT 'N:' || c_nationkey AS from_id, 'P:' || l_partkey AS to_id FROM lines WHERE l_returnflag = 'A'), q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM edges WHERE source_id = from_id AND target_id = to_id)),
         w AS (SELECT q.*, CASE WHEN t.result = 'supported' THEN from_id ELSE to_id END AS about FROM q LEFT JOIN reported t ON t.id = to_id) SELECT from_id, to_id, about AS id, result, missing FROM w LEFT JOIN reported r ON r.id = about""",
 }
