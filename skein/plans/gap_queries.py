@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import gaps
-from skein.operators.work import saved
+from skein.operators import caches, gaps
+from skein.operators.work import saved, work_root
 from skein.plans.star_queries import Query, nodes_and_edges
-from skein.sources import star
+from skein.sources import curated, star, studies
 from skein.sources.star import table
 
 _FOUND: dict[str, Query] = {}
@@ -77,3 +78,78 @@ def gap_instead_of_paths(spark, d):
     pairs = accepted.select(F.concat(F.lit("N:"), "c_nationkey").alias("from_id"), F.concat(F.lit("P:"), "l_partkey").alias("to_id")).distinct()
     found = gaps.instead(pairs, e.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id")), reported)
     return found.select("from_id", "to_id", "id", "result", F.array_join("missing", "|").alias("missing"))
+
+
+def _decisions(spark: SparkSession, d: str, day: str, rationale: str) -> DataFrame:
+    """A decision between a part's brand and type for its name, made at a day; of parts without a size by far the entry is cut off."""
+    part = table(spark, d, "part").withColumns({"brand": F.concat(F.lit("B:"), "p_brand"), "kind": F.concat(F.lit("T:"), "p_type")})
+    mention = F.concat_ws(" \u2013 ", "p_name", "p_partkey")
+    entry = F.to_json(F.struct(F.col("brand").alias("node_id"), F.lit(rationale).alias("rationale")))
+    body = F.when(F.col("p_size") % 17 == 0, F.substring(entry, 1, 9)).otherwise(entry)
+    return part.select("p_size", caches.decision_key(F.lit("model-1"), mention, F.array("kind", "brand")).alias("key"), body.alias("body"), F.lit(day).cast("timestamp").alias("made_at"))
+
+
+@query
+def decision_cache(spark, d):
+    # All decisions, then newer ones of the large parts and older ones of the small; what the cache holds then, malformed entries left out.
+    path = f"{work_root(spark)}/skein-{uuid.uuid4().hex}"
+    caches.upsert(path, _decisions(spark, d, "2025-02-01", "first").drop("p_size"), digits=1)
+    newer, older = _decisions(spark, d, "2025-03-01", "again").filter("p_size >= 25"), _decisions(spark, d, "2025-01-01", "late").filter("p_size < 9")
+    caches.upsert(path, newer.unionByName(older).drop("p_size"), digits=1)
+    return caches.load(spark, path, "node_id string, rationale string", ("node_id", "rationale")).select("key", "node_id", "rationale", F.date_format("made_at", "yyyy-MM-dd").alias("made"))
+
+
+def curated_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Entries as a reader gives them: parts are assets, some of them studies or publications, suppliers organizations; some break a rule."""
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    address = lambda n, bad: F.concat(F.when(n % bad == 0, "ftp").otherwise("https"), F.lit("://example.org/"), n)
+    record = F.when(k % 5 == 1, F.concat(F.lit("NCT"), F.lpad(k.cast("string"), 8, "0"))).when(k % 5 == 2, F.concat(F.lit("PMID:"), k))
+    asset = F.struct(
+        F.concat(F.lit("a"), k).alias("id"), F.col("p_name").alias("name"), F.when(k % 10 == 2, "publication").otherwise("registry").alias("type"), address(k, 13).alias("url"), F.when(k % 19 == 3, "soon").otherwise("2024-03-05").alias("retrieved"),
+        record.alias("source_record_id"), F.array(F.concat(F.lit("N:"), k % 25)).alias("disease_ids"), F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("attributes"),
+    )
+    org = F.struct(
+        F.concat(F.lit("o"), s).alias("id"), F.when(s % 11 == 5, " ").otherwise(F.col("s_name")).alias("name"), F.when(s % 3 == 0, "research_charity").otherwise("patient_association").alias("type"), address(s, 17).alias("url"), F.lit("2024-04-06").alias("retrieved"),
+        F.when(s % 2 == 0, "home page read in full").alias("verified"), F.array(F.concat(F.lit("N:"), "s_nationkey")).alias("disease_ids"), F.array(F.concat(F.lit("a"), s % 29)).alias("funds"), F.when(s % 7 == 0, F.array(F.concat(F.lit("a-"), s))).alias("operates"),
+    )
+    none = F.lit(None).cast("string").alias("problem")
+    assets = part.select(F.lit("assets.json").alias("file"), F.lit(curated.ASSETS).alias("section"), k.alias("seq"), F.to_json(asset).alias("entry"), none)
+    return assets.unionByName(supplier.select(F.lit("organizations.json").alias("file"), F.lit(curated.ORGANIZATIONS).alias("section"), s.alias("seq"), F.to_json(org).alias("entry"), none))
+
+
+@query
+def curated_rejects(spark, d):
+    return curated.checked(curated_entries(spark, d)).filter("problem is not null").select("section", "id", "problem")
+
+
+@query
+def curated_nodes(spark, d):
+    nodes = curated.graph(curated.checked(curated_entries(spark, d)).filter("problem is null"))[0]
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return nodes.select("id", "type", "label", told.alias("attributes"))
+
+
+@query
+def curated_edges(spark, d):
+    return curated.graph(curated.checked(curated_entries(spark, d)).filter("problem is null"))[1]
+
+
+@query
+def study_nodes(spark, d):
+    # Orders as nested records in JSON, read back by the leaves that are used.
+    orders, o = table(spark, d, "orders"), F.col("o_orderkey")
+    level = F.substring("o_orderpriority", 1, 1)
+    phases = F.when(level == "2", F.array(F.lit("PHASE1"), F.lit("PHASE2"))).when(level != "5", F.array(F.concat(F.lit("PHASE"), level)))
+    kind = lambda name, type_: F.struct(F.lit(type_).cast("string").alias("type"), name.alias("name"))
+    drugs = F.when(o % 4 != 3, F.array(kind(F.concat(F.lit("drug "), o % 7), "DRUG"), kind(F.lit(None).cast("string"), "DEVICE"), kind(F.lit("care"), None), kind(F.lit("more"), "BEHAVIORAL")))
+    section = F.struct(
+        F.struct(F.concat(F.lit("NCT"), F.lpad(o.cast("string"), 8, "0")).alias("nctId"), F.when(o % 3 != 0, F.concat(F.lit(" Order  "), o)).alias("briefTitle"), F.when(level == "1", "URG").alias("acronym"), F.lit("unread").alias("orgStudyId")).alias("identificationModule"),
+        F.struct(F.col("o_orderstatus").alias("overallStatus"), F.struct(F.date_format("o_orderdate", "yyyy-MM").alias("date")).alias("startDateStruct")).alias("statusModule"),
+        F.when(o % 6 != 5, F.struct(phases.alias("phases"), F.struct(F.floor("o_totalprice").alias("count"), F.lit("ESTIMATED").alias("type")).alias("enrollmentInfo"))).alias("designModule"),
+        F.struct(F.array(F.lit("c1"), F.concat(F.lit("c"), o % 5)).alias("conditions")).alias("conditionsModule"), F.struct(drugs.alias("interventions")).alias("armsInterventionsModule"), F.struct(F.lit("  a \n b ").alias("briefSummary")).alias("descriptionModule"),
+    )
+    text = orders.select(F.to_json(F.struct(section.alias("protocolSection"), (F.col("o_orderstatus") == "F").alias("hasResults"), F.lit("unread").alias("derivedSection"))).alias("record"))
+    found = studies.nodes(studies.flat(text.select(F.from_json("record", studies.RECORD).alias("r")).select("r.*")))
+    told = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return found.select("id", "label", F.array_join("synonyms", "|").alias("synonyms"), told.alias("attributes"))

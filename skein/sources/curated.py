@@ -119,7 +119,8 @@ def asset_node(record: Column, kind: Column, slug: Column) -> tuple[Column, Colu
 def graph(good: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, type, label, attributes) and evidence with ids of the good rows of checked(): assets and organizations.
 
-    Of two assets with one slug, links go to the node of the last by file and seq. A node that several entries name comes once an entry.
+    Of two assets with one slug, links go to the node of the last by file and seq. A node that several entries name comes once an entry;
+    links to an asset that was rejected are left out with it.
     """
     kind = F.coalesce(F.nullif(F.col("type"), F.lit("")), F.lit("unknown"))
     node_id, node_type = asset_node(F.col("source_record_id"), F.col("type"), F.col("id"))
