@@ -7,7 +7,7 @@ sum. Only documents have labels; encoder, attention and scorer are learned toget
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,37 +38,83 @@ _KIND = _kinds()
 SLOTS = 64
 _PLACES = np.random.default_rng(3).integers(1, 1 << 31, 32, np.int64) | 1
 FEATURES = KINDS * KINDS + SLOTS + 2
+#: Bytes of a text that are encoded at once.
+PIECE = 1 << 19
 
 
-def passages(text: bytes | None) -> np.ndarray:
+def pieces(text: bytes | None, size: int = PIECE) -> Iterator[np.ndarray]:
     """A row of features per passage of PASSAGE_WORDS words: pairs of kinds of characters, hashed words, their number
-    and length. A text without words is one passage."""
-    bytes_ = np.frombuffer(text or b" ", np.uint8)
-    kinds = _KIND[bytes_]
-    inside = (kinds != 3) & (kinds != 4)
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    at = np.maximum(np.cumsum(starts) - 1, 0) // PASSAGE_WORDS
-    n = int(at[-1]) + 1
-    pairs = at[:-1] * (KINDS * KINDS) + kinds[:-1].astype(np.int64) * KINDS + kinds[1:]
-    counts = np.bincount(pairs, minlength=n * KINDS * KINDS).reshape(n, -1).astype(np.float64)
+    and length. A text without words is one passage.
+
+    The text is read in pieces of size bytes; what is open at the end of one, a passage and a word, is carried on, so
+    the rows don't depend on size and memory doesn't on the length of the text, of a passage or of a word.
+    """
+    whole = np.frombuffer(text or b" ", np.uint8)
+    counts, slots, found = np.zeros((1, KINDS * KINDS)), np.zeros((1, SLOTS)), np.zeros(1)
+    n_words, last, word, length = 0, None, np.int64(0), 0
+    for begin in range(0, len(whole), size):
+        bytes_ = whole[begin : begin + size]
+        kinds = _KIND[bytes_]
+        inside = (kinds != 3) & (kinds != 4)
+        going = last is not None and last not in (3, 4)
+        starts = inside.copy()
+        starts[0] &= not going
+        starts[1:] &= ~inside[:-1]
+        base = max(n_words - 1, 0) // PASSAGE_WORDS
+        at = np.maximum(np.cumsum(starts) + n_words - 1, 0) // PASSAGE_WORDS - base
+        n = int(at[-1]) + 1
+        more = np.zeros((n, KINDS * KINDS)), np.zeros((n, SLOTS)), np.bincount(at, weights=starts, minlength=n)
+        pairs = at[:-1] * (KINDS * KINDS) + kinds[:-1].astype(np.int64) * KINDS + kinds[1:]
+        more[0][:] = np.bincount(pairs, minlength=n * KINDS * KINDS).reshape(n, -1)
+        if last is not None:
+            more[0][0, int(last) * KINDS + int(kinds[0])] += 1
+        first = np.flatnonzero(starts)
+        head = np.r_[0, first]
+        place = np.arange(len(bytes_)) - np.repeat(head, np.diff(np.r_[head, len(bytes_)]))
+        place[: first[0] if len(first) else len(place)] += length
+        values = np.where(inside, bytes_ * _PLACES[place % len(_PLACES)], 0)
+        carried = first[0] if len(first) else len(bytes_)
+        if going:
+            word += values[:carried].sum()
+            blank = np.flatnonzero(~inside[:carried])
+            if len(blank) or len(first):
+                more[1][0, (word >> 13) % SLOTS] += 1
+                word, length = np.int64(0), 0
+            else:
+                length += len(bytes_)
+        if len(first):
+            hashed = np.add.reduceat(values, first)
+            if inside[-1]:
+                word, length = hashed[-1], len(bytes_) - int(first[-1])
+                hashed, first = hashed[:-1], first[:-1]
+            more[1][:] += np.bincount((at[first] * SLOTS + (hashed >> 13) % SLOTS).astype(np.int64), minlength=n * SLOTS).reshape(n, -1)
+        for new, old in zip(more, (counts, slots, found), strict=True):
+            new[0] += old[0]
+        counts, slots, found = more
+        n_words, last = n_words + int(starts.sum()), kinds[-1]
+        if n > 1:
+            yield _features(counts[:-1], slots[:-1], found[:-1])
+            counts, slots, found = counts[-1:], slots[-1:], found[-1:]
+    if last not in (3, 4):
+        slots[0, (word >> 13) % SLOTS] += 1
+    yield _features(counts, slots, found)
+
+
+def _features(counts: np.ndarray, slots: np.ndarray, found: np.ndarray) -> np.ndarray:
     chars = np.maximum(counts.sum(1), 1.0)
-    found = np.bincount(at, weights=starts, minlength=n)
-    out = np.empty((n, FEATURES), np.float32)
+    out = np.empty((len(found), FEATURES), np.float32)
     out[:, : KINDS * KINDS] = np.sqrt(counts / chars[:, None])
-    first = np.flatnonzero(starts)
-    if len(first):
-        place = np.arange(len(bytes_)) - np.repeat(np.r_[0, first], np.diff(np.r_[0, first, len(bytes_)]))
-        hashed = np.add.reduceat(np.where(inside, bytes_ * _PLACES[place % len(_PLACES)], 0), first)
-        slots = (at[first] * SLOTS + (hashed >> 13) % SLOTS).astype(np.int64)
-        out[:, KINDS * KINDS : -2] = np.sqrt(np.bincount(slots, minlength=n * SLOTS).reshape(n, -1) / np.maximum(found, 1)[:, None])
-    else:
-        out[:, KINDS * KINDS : -2] = 0
+    out[:, KINDS * KINDS : -2] = np.sqrt(slots / np.maximum(found, 1)[:, None])
     out[:, -2] = np.log1p(found) / 5
     out[:, -1] = chars / np.maximum(found, 1) / 20
     return out
 
 
+def passages(text: bytes | None) -> np.ndarray:
+    """All rows of pieces()."""
+    return np.concatenate(list(pieces(text)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -124,6 +170,17 @@ class AttentionModel:
     def score(self, bags: list[np.ndarray]) -> np.ndarray:
         return self.forward(np.concatenate(bags), np.cumsum([0, *[len(b) for b in bags[:-1]]]))["y"] if bags else np.zeros(0)
 
+    def score_long(self, parts: Iterable[np.ndarray]) -> tuple[float, int]:
+        """Score and passages of one bag that comes in parts: sums of the softmax are kept relative to the largest logit so far."""
+        p, top, total, z, n = self.weights, -np.inf, 0.0, np.zeros(HIDDEN), 0
+        for x in parts:
+            h = np.tanh(x @ p["we"] + p["be"])
+            s = (np.tanh(h @ p["v"] + p["bv"]) * _sigmoid(h @ p["u"] + p["bu"])) @ p["w"]
+            most = max(top, float(s.max()))
+            e, fade = np.exp(s - most), np.exp(top - most)
+            top, total, z, n = most, total * fade + e.sum(), z * fade + e @ h, n + len(x)
+        return float(_sigmoid(z / total @ p["c"] + p["b"])[0]), n
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, bound: int) -> DataFrame:
     """At most bound rows (doc_id, text, label) that may be learned from, those whose ids have the smallest hashes.
@@ -175,8 +232,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, bound:
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                own = [passages(t) for t in part["text"]]
-                y = sent.value.score(own)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": y, "predicted": (y >= 0.5).astype(np.int32), "n_passages": [len(x) for x in own]})
+                long = np.array([t is not None and len(t) > PIECE for t in part["text"]])
+                own = [passages(t) for t in part["text"][~long]]
+                y, n = np.zeros(len(part)), np.zeros(len(part), np.int64)
+                y[~long], n[~long] = sent.value.score(own), [len(x) for x in own]
+                for i in np.flatnonzero(long):
+                    y[i], n[i] = sent.value.score_long(pieces(part["text"].iloc[i]))
+                yield pd.DataFrame({"doc_id": part["doc_id"], "score": y, "predicted": (y >= 0.5).astype(np.int32), "n_passages": n})
 
     return docs.mapInPandas(score, "doc_id string, score double, predicted int, n_passages long").withColumn("doc_id", F.col("doc_id").cast("long"))
