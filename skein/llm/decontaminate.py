@@ -26,8 +26,9 @@ from skein.operators.work import discard, saved
 HASHES = 64
 #: Shingles in the halves of the smallest partition.
 LEAST = 8
-#: Test items a block: what is broadcast at once is bounded, however many items there are.
-BLOCK = 10_000
+#: Test items a block, and bytes of their texts (more only in one item): what is broadcast at once is bounded, however many and long
+#: items are. A block's index has 8 bytes a shingle, 0.8 KB an item and 4 MB a size partition: some 150 MB at most.
+BLOCK, BLOCK_BYTES = 10_000, 8 << 20
 #: Words that are searched at once, more only in one document.
 CHUNK = 60_000
 
@@ -161,7 +162,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
     A document contains an item if 100 * shared >= percent * item size, counted in distinct shingles of width
     words (A-Z lower-cased) of the whole texts. An item of fewer words is one shingle of its own length. Null and
     empty items are contained nowhere; null and empty documents contain nothing. Repeated documents and items
-    give repeated rows, null ids rows with null ids; other columns are ignored. Items go out in blocks of BLOCK. If
+    give repeated rows, null ids rows with null ids; other columns are ignored. Items go out in blocks of BLOCK or BLOCK_BYTES. If
     there are several, the documents are read once for each and its finds written before the next goes out, so that
     an executor holds one block however many items there are.
     """
@@ -189,13 +190,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent:
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[str | None, bytes]], bool]]:
-    """The test items in blocks of at most BLOCK, one block in the driver at a time, each with whether it is the last."""
+    """The test items in blocks of at most BLOCK and BLOCK_BYTES, one block in the driver at a time, each with whether it is the last."""
     block: list[tuple[str | None, bytes]] = []
+    size = 0
     for row in items.toLocalIterator():
-        if len(block) == BLOCK:
+        text = bytes(row["text"] or b"")
+        if block and (len(block) == BLOCK or size + len(text) > BLOCK_BYTES):
             yield block, False
-            block = []
-        block.append((row["item_id"], bytes(row["text"] or b"")))
+            block, size = [], 0
+        block.append((row["item_id"], text))
+        size += len(text)
     if block:
         yield block, True
 
