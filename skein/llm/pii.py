@@ -11,7 +11,8 @@ whose spans are known.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from skein.llm.common import in_short_batches
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms a segment has at most.
 LONGEST = 16
+#: Atoms whose segments' features are held at once.
+STRIDE = 1024
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -139,6 +142,11 @@ def span_features(region: str, a: int, b: int) -> list[float]:
     ]
 
 
+def _cuts(region: str) -> Sequence[int]:
+    """0 and the ends of the atoms."""
+    return array("q", [0]) + array("q", (m.end() for m in ATOM.finditer(region)))
+
+
 class SegmentField:
     """Scores of kinds on segments and of a kind after another, their partition function and best segmentation.
 
@@ -155,11 +163,15 @@ class SegmentField:
         """Score of each kind (column) after each state (row)."""
         return self.w[:, FEATURES:].T
 
-    def candidates(self, region: str) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
+    def candidates(self, region: str) -> tuple[Sequence[int], list[tuple[int, int]], np.ndarray]:
         """Ends of the atoms, the candidate segments (atom from, atom to) and their features."""
-        cuts = [0, *[m.end() for m in ATOM.finditer(region)]]
+        cuts = _cuts(region)
+        return cuts, *self.segments(region, cuts, 0, len(cuts))
+
+    def segments(self, region: str, cuts: Sequence[int], begin: int, end: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The candidate segments (atom from, atom to) that begin at the atoms from begin to end, and their features."""
         found = []
-        for i in range(len(cuts) - 1):
+        for i in range(begin, min(end, len(cuts) - 1)):
             first = region[cuts[i]]
             if first.isalnum() or first in "+(":
                 for j in range(i + 1, min(len(cuts) - 1, i + LONGEST) + 1):
@@ -167,7 +179,7 @@ class SegmentField:
                     if s[-1].isalnum() and ("@" in s or sum("0" <= c <= "9" for c in s) >= 4 and not s.isalpha()):
                         found.append((i, j))
         x = np.array([span_features(region, cuts[i], cuts[j]) for i, j in found]).reshape(-1, FEATURES)
-        return cuts, found, x
+        return found, x
 
     def gradient(self, region: str, gold: dict[tuple[int, int], int]) -> np.ndarray:
         """Gradient of the log likelihood of a segmentation, gold: kind by (start, end) in characters."""
@@ -204,36 +216,47 @@ class SegmentField:
         return out
 
     def best(self, region: str) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of the best segmentation's entities."""
-        cuts, found, x = self.candidates(region)
-        if not found:
-            return []
-        scores = x @ self.w[:, :FEATURES].T
+        """(start, kind, end) of the best segmentation's entities.
+
+        Atoms are gone through once, features are made for STRIDE of them at a time, and scores are kept for the LONGEST atoms
+        ahead: what grows with the region are a few numbers an atom, the way back.
+        """
+        cuts, states = _cuts(region), len(KINDS) + 1
+        n, width = len(cuts) - 1, LONGEST + 1
         # A segment that no state lets score above 0 is never in the best segmentation: leaving it out scores more, unless it changes the state.
         gain = max(0.0, float(self.after.max() - self.after.min()))
-        ending: list[list[int]] = [[] for _ in cuts]
-        for k in np.flatnonzero(scores.max(1) + self.after.max() + gain > 0):
-            ending[found[k][1]].append(int(k))
-        states = len(KINDS) + 1
-        score, back = np.full((len(cuts), states), -np.inf), {}
-        score[0, 0] = 0.0
-        for j in range(1, len(cuts)):
-            score[j] = score[j - 1]
-            for k in ending[j]:
-                reach = score[found[k][0]][:, None] + self.after + scores[k]
-                for kind in range(len(KINDS)):
-                    came = int(reach[:, kind].argmax())
-                    if reach[came, kind] > score[j, kind + 1]:
-                        score[j, kind + 1] = reach[came, kind]
-                        back[j, kind + 1] = (k, came)
-        out, j, state = [], len(cuts) - 1, int(score[-1].argmax())
+        score, back, came = np.full((width, states), -np.inf), np.full((n + 1, states), -1, np.int32), np.zeros((n + 1, states), np.int8)
+        last = np.full(states, -np.inf)
+        last[0] = 0.0
+        for begin in range(0, n, STRIDE):
+            found, x = self.segments(region, cuts, begin, begin + STRIDE)
+            scores = x @ self.w[:, :FEATURES].T
+            kept = np.flatnonzero(scores.max(1) + self.after.max() + gain > 0).tolist() if found else []
+            at = 0
+            for i in range(begin, min(begin + STRIDE, n)):
+                # What ends here: taken only where it scores above carrying on without it.
+                row = score[i % width]
+                carried = ~(row > last)
+                last = np.where(carried, last, row)
+                back[i, carried] = -1
+                score[i % width] = -np.inf
+                while at < len(kept) and found[kept[at]][0] == i:
+                    k, at = kept[at], at + 1
+                    j = found[k][1]
+                    reach = last[:, None] + self.after + scores[k]
+                    best, from_ = reach.max(0), reach.argmax(0)
+                    better = np.flatnonzero(best > score[j % width, 1:])
+                    score[j % width, better + 1], back[j, better + 1], came[j, better + 1] = best[better], i, from_[better]
+        row = score[n % width]
+        back[n, ~(row > last)] = -1
+        out, j, state = [], n, int(np.maximum(row, last).argmax())
         while j > 0:
-            if score[j, state] == score[j - 1, state]:
+            if back[j, state] < 0:
                 j -= 1
             else:
-                k, came = back[j, state]
-                out.append((cuts[found[k][0]], state - 1, cuts[j]))
-                j, state = found[k][0], came
+                i = int(back[j, state])
+                out.append((cuts[i], state - 1, cuts[j]))
+                j, state = i, int(came[j, state])
         return out[::-1]
 
     def fit(self, examples: list[tuple[str, dict[tuple[int, int], int]]], epochs: int = 8, rate: float = 0.5, ridge: float = 1e-3) -> SegmentField:

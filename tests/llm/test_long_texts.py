@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, quality_model
+from skein.llm import decontaminate, pii, quality_model
 
 
 def test_passages_do_not_depend_on_pieces():
@@ -67,3 +67,27 @@ def test_blocks_by_items_and_bytes(spark, monkeypatch):
     blocks = list(decontaminate._blocks(items))
     assert [[i for i, _ in b] for b, _ in blocks] == [["0", "1"], ["2"], ["3"], ["4", "5", "6"], ["7"], ["8"]]
     assert [last for _, last in blocks] == [False] * 5 + [True] and list(decontaminate._blocks(items.limit(0))) == []
+
+
+def test_segments_do_not_depend_on_strides(monkeypatch):
+    texts = [" ".join(t for t, _ in pii.generated(k, k)) for k in (1, 3, 9, 30)] + ["", "a", "12345"]
+    fields = [pii.SegmentField().fit(pii.generated(100, 5)), *[pii.SegmentField(np.random.default_rng(i).normal(0, 1, (4, pii.FEATURES + 5))) for i in range(3)]]
+    expected = [f.best(t) for f in fields for t in texts]
+    assert sum(map(len, expected)) > 100
+    for stride in (1, 2, 17, pii.LONGEST + 1):
+        monkeypatch.setattr(pii, "STRIDE", stride)
+        assert [f.best(t) for f in fields for t in texts] == expected
+
+
+def test_long_runs_of_numbers_take_linear_memory_and_time():
+    field = pii.SegmentField().fit(pii.generated(100, 5))
+    numbers = " ".join(map(str, np.random.default_rng(1).integers(0, 10**7, 16_000)))
+
+    def peak(text: str) -> int:
+        tracemalloc.start()
+        field.best(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(numbers) - peak(numbers[: len(numbers) // 4]) < 40 * len(numbers)
