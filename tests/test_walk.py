@@ -98,3 +98,38 @@ def test_a_filter_on_the_relation_passes_the_merge_of_edges(spark):
     rows = spark.createDataFrame([("a", r, "b", "s", "x", 0.5, "curated", None) for r in ("funds", "represents")], "source_id string, relation string, target_id string, source string, record_id string, confidence double, evidence_type string, qualifier string")
     plan = trust.one_per_id(trust.with_ids(rows)).filter(F.col("relation") == "funds")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Filter")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_assets_are_first_links_whatever_is_left_out_before_the_starts(spark, seed):
+    r = random.Random(seed)
+    diseases, genes, studies = [f"d{i}" for i in range(6)], ["g0", "g1", "g2"], [f"s{i:02}" for i in range(60)]
+    nodes = [(x, "disease", x) for x in diseases] + [(x, "gene", x) for x in genes] + [(x, "study", x) for x in studies]
+    edges = [(f"C{i:02}", r.choice(diseases), "caused_by", r.choice(genes), 0.8) for i in range(7)]
+    # Most studies have one disease, some two or more, some several edges to one.
+    edges += [(f"S{i:03}", r.choice(studies), "studies_condition", r.choice(diseases), r.choice([0.5, 0.6, 0.7])) for i in range(110)]
+    known = spark.createDataFrame([(x, {"asset_slug": x} if r.random() < 0.3 else {"phase": "1"}) for x in studies], "id string, attributes map<string,string>")
+    n, e, s = spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE), spark.createDataFrame([(x,) for x in diseases], "start_id string")
+    curated = {x["id"] for x in known.collect() if "asset_slug" in x["attributes"]}
+    for by_tier in (False, True):
+        expected = set()
+        for start in diseases:
+            best = {}
+            for near, path in plain_walk(nodes, edges, start, walk.RELATED_EDGES, False).items():
+                for x in edges:
+                    if x[2] == "studies_condition" and x[3] == near:
+                        row = (1 if path else 0, x[1] not in curated, -x[4], len(path) + 1, x[1], (*path, x[0]))
+                        best[x[1]] = min(best.get(x[1], row), row)
+            ranked = sorted(best.values())
+            for tier in (0, 1) if by_tier else (None,):
+                expected |= {(start, x[4], x[0], i, x[5]) for i, x in enumerate([x for x in ranked if tier in (None, x[0])][:3], 1)}
+        found = walk.assets(n, e, s, known, most=3, by_tier=by_tier).collect()
+        assert {(x["start_id"], x["asset"], x["tier"], x["rank"], tuple(h["id"] for h in x["path"])) for x in found} == expected
+
+
+def test_few_links_of_a_disease_meet_the_starts(spark):
+    hop = "struct<source_id:string,relation:string,target_id:string,id:string,confidence:double>"
+    rows = [("d1", f"s{i:03}", True, (f"s{i:03}", "studies_condition", "d1", f"E{i}", 0.5)) for i in range(500)]
+    rows += [(d, "many", True, ("many", "studies_condition", d, f"M{d}", 0.1)) for d in ("d1", "d2", "d3")]
+    found = walk.first_links(spark.createDataFrame(rows, f"id string, asset string, loose boolean, hop {hop}"), 4).collect()
+    assert sorted((x["id"], x["asset"]) for x in found) == [("d1", "many"), *(("d1", f"s{i:03}") for i in range(4)), ("d2", "many"), ("d3", "many")]
