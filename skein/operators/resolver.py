@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import content, token_jaccard, with_tokens
-from skein.operators.search import _units
+from skein.operators.search import ABSENT, _units, first_places, slices, ten_thousandths
 from skein.operators.work import saved
 
 #: Scores of the stages, floors of vectors and words, candidates that are named, and what looks like an identifier.
@@ -19,7 +19,7 @@ SCORES = {"exact": 1.0, "xref": 1.0, "synonym": 0.95}
 EMBED_ACCEPT, EMBED_MARGIN, CANDIDATE_FLOOR, LEXICAL_FLOOR, TOP = 0.85, 0.05, 0.45, 0.34, 5
 IDENTIFIER = r"^[A-Za-z][A-Za-z0-9_.]*:\S+$"
 #: Bytes of a block of query vectors, which goes to all tasks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _plain(words: str) -> Column:
@@ -44,7 +44,7 @@ def nearest_nodes(queries: DataFrame, vectors: DataFrame, most: int = TOP) -> Da
     """(mention, id, score): the `most` nodes nearest to each query (mention, embedding) by the best cosine of their vectors (id,
     embedding), in four decimals, ties by id.
 
-    Queries go out in blocks of bounded size. A task takes the best of each node in a batch and keeps its best few nodes a query; a node that is
+    Queries go out in blocks of bounded size. A task takes the best of each node in a few vectors at a time and keeps its best few nodes a query; a node that is
     among the best of all is so where its best vector is, so none is lost.
     """
     spark, out = vectors.sparkSession, None
@@ -53,20 +53,7 @@ def nearest_nodes(queries: DataFrame, vectors: DataFrame, most: int = TOP) -> Da
         sent = spark.sparkContext.broadcast((names, matrix))
 
         def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, matrix = sent.value
-            kept = pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, object), "s": np.empty(0, np.int64)})
-            for b in batches:
-                b = b[b["embedding"].notna()].sort_values("id", kind="stable")
-                if not len(b):
-                    continue
-                v = _units(b["embedding"].tolist(), matrix.shape[1])
-                ids, first = np.unique(b["id"].to_numpy(), return_index=True)
-                scores = np.maximum.reduceat(np.floor(np.einsum("qd,vd->qv", matrix, v) * 10000 + 0.5).astype(np.int64), first, axis=1)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                q = np.repeat(np.arange(len(names)), top.shape[1])
-                kept = pd.concat([kept, pd.DataFrame({"q": q, "id": ids[top.ravel()], "s": scores[q, top.ravel()]})])
-                kept = kept.groupby(["q", "id"], as_index=False)["s"].max().sort_values(["q", "s", "id"], ascending=[True, False, True]).groupby("q").head(most)
-            yield pd.DataFrame({"mention": np.array(names, object)[kept["q"].to_numpy(np.int64)], "id": kept["id"], "s": kept["s"]})
+            yield nearest_of(*sent.value, batches, most)
 
         found = rows.mapInPandas(best, "mention string, id string, s long")
         out = found if out is None else out.union(found)
@@ -77,6 +64,29 @@ def nearest_nodes(queries: DataFrame, vectors: DataFrame, most: int = TOP) -> Da
     return ranked.select("mention", "id", (F.col("s") / 10000).alias("score"))
 
 
+def nearest_of(names: list[str], matrix: np.ndarray, batches: Iterator[pd.DataFrame], most: int) -> pd.DataFrame:
+    """The `most` nodes of the batches (id, embedding) nearest to each query, by their best vectors: (mention, id, s), s the cosine in ten-thousandths."""
+    kept = pd.DataFrame({"q": np.empty(0, np.int64), "id": np.empty(0, object), "s": np.empty(0, np.int64)})
+    for b in batches:
+        b = b[b["embedding"].notna()].sort_values("id", kind="stable")
+        named, v = b["id"].to_numpy(), _units(b["embedding"].tolist(), matrix.shape[1])
+        for part in slices(len(v), len(names)):
+            ids, first = np.unique(named[part], return_index=True)
+            scores = np.maximum.reduceat(ten_thousandths(matrix, v[part]), first, axis=1)
+            top = first_places(scores, most)
+            s, q = np.take_along_axis(scores, top, 1), np.repeat(np.arange(len(names)), top.shape[1]).reshape(top.shape)
+            # What falls behind the last of a full list needn't be merged.
+            last = np.full(len(names), ABSENT)
+            full = kept.groupby("q")["s"].agg(["size", "min"])
+            full = full[full["size"] >= most]
+            last[full.index.to_numpy(np.int64)] = full["min"]
+            new = (s >= last[:, None]) & (s > ABSENT)
+            if new.any():
+                kept = pd.concat([kept, pd.DataFrame({"q": q[new], "id": ids[top[new]], "s": s[new]})])
+                kept = kept.groupby(["q", "id"], as_index=False)["s"].max().sort_values(["q", "s", "id"], ascending=[True, False, True]).groupby("q").head(most)
+    return pd.DataFrame({"mention": np.array(names, object)[kept["q"].to_numpy(np.int64)], "id": kept["id"], "s": kept["s"]})
+
+
 def _blocks(queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
     """Names and unit vectors of the queries, one block in the driver at a time."""
     held: list = []

@@ -39,7 +39,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, most: int = 5, block: int =
     score, rank, margin).
 
     queries (vec_id, embedding) is a stated set. It goes out in blocks of `block`; a task multiplies each of its batches of
-    vectors with the block and keeps its best few a query, so what is shuffled is a few rows a query and task.
+    vectors, SCORE_BYTES of scores at a time, with the block and keeps its best few a query, so what is shuffled is a few rows a query and task.
     """
     spark, out = vectors.sparkSession, None
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -47,31 +47,61 @@ def nearest(queries: DataFrame, vectors: DataFrame, most: int = 5, block: int =
         sent = spark.sparkContext.broadcast((ids, matrix))
 
         def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, matrix = sent.value
-            kept = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-            for b in batches:
-                b = b.sort_values("vec_id")
-                v = _units(b["embedding"].tolist(), matrix.shape[1])
-                scores = np.einsum("qd,vd->qv", matrix, v)
-                scores[ids[:, None] == b["vec_id"].to_numpy()[None, :]] = -np.inf
-                top = np.argsort(-np.floor(scores * 10000 + 0.5), axis=1, kind="stable")[:, : most + 1]
-                q = np.repeat(np.arange(len(ids)), top.shape[1])
-                new = pd.DataFrame({"query_id": ids[q], "vec_id": b["vec_id"].to_numpy()[top.ravel()], "score": scores[q, top.ravel()]})
-                kept = pd.concat([kept, new[np.isfinite(new["score"])]])
-                kept = kept.assign(r=np.floor(kept["score"] * 10000 + 0.5)).sort_values(["query_id", "r", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(most + 1).drop(columns="r")
-            yield kept
-
-        found = rows.mapInPandas(best, "query_id long, vec_id long, score double")
+            yield nearest_of(*sent.value, batches, most + 1)
+
+        found = rows.mapInPandas(best, "query_id long, vec_id long, s long")
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    scored = out.withColumn("score", F.floor(F.col("score") * 10000 + 0.5) / 10000)
+        out = spark.createDataFrame([], "query_id long, vec_id long, s long")
+    scored = out.select("query_id", "vec_id", (F.col("s") / 10000).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most + 1)
     margin = F.col("score") - F.lead("score").over(Window.partitionBy("query_id").orderBy("rank"))
     return ranked.withColumn("margin", F.floor(F.coalesce(margin, F.col("score")) * 10000 + 0.5) / 10000).filter(F.col("rank") <= most)
 
 
+def nearest_of(ids: np.ndarray, matrix: np.ndarray, batches: Iterator[pd.DataFrame], most: int) -> pd.DataFrame:
+    """The `most` vectors of the batches (vec_id, embedding) nearest to each query, itself excepted: (query_id, vec_id, s), s the cosine in ten-thousandths."""
+    kept_s, kept_id = np.full((len(ids), most), ABSENT, np.int64), np.full((len(ids), most), np.iinfo(np.int64).max)
+    for b in batches:
+        b = b.sort_values("vec_id")
+        named, v = b["vec_id"].to_numpy(np.int64), _units(b["embedding"].tolist(), matrix.shape[1])
+        for part in slices(len(v), len(ids)):
+            scores = ten_thousandths(matrix, v[part])
+            scores[ids[:, None] == named[part][None, :]] = ABSENT
+            top = first_places(scores, most)
+            s, i = np.hstack([kept_s, np.take_along_axis(scores, top, 1)]), np.hstack([kept_id, named[part][top]])
+            order = np.lexsort((i, -s), axis=1)[:, :most]
+            kept_s, kept_id = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+    known = kept_s > ABSENT
+    return pd.DataFrame({"query_id": np.repeat(ids, most)[known.ravel()], "vec_id": kept_id[known], "s": kept_s[known]})
+
+
+#: Bytes of scores that a task has at once, and what stands for a score that isn't there.
+SCORE_BYTES, ABSENT = 4 << 20, -(1 << 20)
+
+
+def slices(n: int, queries: int) -> Iterator[slice]:
+    """Ranges of n vectors whose scores with so many queries fit into SCORE_BYTES."""
+    step = max(SCORE_BYTES // (8 * max(queries, 1)), 1)
+    return (slice(at, at + step) for at in range(0, n, step))
+
+
+def ten_thousandths(matrix: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Products of all rows as integers of ten-thousandths, ABSENT where one isn't finite."""
+    s = np.floor(np.einsum("qd,vd->qv", matrix, vectors) * 10000 + 0.5)
+    return np.where(np.isfinite(s), s, ABSENT).astype(np.int64)
+
+
+def first_places(scores: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the `most` highest integers of each row, of equal ones the first."""
+    width = scores.shape[1]
+    most = min(most, width)
+    # The column counts down in the lower part of one integer, so no two are equal and no row has to be sorted whole.
+    key = scores * width + np.arange(width - 1, -1, -1)
+    return width - 1 - np.mod(np.partition(key, width - most, axis=1)[:, width - most :], width)
+
+
 def _units(rows: list, width: int) -> np.ndarray:
     """Rows as vectors of length one; those of another width, and zero ones, as zeros."""
     out = np.zeros((len(rows), width))
