@@ -40,16 +40,17 @@ def profiles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2])
 
 
-def shared_pairs(features: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs a < b of things under one feature: (*keys, feature, weight, a, b).
+def shared_pairs(features: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs a < b of things under one feature: (*keys, feature, weight, a, b), and each of more of both as _a and _b.
 
     A list of over HEAVY things is dealt by one side and repeated for the other, so no task has a whole one.
     """
     sizes = features.groupBy(*keys, "feature").agg(F.count("*").alias("c"))
     parts = F.ceil(F.col("c") / HEAVY).cast("int")
     sized = features.join(sizes.select(*keys, "feature", parts.alias("parts")), [*keys, "feature"])
-    one = sized.select(*keys, "feature", "weight", F.col("thing").alias("a"), F.pmod(F.xxhash64("thing"), F.col("parts")).cast("int").alias("part"))
-    two = sized.select(*keys, "feature", F.col("thing").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in more]
+    one = sized.select(*keys, "feature", "weight", F.col("thing").alias("a"), *of("a"), F.pmod(F.xxhash64("thing"), F.col("parts")).cast("int").alias("part"))
+    two = sized.select(*keys, "feature", F.col("thing").alias("b"), *of("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return one.join(two, [*keys, "feature", "part"]).filter("a < b").drop("part")
 
 
@@ -58,12 +59,13 @@ def weighted_jaccard(features: DataFrame, *keys: str) -> DataFrame:
     score = shared / total, per value of keys.
 
     An inverted index: only things under one feature meet. Sums are of integers, so the score doesn't depend on their order.
+    What a thing weighs goes with its features, so pairs, of which there are most, are shuffled once.
     """
     k = list(keys)
     own = features.groupBy(*k, "thing").agg(F.sum("weight").alias("own"))
-    shared = shared_pairs(features, k).groupBy(*k, "a", "b").agg(F.sum("weight").alias("shared"), F.count("*").alias("n_shared"))
-    sums = shared.join(own.select(*k, F.col("thing").alias("a"), F.col("own").alias("own_a")), [*k, "a"]).join(own.select(*k, F.col("thing").alias("b"), F.col("own").alias("own_b")), [*k, "b"])
-    return sums.withColumn("total", F.col("own_a") + F.col("own_b") - F.col("shared")).select(*k, "a", "b", "n_shared", "shared", "total", (F.col("shared") / F.col("total")).alias("score"))
+    met = shared_pairs(features.join(own, [*k, "thing"]), k, ("own",)).withColumn("both", F.col("own_a") + F.col("own_b"))
+    sums = met.groupBy(*k, "a", "b").agg(F.sum("weight").alias("shared"), F.count("*").alias("n_shared"), F.max("both").alias("both"))
+    return sums.withColumn("total", F.col("both") - F.col("shared")).select(*k, "a", "b", "n_shared", "shared", "total", (F.col("shared") / F.col("total")).alias("score"))
 
 
 def scored_pairs(profile: DataFrame, weights: dict[str, float]) -> DataFrame:
