@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.trust import ELECTRONIC
+from skein.operators.work import saved
 
 #: Confidence of a term with evidence that isn't electronic alone, and of others; names that are listed; labels of frequencies.
 EXPERIMENTAL, ELECTRONIC_ONLY, LISTED = 0.9, 0.7, 8
@@ -38,11 +39,12 @@ def _first(rows: DataFrame, column: str, name: str) -> DataFrame:
 def grouped(rows: DataFrame) -> DataFrame:
     """Per thing and matched term of matched() rows (thing, term, codes, publications): evidence_codes, the first annotated_terms
     and publications, annotation_count and confidence, which is lower if all evidence is electronic."""
-    each = rows.select("thing", F.explode("matched").alias("target"), F.array("term").alias("terms"), "codes", "publications")
-    counted = each.groupBy("thing", "target").agg(F.count("*").alias("annotation_count"))
-    codes = each.select("thing", "target", F.explode("codes").alias("code")).groupBy("thing", "target").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("evidence_codes"), F.max(F.col("code") != ELECTRONIC).alias("other"))
-    out = counted
-    for part in (codes, _first(each, "terms", "annotated_terms"), _first(each, "publications", "publications")):
+    each = saved(rows.select("thing", F.explode("matched").alias("target"), F.array("term").alias("terms"), "codes", "publications"))
+    # Of lists of codes there are few different ones.
+    codes = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.collect_set("codes")))))
+    out = each.groupBy("thing", "target").agg(F.count("*").alias("annotation_count"), codes.alias("codes"))
+    out = out.select("thing", "target", "annotation_count", F.array_join("codes", ",").alias("evidence_codes"), F.exists("codes", lambda c: c != ELECTRONIC).alias("other"))
+    for part in (_first(each, "terms", "annotated_terms"), _first(each, "publications", "publications")):
         out = out.join(part, ["thing", "target"], "left")
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("evidence_codes", "annotated_terms", "publications")]
     return out.select("thing", "target", "annotation_count", *texts, F.when(F.coalesce("other", F.lit(False)), EXPERIMENTAL).otherwise(ELECTRONIC_ONLY).alias("confidence"))

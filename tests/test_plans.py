@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.operators import similarity
+from skein.operators import annotations, similarity
 
 
 def _plan(df):
@@ -14,3 +14,11 @@ def test_pairs_are_not_joined_after_they_are_summed(spark):
     found = similarity.weighted_jaccard(spark.createDataFrame(rows, "thing string, feature string, weight long"))
     assert sorted((x["a"], x["b"], x["n_shared"], x["shared"], x["total"]) for x in found.collect()) == [("u1", "u2", 2, 8, 8), ("u1", "u3", 1, 5, 8), ("u2", "u3", 1, 5, 8)]
     assert "Join" not in _plan(found).split("Aggregate")[0]
+
+
+def test_annotations_are_read_once_and_codes_listed_once(spark):
+    rows = [("s1", "p1", ["T"], ["ECO:2", None, "ECO:1"], ["PMID:1"]), ("s1", "p2", ["T"], ["ECO:1"], ["PMID:1"]), ("s1", "p2", ["T"], None, None), ("s2", "p1", ["T"], [], []), ("s2", "p1", ["T"], ["ECO:0000501"], [])]
+    kept = spark.createDataFrame(rows, "thing string, term string, matched array<string>, codes array<string>, publications array<string>")
+    found = annotations.grouped(kept)
+    assert sorted(tuple(x) for x in found.collect()) == [("s1", "T", 3, "ECO:1,ECO:2", "p1,p2", "PMID:1", 0.9), ("s2", "T", 2, "ECO:0000501", "p1", "", 0.7)]
+    assert "RDD" not in _plan(found) and "LocalRelation" not in _plan(found)
