@@ -1,8 +1,8 @@
 """Reports of what is known, weak or missing at every node, with the questions that follow and the sources that were searched.
 
 Tables: nodes (id, type, label), edges, seeds (id, kind) and searches (id, searched, closest, not_searched: arrays of text), which
-say what was looked for and not found. Everything is an aggregate per node, combined before the shuffle; weak leads, which a hub has
-many of, are rows of their own and only counted in the report.
+say what was looked for and not found. Everything is an aggregate per node, combined before the shuffle, and only ends at diseases meet
+the node at the other end; weak leads, which a hub has many of, are rows of their own and only counted in the report.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.work import saved
 from skein.schema import STRONG
 
 #: Results and their status, kinds of seeds, what is never searched, and the sentences of the report.
@@ -33,16 +34,19 @@ ASK_GENE, ASK_TERM, ASK_SOURCE = "Which gene or variant explains %s?", "Which ly
 ROLES = {"study": "study", "asset": "study", "patient_group": "partner", "funder": "partner", "gene": "gene", "publication": "publication"}
 
 
-def incidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """An edge at each of its ends, once at a loop: id, edge_id, relation, source, confidence, strong, and at diseases the role of the other end."""
+def _ends(edges: DataFrame) -> DataFrame:
+    """An edge at each of its ends, once at a loop: id, other_id, edge_id, relation, confidence, strong."""
     ends = F.array_distinct(F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other_id")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other_id"))))
     strong = (F.col("evidence_type") != "inferred") & (F.col("confidence") >= STRONG)
-    at = edges.select(F.explode(ends).alias("e"), F.col("id").alias("edge_id"), "relation", "source", "confidence", strong.alias("strong")).select("e.*", "edge_id", "relation", "source", "confidence", "strong")
-    role = reduce(lambda found, pair: found.when(F.col("type") == pair[0], pair[1]), list(ROLES.items())[1:], F.when(F.col("type") == "study", "study"))
-    others = nodes.filter(F.col("type").isin(*ROLES)).select(F.col("id").alias("other_id"), role.alias("role"))
-    diseases = nodes.filter("type = 'disease'").select("id", F.lit(True).alias("at_disease"))
-    known = at.join(diseases, "id", "left").join(others, "other_id", "left")
-    return known.withColumn("role", F.when(F.col("at_disease"), F.col("role"))).drop("at_disease")
+    return edges.select(F.explode(ends).alias("e"), F.col("id").alias("edge_id"), "relation", "confidence", strong.alias("strong")).select("e.*", "edge_id", "relation", "confidence", "strong")
+
+
+def _at(diseases: DataFrame, nodes: DataFrame, ends: DataFrame, *roles: str) -> DataFrame:
+    """The ends at diseases (id, ...) whose other end is a node of one of the roles (none: of any), with role. Types of other nodes are met at diseases only."""
+    types = {kind: role for kind, role in ROLES.items() if role in (roles or ROLES.values())}
+    role = reduce(lambda found, pair: found.when(F.col("type") == pair[0], pair[1]), types.items(), F.when(F.lit(False), ""))
+    others = nodes.filter(F.col("type").isin(*types)).select(F.col("id").alias("other_id"), role.alias("role"))
+    return ends.join(diseases, "id").join(others, "other_id")
 
 
 def _texts(*parts: Column) -> Column:
@@ -55,18 +59,21 @@ def report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, searches: DataF
     A disease is supported by a strong edge to a study, asset or partner, unless it is seeded as the gap; any other node by any
     strong edge. The names of genes in a question are collected only for diseases without a study.
     """
-    at = incidence(nodes, edges)
-    role = lambda name: F.coalesce(F.col("role") == name, F.lit(False))
+    ends = _ends(edges)
+    role = lambda name: F.col("role") == name
+    diseases = nodes.filter("type = 'disease'").select("id")
+    counted = ends.groupBy("id").agg(F.count("*").alias("n_edges"), F.count_if("strong").alias("n_strong"), F.count_if(F.col("relation") == "investigates").alias("n_projects"))
     route = role("study") | role("partner")
-    counted = at.groupBy("id").agg(
-        F.count("*").alias("n_edges"), F.count_if("strong").alias("n_strong"), F.count_if(role("study")).alias("n_studies"), F.count_if(role("partner")).alias("n_partners"), F.count_if(role("gene")).alias("n_genes"),
-        F.count_if(role("publication")).alias("n_publications"), F.count_if(route).alias("n_routes"), F.count_if(route & F.col("strong")).alias("n_strong_routes"), F.count_if(F.col("relation") == "investigates").alias("n_projects"),
+    routes = _at(diseases, nodes, ends).groupBy("id").agg(
+        F.count_if(role("study")).alias("n_studies"), F.count_if(role("partner")).alias("n_partners"), F.count_if(role("gene")).alias("n_genes"), F.count_if(role("publication")).alias("n_publications"),
+        F.count_if(route).alias("n_routes"), F.count_if(route & F.col("strong")).alias("n_strong_routes"),
     )
+    routes = saved(routes)
     marks = seeds.groupBy("id").agg(*[F.bool_or(F.col("kind") == kind).alias(name) for name, kind in (("unstudied", UNSTUDIED), ("untermed", UNTERMED), ("is_gap", GAP))])
     told = searches.dropDuplicates(["id"])
-    base = nodes.join(counted, "id", "left").join(marks, "id", "left").join(told.withColumn("told", F.lit(True)), "id", "left").na.fill(0).na.fill(False, ["unstudied", "untermed", "is_gap", "told"])
-    open_ = base.filter("type = 'disease' and (n_studies = 0 or unstudied) and n_genes > 0").select("id")
-    genes = at.filter(role("gene")).join(open_, "id", "left_semi").select("id", F.col("other_id")).distinct().join(nodes.select(F.col("id").alias("other_id"), F.col("label").alias("gene")), "other_id")
+    base = nodes.join(counted, "id", "left").join(routes, "id", "left").join(marks, "id", "left").join(told.withColumn("told", F.lit(True)), "id", "left").na.fill(0).na.fill(False, ["unstudied", "untermed", "is_gap", "told"])
+    open_ = diseases.join(routes.filter("n_genes > 0"), "id").join(marks, "id", "left").filter("n_studies = 0 or unstudied").select("id").distinct()
+    genes = _at(open_, nodes, ends, "gene").select("id", "other_id").distinct().join(nodes.select(F.col("id").alias("other_id"), F.col("label").alias("gene")), "other_id")
     labels = genes.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("other_id", "gene"))), lambda g: g["gene"]), ", ").alias("genes"))
     base = base.join(labels, "id", "left")
     label, disease = F.col("label"), F.col("type") == "disease"
@@ -93,10 +100,16 @@ def report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, searches: DataF
 
 def leads(nodes: DataFrame, edges: DataFrame, reported: DataFrame) -> DataFrame:
     """(id, edge_id, confidence, why) of what is weak: a disease's publications, and where only weak routes exist, these."""
-    at = incidence(nodes, edges).join(reported.select("id", "type", "result"), "id")
-    disease, weak = F.col("type") == "disease", F.col("result") == "weak_routes_only"
-    why = F.when(disease & F.col("role").eqNullSafe("publication"), PUBLICATION_LEAD).when(weak & (~disease | F.coalesce(F.col("role").isin("study", "partner"), F.lit(False))), LOW_LEAD)
-    return at.select("id", "edge_id", "confidence", why.alias("why")).filter("why is not null")
+    ends, weak = _ends(edges), F.col("result") == "weak_routes_only"
+    diseases = saved(reported.filter("type = 'disease'").select("id", weak.alias("weak")))
+    # Where only weak routes exist there is no strong edge, but at a disease that is seeded as the gap.
+    other = ends.filter(~F.coalesce("strong", F.lit(False))).join(reported.filter(weak & (F.col("type") != "disease")).select("id"), "id")
+    found = [
+        (_at(diseases.select("id"), nodes, ends, "publication"), PUBLICATION_LEAD),
+        (_at(diseases.filter("weak").select("id"), nodes, ends, "study", "partner"), LOW_LEAD),
+        (other, LOW_LEAD),
+    ]
+    return reduce(DataFrame.union, [at.select("id", "edge_id", "confidence", F.lit(why).alias("why")) for at, why in found])
 
 
 def sources(nodes: DataFrame, edges: DataFrame, searched: dict[str, str | None]) -> DataFrame:

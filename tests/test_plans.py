@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from skein.operators import annotations, similarity
+import re
+from functools import reduce
+
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.operators import annotations, gaps, similarity, trust
+from skein.plans import star_queries
+from skein.sources import star
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def _plan(df):
@@ -22,3 +33,37 @@ def test_annotations_are_read_once_and_codes_listed_once(spark):
     found = annotations.grouped(kept)
     assert sorted(tuple(x) for x in found.collect()) == [("s1", "T", 3, "ECO:1,ECO:2", "p1,p2", "PMID:1", 0.9), ("s2", "T", 2, "ECO:0000501", "p1", "", 0.7)]
     assert "RDD" not in _plan(found) and "LocalRelation" not in _plan(found)
+
+
+@pytest.fixture
+def repeated(spark, tmp_path):
+    """The smallest tables with lines, orders and suppliers said again, in part otherwise or without a value."""
+    again = {
+        "lineitem": [("l_orderkey % 3 = 0", {"l_discount": 0.1 - F.col("l_discount")}), ("l_orderkey % 7 = 0", {"l_discount": F.lit(None).cast("double")})],
+        "orders": [("o_orderkey % 5 = 0", {"o_orderstatus": F.lit("F"), "o_orderpriority": F.lit("1-URGENT")}), ("o_orderkey % 11 = 0", {"o_orderpriority": F.lit(None).cast("string")})],
+        "supplier": [("s_suppkey % 2 = 0", {})],
+    }
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        t = star.table(spark, SMALL, name)
+        reduce(DataFrame.union, [t, *[t.filter(rows).withColumns(new) if new else t.filter(rows) for rows, new in again.get(name, [])]]).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_edges_are_merged_by_the_keys_of_the_tables(spark, repeated):
+    evidence = trust.with_ids(star.evidence(spark, repeated))
+    wanted, found = (sorted(tuple(map(str, r)) for r in df.select(*trust.EDGE).collect()) for df in (trust.one_per_id(evidence), star_queries._edges(spark, repeated)))
+    assert found == wanted and len(found) < evidence.count()
+    # No row is shuffled by its id, and lines are shuffled once.
+    lines = star_queries._edges(spark, repeated).filter("relation = 'has_phenotype'")._jdf.queryExecution().executedPlan().toString()
+    assert "max_by" in lines and not re.search(r"hashpartitioning\((id|source_id|c_nationkey|l_linenumber)", lines)
+
+
+def test_only_ends_at_diseases_meet_the_other_end(spark):
+    nodes = spark.createDataFrame([("d", "disease", "D"), ("s", "study", "S"), ("x", "phenotype", "X"), ("y", "phenotype", "Y")], "id string, type string, label string")
+    rows = [("e1", "s", "studies_condition", "d", 0.9, "observed"), ("e2", "d", "has_phenotype", "x", 0.9, "inferred"), ("e3", "d", "has_phenotype", "y", None, "observed"), ("e4", "s", "studies_condition", "d", 0.1, "observed")]
+    edges = spark.createDataFrame(rows, "id string, source_id string, relation string, target_id string, confidence double, evidence_type string")
+    seeds, searches = spark.createDataFrame([("d", gaps.GAP)], "id string, kind string"), spark.createDataFrame([], "id string, searched array<string>, closest array<string>, not_searched array<string>")
+    reported = gaps.report(nodes, edges, seeds, searches, projects_searched=True)
+    found = gaps.leads(nodes, edges, reported)
+    assert sorted((r["id"], r["edge_id"]) for r in found.collect()) == [("d", "e1"), ("d", "e4"), ("x", "e2"), ("y", "e3")]
+    assert "LeftOuter" not in _plan(gaps.leads(nodes, edges, reported.select("id", "type", "result").localCheckpoint()))
