@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import annotations, gaps, similarity, trust
+from skein.operators import annotations, claims, gaps, similarity, trust
 from skein.plans import star_queries
 from skein.sources import star
 
@@ -67,3 +67,13 @@ def test_only_ends_at_diseases_meet_the_other_end(spark):
     found = gaps.leads(nodes, edges, reported)
     assert sorted((r["id"], r["edge_id"]) for r in found.collect()) == [("d", "e1"), ("d", "e4"), ("x", "e2"), ("y", "e3")]
     assert "LeftOuter" not in _plan(gaps.leads(nodes, edges, reported.select("id", "type", "result").localCheckpoint()))
+
+
+def test_texts_are_shuffled_once_and_not_sorted(spark):
+    raw = spark.createDataFrame([(1, "m", 0, "d", "claims", "g", "a  b", "supports", "low"), (2, "m", 0, "d", "claims", "g", "a b", "supports", "low"), (3, "m", 0, "d", "claims", "z", "a b", "supports", "low")], "doc_id long, model string, seq long, subject_id string, relation string, object_id string, quote string, polarity string, certainty string")
+    docs = spark.createDataFrame([(1, "x a\n b"), (4, "a b")], "doc_id long, text string")
+    nodes = spark.createDataFrame([("d", "disease", "D"), ("g", "gene", "G")], "id string, type string, label string")
+    found = claims.checked(raw, docs, nodes)
+    assert {r["doc_id"]: r["problem"] for r in found.collect()} == {1: None, 2: "quote not found", 3: "unknown id"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "LeftSemi" not in plan
