@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators import annotations, claims, gaps, similarity, trust
+from skein.functions.text import with_tokens
+from skein.operators import annotations, canonical, claims, gaps, similarity, trust
 from skein.plans import star_queries
 from skein.sources import star
 
@@ -77,3 +78,14 @@ def test_texts_are_shuffled_once_and_not_sorted(spark):
     assert {r["doc_id"]: r["problem"] for r in found.collect()} == {1: None, 2: "quote not found", 3: "unknown id"}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "LeftSemi" not in plan
+
+
+def test_canonical_edges_are_sorted_once_and_words_parted_once(spark):
+    rows = [("a", "caused_by", "g", "s", "r", 0.5, "curated", None), ("b", "caused_by", "g", "s", "r", 0.9, "curated", "q"), ("a", "caused_by", "b", "s", "r", 0.9, "curated", "q")]
+    evidence = spark.createDataFrame(rows, "source_id string, relation string, target_id string, source string, record_id string, confidence double, evidence_type string, qualifier string")
+    found = canonical.merged_edges(evidence, spark.createDataFrame([("b", "a")], "id string, canonical_id string"))
+    assert [(r["source_id"], r["target_id"], r["confidence"]) for r in found.collect()] == [("a", "g", 0.9)]
+    assert "RepartitionByExpression" in _plan(found)
+    words = with_tokens(spark.createDataFrame([("Type II form-v of type v",)], "label string"), F.col("label"), "w")
+    assert words.head()["w"] == ["type", "2", "form", "v", "of", "type", "5"]
+    assert _plan(words).count("split(") == 1
