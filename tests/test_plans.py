@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import with_tokens
-from skein.operators import annotations, canonical, claims, gaps, similarity, trust
-from skein.plans import star_queries
+from skein.operators import actions, annotations, canonical, claims, evidence_map, gaps, graph, similarity, trust
+from skein.operators.work import saved
+from skein.plans import action_queries, gap_queries, star_queries
 from skein.sources import star
 
 SMALL = "/root/testdata/sf0.001"
@@ -89,3 +90,31 @@ def test_canonical_edges_are_sorted_once_and_words_parted_once(spark):
     words = with_tokens(spark.createDataFrame([("Type II form-v of type v",)], "label string"), F.col("label"), "w")
     assert words.head()["w"] == ["type", "2", "form", "v", "of", "type", "5"]
     assert _plan(words).count("split(") == 1
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The optimized plans of the tables that the modules given write."""
+    plans = []
+
+    def watch(*modules):
+        for m in modules:
+            monkeypatch.setattr(m, "saved", lambda df: (plans.append(_plan(df)), saved(df))[1])
+        return plans
+
+    return watch
+
+
+def _rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_focus_walks_evidence_as_it_is(spark, repeated, written):
+    n, centers = star.nodes(spark, repeated), star.table(spark, repeated, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("center"))
+    merged = evidence_map.focus(n, trust.one_per_id(trust.with_ids(star.evidence(spark, repeated))), centers, least=0.94)
+    plans = written(evidence_map)
+    assert _rows(evidence_map.focus(n, saved(star.evidence(spark, repeated)), centers, least=0.94)) == _rows(merged)
+    assert "Aggregate" not in plans[0] and "Join" not in plans[0]
+    plans.clear()
+    action_queries.focus_left_out(spark, SMALL)
+    assert not any("max_by" in p for p in plans)
