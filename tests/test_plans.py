@@ -109,6 +109,13 @@ def _rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
 
 
+def test_marked_lines_are_merged_without_a_shuffle(spark, repeated):
+    evidence = trust.with_ids(star.evidence(spark, repeated))
+    merged = trust.with_ids(star.evidence(spark, repeated, star_queries.marked_lines(spark, repeated), once=True)).select(*trust.EDGE)
+    assert _rows(merged) == _rows(trust.one_per_id(evidence))
+    assert "Exchange" not in merged.filter("relation = 'has_phenotype'")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_focus_walks_evidence_as_it_is(spark, repeated, written):
     n, centers = star.nodes(spark, repeated), star.table(spark, repeated, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("center"))
     merged = evidence_map.focus(n, trust.one_per_id(trust.with_ids(star.evidence(spark, repeated))), centers, least=0.94)
@@ -118,3 +125,20 @@ def test_focus_walks_evidence_as_it_is(spark, repeated, written):
     plans.clear()
     action_queries.focus_left_out(spark, SMALL)
     assert not any("max_by" in p for p in plans)
+
+
+def test_paths_are_found_without_ids(spark, repeated, written):
+    plans = written(graph, star_queries)
+    found = _rows(star_queries.path_hydration(spark, repeated))
+    # Only edges between the nodes of the paths are hashed.
+    assert [p.count("Join") > 1 for p in plans if "sha2" in p] and all("LeftSemi" in p for p in plans if "sha2" in p)
+    n, e = star.nodes(spark, repeated), saved(star_queries._edges(spark, repeated))
+    paths = graph.cheapest_paths(graph.routing(n, e), "N:0", "N:7", 3, 8)
+    assert found == _rows(actions.hydrated(paths.select(F.array_join("path", ">").alias("path_id"), "edge_ids"), e, star.disputes(spark, repeated))) and len(found) == 3
+
+
+def test_paths_of_no_cost_and_wider_limits(spark):
+    rows = [("A", "B", 0), ("B", "C", 0), ("C", "H", 5), ("A", "D", 0), ("D", "H", 5), ("A", "E", 9), ("E", "F", 9), ("F", "H", 9), ("B", "D", 0), ("G", "H", 1)]
+    table = spark.createDataFrame([(a, b, w, w, a + b) for a, b, w in rows], "lo string, hi string, cost long, w long, edge_id string")
+    found = [("".join(r["path"]), r["w"]) for r in graph.cheapest_paths(table, "A", "H", 9, 8).collect()]
+    assert found == [("ABCH", 5), ("ABDH", 5), ("ADBCH", 5), ("ADH", 5), ("AEFH", 27)]
