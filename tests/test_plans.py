@@ -127,6 +127,17 @@ def test_focus_walks_evidence_as_it_is(spark, repeated, written):
     assert not any("max_by" in p for p in plans)
 
 
+def test_only_disputes_of_what_is_drawn_are_looked_for(spark, repeated, written):
+    plans = written(star_queries)
+    found = star_queries.map_pulled_in(spark, repeated)
+    assert not any("sha2" in p for p in plans[:-1])
+    n, e = star.nodes(spark, repeated), saved(star_queries._edges(spark, repeated))
+    shown = saved(evidence_map.neighbourhood(n, e, "N:3").filter("shown").select("id"))
+    drawn, disputes = graph.induced(shown, e).select(*trust.TRIPLE).distinct(), star.disputes(spark, repeated)
+    records = disputes.join(drawn, list(trust.TRIPLE)).select(F.concat(F.lit("record:"), "record_id")).distinct()
+    assert _rows(found.select("id")) == _rows(records) and found.filter("type = 'publication'").count() == found.count() > 0
+
+
 def test_paths_are_found_without_ids(spark, repeated, written):
     plans = written(graph, star_queries)
     found = _rows(star_queries.path_hydration(spark, repeated))
