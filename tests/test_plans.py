@@ -116,6 +116,11 @@ def test_marked_lines_are_merged_without_a_shuffle(spark, repeated):
     assert "Exchange" not in merged.filter("relation = 'has_phenotype'")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_explained_edges_are_hashed_after_they_met_their_labels(spark):
+    plan = _plan(star_queries.explanation_checks(spark, SMALL))
+    assert plan.index("sha2") < plan.index("Join") and plan.count("sha2") == plan.split("Join")[0].count("sha2")
+
+
 def test_focus_walks_evidence_as_it_is(spark, repeated, written):
     n, centers = star.nodes(spark, repeated), star.table(spark, repeated, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("center"))
     merged = evidence_map.focus(n, trust.one_per_id(trust.with_ids(star.evidence(spark, repeated))), centers, least=0.94)
