@@ -35,10 +35,11 @@ ROLES = {"study": "study", "asset": "study", "patient_group": "partner", "funder
 
 
 def _ends(edges: DataFrame) -> DataFrame:
-    """An edge at each of its ends, once at a loop: id, other_id, edge_id, relation, confidence, strong."""
+    """An edge at each of its ends, once at a loop: id, other_id, relation, confidence, strong, and edge_id if edges have ids."""
     ends = F.array_distinct(F.array(F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other_id")), F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other_id"))))
     strong = (F.col("evidence_type") != "inferred") & (F.col("confidence") >= STRONG)
-    return edges.select(F.explode(ends).alias("e"), F.col("id").alias("edge_id"), "relation", "confidence", strong.alias("strong")).select("e.*", "edge_id", "relation", "confidence", "strong")
+    named = [F.col("id").alias("edge_id")] if "id" in edges.columns else []
+    return edges.select(F.explode(ends).alias("e"), *named, "relation", "confidence", strong.alias("strong")).select("e.*", *[c for c in ("edge_id",) if named], "relation", "confidence", "strong")
 
 
 def _at(diseases: DataFrame, nodes: DataFrame, ends: DataFrame, *roles: str) -> DataFrame:

@@ -158,3 +158,11 @@ def test_paths_of_no_cost_and_wider_limits(spark):
     table = spark.createDataFrame([(a, b, w, w, a + b) for a, b, w in rows], "lo string, hi string, cost long, w long, edge_id string")
     found = [("".join(r["path"]), r["w"]) for r in graph.cheapest_paths(table, "A", "H", 9, 8).collect()]
     assert found == [("ABCH", 5), ("ABDH", 5), ("ADBCH", 5), ("ADH", 5), ("AEFH", 27)]
+
+
+def test_reported_edges_are_written_without_names(spark, repeated, written):
+    plans = written(gap_queries)
+    found = gap_queries.gap_report(spark, repeated)
+    assert plans and not any("sha2" in p or "record_id" in p for p in plans)
+    n, e = star.nodes(spark, repeated), saved(star_queries._edges(spark, repeated))
+    assert _rows(found) == _rows(gap_queries._flat(gaps.report(n, e, *gap_queries.gap_tables(spark, repeated), projects_searched=True)))
