@@ -24,22 +24,18 @@ def publication_id(doc: Column) -> Column:
     return F.when(F.startswith(text, F.lit(PUBLICATION)), text).otherwise(F.concat(F.lit(PUBLICATION), text))
 
 
-def checked(raw: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Claims (doc_id, model, seq, subject_id, relation, object_id, quote, polarity, certainty) with problem, null if they hold.
+def _judged(raw: DataFrame, docs: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Claims with squeezed quote and problem, as checked() has them, but for repeated ones.
 
-    In this order: unknown id, self, relation, polarity, certainty, no quote, quote not found, repeated. An id is known if a
-    node of the vocabulary's types has it. A quote is found if the text of its document holds it verbatim, both with
-    white space squeezed; a claim of a document that isn't there has none. Of the claims of a document and model that hold and say the
-    same triple the first by seq stays. Texts meet claims by document id only: each is shuffled once, and never sorted, since a
-    document's claims are what is looked up. The vocabulary is written, so a small one is known to be.
+    The quote is looked up before ids are, so texts go no further. The vocabulary is written, so a small one is known to be.
     """
+    said = raw.withColumn("quote", squeezed(F.col("quote")))
+    if docs is not None:
+        said = said.hint("shuffle_hash").join(docs.select("doc_id", squeezed(F.col("text")).alias("text")), "doc_id", "left")
+    found = said.withColumn("_found", F.coalesce(F.contains("text", F.col("quote")), F.lit(False))).drop("text")
     known = saved(nodes.filter(F.col("type").isin(*CANDIDATE_TYPES)).select("id").distinct())
-    ends = raw
     for end in ("subject", "object"):
-        ends = ends.join(known.select(F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_known")), f"{end}_id", "left")
-    texts = docs.select("doc_id", squeezed(F.col("text")).alias("_text"))
-    said = squeezed(F.col("quote"))
-    found = ends.hint("shuffle_hash").join(texts, "doc_id", "left").withColumn("quote", said).withColumn("_found", F.coalesce(F.contains("_text", F.col("quote")), F.lit(False))).drop("_text")
+        found = found.join(known.select(F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_known")), f"{end}_id", "left")
     fine = lambda c: F.coalesce(c, F.lit(False))
     problem = (
         F.when(F.col("subject_known").isNull() | F.col("object_known").isNull(), "unknown id")
@@ -50,10 +46,31 @@ def checked(raw: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(~fine(F.col("quote") != ""), "no quote")
         .when(~F.col("_found"), "quote not found")
     )
-    judged = found.withColumn("problem", problem)
-    place = F.row_number().over(Window.partitionBy("doc_id", "model", "subject_id", "relation", "object_id", F.isnull("problem")).orderBy("seq"))
+    return found.select(*[c for c in raw.columns if c != "text"], problem.alias("problem"))
+
+
+def _place(*also: Column) -> Column:
+    return F.row_number().over(Window.partitionBy("doc_id", "model", "subject_id", "relation", "object_id", *also).orderBy("seq"))
+
+
+def checked(raw: DataFrame, docs: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Claims (doc_id, model, seq, subject_id, relation, object_id, quote, polarity, certainty) with problem, null if they hold.
+
+    In this order: unknown id, self, relation, polarity, certainty, no quote, quote not found, repeated. An id is known if a
+    node of the vocabulary's types has it. A quote is found if the text of its document holds it verbatim, both with
+    white space squeezed; a claim of a document that isn't there has none. Of the claims of a document and model that hold and say the
+    same triple the first by seq stays. Texts meet claims by document id only: each is shuffled once, and never sorted, since a
+    document's claims are what is looked up. docs is None if claims come with their document's text, squeezed, which then isn't shuffled at all.
+    """
+    judged = _judged(raw, docs, nodes)
     again = F.col("problem").isNull() & (F.col("_n") > 1)
-    return judged.withColumn("_n", place).select(*raw.columns[:-3], "quote", "polarity", "certainty", F.when(again, "repeated").otherwise(F.col("problem")).alias("problem"))
+    placed = judged.withColumn("_n", _place(F.isnull("problem")))
+    return placed.select(*judged.columns[:-1], F.when(again, "repeated").otherwise(F.col("problem")).alias("problem"))
+
+
+def holding(raw: DataFrame, docs: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """The claims of checked() without a problem. The others are dropped where they are found, so only these are shuffled."""
+    return _judged(raw, docs, nodes).filter("problem is null").drop("problem").withColumn("_n", _place()).filter("_n = 1").drop("_n")
 
 
 def claim_edges(valid: DataFrame, existing: DataFrame | None = None) -> DataFrame:

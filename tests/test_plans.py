@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from skein.functions.text import with_tokens
 from skein.operators import actions, annotations, canonical, claims, evidence_map, gaps, graph, similarity, trust
 from skein.operators.work import saved
-from skein.plans import action_queries, gap_queries, star_queries
+from skein.plans import action_queries, claim_queries, claim_sql, gap_queries, star_queries
 from skein.sources import star
 
 SMALL = "/root/testdata/sf0.001"
@@ -166,3 +168,55 @@ def test_reported_edges_are_written_without_names(spark, repeated, written):
     assert plans and not any("sha2" in p or "record_id" in p for p in plans)
     n, e = star.nodes(spark, repeated), saved(star_queries._edges(spark, repeated))
     assert _rows(found) == _rows(gap_queries._flat(gaps.report(n, e, *gap_queries.gap_tables(spark, repeated), projects_searched=True)))
+
+
+def _shuffled(df):
+    """The columns of each exchange of the plan, without their numbers."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [set(re.sub(r"#\d+L?", "", found).split(", ")) for found in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+
+
+def test_names_of_sources_are_not_shuffled_with_edges(spark):
+    edges = spark.createDataFrame([(str(i), "N:1", "has_phenotype", f"P:{i % 2}", "openai:m", f"PMID:{i}", 0.3, "inferred", "low") for i in range(5)], ", ".join(f"{c} {'double' if c == 'confidence' else 'string'}" for c in trust.EDGE))
+    disputes = spark.createDataFrame([("P:0", "r"), ("P:9", "r")], "target_id string, record_id string").select(F.lit("N:1").alias("source_id"), F.lit("has_phenotype").alias("relation"), "target_id", "record_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = trust.rescored(edges, disputes)
+        shuffled = _shuffled(found)
+        assert [(x["id"], x["n_sources"], x["n_disputes"], x["score"]) for x in found.orderBy("id").collect()] == [("0", 3, 1, 0.2), ("1", 2, 0, 0.3), ("2", 3, 1, 0.2), ("3", 2, 0, 0.3), ("4", 3, 1, 0.2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Once with what is said of an edge, once with the names of sources, never with both.
+    assert sum("id" in columns for columns in shuffled) == 1 and len(shuffled) > 3
+    assert not any("id" in columns and columns & {"sources", "backed", "n_sources"} for columns in shuffled)
+
+
+@pytest.fixture
+def twice(spark, tmp_path):
+    """The smallest tables, some documents said again under the same number with another text."""
+    docs = star.table(spark, SMALL, "documents")
+    docs.union(docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("Said\n\tagain:  "), "text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "benchmark"):
+        star.table(spark, SMALL, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_claims_meet_the_text_they_were_made_of(spark, twice):
+    db = duckdb.connect()
+    for path in sorted(Path(twice).iterdir()):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    # Which of two claims with the same number is the repeated one is open, so problems are counted.
+    wanted = db.execute(f"SELECT doc_id, seq, count(*) FROM ({claim_sql.SQL['claim_problems']}) GROUP BY ALL").fetchall()
+    made = claim_queries.claim_problems(spark, twice)
+    assert _rows(made.groupBy("doc_id", "seq").count()) == sorted(tuple(map(str, r)) for r in wanted)
+    assert not any(columns & {"text", "_text"} for columns in _shuffled(made))
+    kept = claims.checked(claim_queries.raw_claims(spark, SMALL), None, star.nodes(spark, SMALL)).filter("problem is null").drop("problem")
+    assert _rows(claims.holding(claim_queries.raw_claims(spark, SMALL), None, star.nodes(spark, SMALL))) == _rows(kept) and kept.count() > 100
+
+
+def test_claims_look_for_disputes_of_phenotypes_only(spark, monkeypatch):
+    asked, disputes = [], star.disputes
+    monkeypatch.setattr(star, "disputes", lambda *a, triples: (asked.append(triples), disputes(*a, triples=triples))[1])
+    made = claim_queries._made(spark, SMALL).select(*trust.EDGE)
+    assert _rows(claim_queries.claims_rescored(spark, SMALL)) == _rows(trust.rescored(saved(made), disputes(spark, SMALL)))
+    assert asked[0].count() == made.filter("relation = 'has_phenotype'").count() == 0
